@@ -141,3 +141,121 @@ TEAMS_SQL = """SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, substri
   CAST(n_regionkey * 2 + 1 AS BIGINT) AS strength_defence_home,
   CAST(n_nationkey % 7 + 1 AS BIGINT) AS strength_defence_away
 FROM nation"""
+
+
+# ------------------------------------------------------------ second source
+# Second-source documents: one per order, matchesData = [the order as a match],
+# shotsData = its line items as shots.  Every scalar is a string; 'npxG' is
+# absent for status 'O' (fallback to xG), 'shotType' is absent on line 1
+# (fallback to 'type'), shots carry no season (fallback to the match season),
+# key_passes is unparsable for '1-URGENT' orders (tolerant cast -> 0).
+US_ID_OFFSET = 100000
+
+
+def _str(c) -> F.Column:
+    return c.cast("string")
+
+
+def second_source_docs(spark: SparkSession, d: str) -> DataFrame:
+    li = read_table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus")
+    o = read_table(spark, d, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    shot_type = (F.when(F.col("l_returnflag") == "R", "Head")
+                 .when(F.col("l_returnflag") == "A", "RightFoot").otherwise("LeftFoot"))
+    kind = F.when(F.col("l_linenumber") == 1, F.lit("type")).otherwise(F.lit("shotType"))
+    shot_keys = F.array(F.lit("match_id"), F.lit("minute"), F.lit("X"), F.lit("Y"), F.lit("xG"),
+                        F.lit("result"), kind, F.lit("situation"), F.lit("lastAction"))
+    shot_vals = F.array(_str(F.col("l_orderkey")), _str(F.col("l_linenumber") * 10),
+                        _str(F.lit(0.75) + F.col("l_tax") * 2), _str(F.col("l_quantity") / 50),
+                        _str(F.col("l_discount") * 4),
+                        F.when(F.col("l_linestatus") == "F", "Goal").otherwise("MissedShots"),
+                        shot_type,
+                        F.when(F.col("l_linestatus") == "F", "OpenPlay").otherwise("SetPiece"),
+                        F.lit("Pass"))
+    # line items per order are bounded (at most 7), so the per-order list is small;
+    # sorted by (line number, part, supplier) so that element positions are deterministic
+    shots = li.groupBy("l_orderkey").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(
+            F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("q"),
+            shot_keys.alias("k"), shot_vals.alias("v")))),
+                    lambda x: F.map_from_arrays(x["k"], x["v"])).alias("shotsData"),
+        F.count(F.lit(1)).alias("n_shots"))
+    j = o.join(shots, o.o_orderkey == shots.l_orderkey, "left")
+    base_keys = ["id", "date", "season", "isHome", "xG", "xA", "goals", "assists", "shots",
+                 "key_passes", "yellow", "red", "time", "h_team", "a_team", "h_goals", "a_goals",
+                 "position"]
+    base_vals = [
+        _str(F.col("o_orderkey")), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"),
+        _str(F.year("o_orderdate")), _str(F.col("o_orderstatus") == "F"),
+        _str((F.floor("o_totalprice") % 1000) / 1000.0), _str((F.col("o_orderkey") % 50) / 100.0),
+        _str(F.col("o_orderkey") % 3), _str(F.col("o_custkey") % 2),
+        _str(F.coalesce(F.col("n_shots"), F.lit(0))),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("n/a")).otherwise(_str(F.col("o_orderkey") % 4)),
+        F.lit("0"), F.lit("0"), _str(F.col("o_orderkey") % 91), F.lit("H"), F.lit("A"),
+        _str(F.col("o_orderkey") % 4), _str(F.col("o_custkey") % 3), F.lit("FW"),
+    ]
+    m = F.map_from_arrays(F.array(*[F.lit(k) for k in base_keys]), F.array(*base_vals))
+    npx = F.map_from_arrays(F.array(F.lit("npxG")), F.array(_str((F.floor("o_totalprice") % 700) / 1000.0)))
+    match = F.when(F.col("o_orderstatus") != "O", F.map_concat(m, npx)).otherwise(m)
+    return j.select((F.col("o_custkey") + US_ID_OFFSET).alias("understat_id"),
+                    F.array(match).alias("matchesData"),
+                    F.coalesce(F.col("shotsData"), F.array()).alias("shotsData"))
+
+
+MATCHES_SQL = f"""SELECT o_custkey + {US_ID_OFFSET} AS understat_id, o_orderkey AS match_id,
+  o_orderdate AS date, CAST(year(o_orderdate) AS VARCHAR) AS season, o_orderstatus = 'F' AS is_home,
+  floor(o_totalprice) % 1000 / 1000.0 AS xG, (o_orderkey % 50) / 100.0 AS xA,
+  CASE WHEN o_orderstatus <> 'O' THEN floor(o_totalprice) % 700 / 1000.0
+       ELSE floor(o_totalprice) % 1000 / 1000.0 END AS npxG,
+  o_orderkey % 3 AS goals, o_custkey % 2 AS assists,
+  (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS shots,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE o_orderkey % 4 END AS key_passes,
+  CAST(0 AS BIGINT) AS yellow_cards, CAST(0 AS BIGINT) AS red_cards, o_orderkey % 91 AS minutes,
+  'H' AS h_team, 'A' AS a_team, o_orderkey % 4 AS h_goals, o_custkey % 3 AS a_goals, 'FW' AS position
+FROM orders"""
+
+SHOTS_SQL = f"""SELECT o_custkey + {US_ID_OFFSET} AS understat_id, l_orderkey AS match_id,
+  CAST(year(o_orderdate) AS VARCHAR) AS season, CAST(NULL AS TIMESTAMP) AS date,
+  CAST(l_linenumber * 10 AS BIGINT) AS minute, 0.75 + l_tax * 2 AS X, l_quantity / 50 AS Y,
+  l_discount * 4 AS xG, CASE WHEN l_linestatus = 'F' THEN 'Goal' ELSE 'MissedShots' END AS result,
+  CASE l_returnflag WHEN 'R' THEN 'Head' WHEN 'A' THEN 'RightFoot' ELSE 'LeftFoot' END AS shot_type,
+  CASE WHEN l_linestatus = 'F' THEN 'OpenPlay' ELSE 'SetPiece' END AS situation,
+  CAST(NULL AS VARCHAR) AS player_assisted, 'Pass' AS last_action
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+
+def periods(spark: SparkSession, d: str) -> DataFrame:
+    """Period calendar derived from the history's months: gw n opens two days
+    before its month at 11:30 UTC; gw 1 has no published deadline (dropped)."""
+    months = history(spark, d).select("gw").distinct()
+    start = F.make_timestamp(F.lit(1995) + F.floor((F.col("gw") - 1) / 12), (F.col("gw") - 1) % 12 + 1,
+                             F.lit(1), F.lit(11), F.lit(30), F.lit(0))
+    return months.select(F.col("gw").alias("id"),
+                         F.when(F.col("gw") > 1, F.date_format(start - F.expr("INTERVAL 2 DAYS"),
+                                                               "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+                         .alias("deadline_time"))
+
+
+PERIODS_SQL = f"""SELECT gw AS id, CASE WHEN gw > 1 THEN
+  make_timestamp(CAST(1995 + floor((gw - 1) / 12) AS BIGINT), CAST((gw - 1) % 12 + 1 AS BIGINT), 1, 11, 30, 0)
+  - INTERVAL 2 DAYS END AS deadline_time
+FROM (SELECT DISTINCT gw FROM ({HISTORY_SQL}) AS h) AS m"""
+
+
+def mapping_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Mapping candidates: every customer; no second-source id for segment
+    'AUTOMOBILE'; verified when the account balance is positive."""
+    c = read_table(spark, d, "customer")
+    return c.select(
+        F.col("c_custkey").alias("fpl_id"), F.col("c_name").alias("fpl_name"),
+        F.col("c_nationkey").cast("string").alias("fpl_team"),
+        F.when(F.col("c_mktsegment") != "AUTOMOBILE", F.col("c_custkey") + US_ID_OFFSET).alias("understat_id"),
+        F.col("c_name").alias("understat_name"), F.col("c_nationkey").cast("string").alias("understat_team"),
+        F.lit(100.0).alias("match_score"), (F.col("c_acctbal") > 0).alias("verified"),
+        F.lit("").alias("notes"))
+
+
+MAPPING_SQL = f"""SELECT c_custkey AS fpl_id, c_custkey + {US_ID_OFFSET} AS understat_id
+FROM customer WHERE c_mktsegment <> 'AUTOMOBILE'"""

@@ -41,3 +41,60 @@ def feature_build(history: DataFrame, fixtures: DataFrame, teams: DataFrame,
     if enrichment is not None:
         h = h.join(enrichment, ["player_id", "gw"], "left")
     return feature_matrix(h)
+
+
+# Measures rolled over the second source.
+US_ROLL_COLS = ("xG", "xA", "npxG", "shots", "key_passes", "xG_per_shot", "danger_zone_pct",
+                "big_chances", "open_play_pct", "xG_overperformance")
+
+
+def period_dim(events: DataFrame, id_col: str = "id", deadline_col: str = "deadline_time") -> DataFrame:
+    """(gw, deadline_time) from the period list; rows without a deadline dropped."""
+    from tessera.functions.scalars import parse_utc
+    return (events.select(F.col(id_col).cast("bigint").alias("gw"),
+                          parse_utc(F.col(deadline_col)).alias("deadline_time"))
+            .filter(F.col("deadline_time").isNotNull()))
+
+
+def second_source_matches(docs: DataFrame, seasons=None) -> DataFrame:
+    """Matches left join per-match shot aggregates."""
+    from tessera.operators import flatten as fl
+    matches = fl.flatten_matches(docs, seasons=seasons)
+    shots = fl.flatten_shots(docs, seasons=seasons)
+    return fl.join_match_shots(matches, fl.shot_match_agg(shots))
+
+
+def enrichment_features(docs: DataFrame, periods: DataFrame, mapping: DataFrame, seasons=None,
+                        windows=win.ROLL_WINDOWS, spans=win.EWM_SPANS) -> DataFrame:
+    """Per (fpl_id, gw) the lagged second-source features of the player's last match.
+
+    Windows run over *all* seasons before the period alignment (history of
+    earlier seasons informs the first period); the season filter is applied
+    while flattening, exactly where the reference applies it.  Shuffles: the
+    (id, match) shot aggregate, the id-keyed window, and the (fpl_id, gw)
+    aggregate that keeps the last match (partial aggregation, skew-safe).
+    """
+    from tessera.operators.asof import asof_backward
+    m = second_source_matches(docs, seasons)
+    m = win.lagged_features(m, ["understat_id"], ["date", "match_id"], US_ROLL_COLS,
+                            windows, spans, prefix="us_")
+    m = asof_backward(m, "date", period_dim(periods) if "id" in periods.columns else periods)
+    m = m.join(mapping.select("fpl_id", "understat_id"), "understat_id", "inner")
+    us_cols = [c for c in m.columns if c.startswith("us_")]
+    out = m.select("fpl_id", "understat_id", "gw", "season", "date", "match_id", *us_cols)
+    return win.keep_last(out, ["fpl_id", "gw"], ["date", "match_id"])
+
+
+def merge_enrichment(history: DataFrame, features: DataFrame) -> DataFrame:
+    """History left join the us_* columns on (player_id, gw); nothing else comes along."""
+    us = features.select(F.col("fpl_id").alias("player_id"), "gw",
+                         *[c for c in features.columns if c.startswith("us_")])
+    return history.join(us, ["player_id", "gw"], "left")
+
+
+def enrichment_coverage(merged: DataFrame) -> DataFrame:
+    us_cols = [c for c in merged.columns if c.startswith("us_")]
+    if not us_cols:
+        return merged.agg(F.lit(0.0).alias("coverage"))
+    return merged.agg(F.avg(F.col(us_cols[0]).isNotNull().cast("double")).alias("coverage"),
+                      F.count(F.lit(1)).alias("n_rows"))
