@@ -35,9 +35,11 @@ def feature_columns(columns: Sequence[str], windows=win.ROLL_WINDOWS, spans=win.
     return list(dict.fromkeys(c for c in names if c in present))
 
 
-def feature_matrix(df: DataFrame, target: str = TARGET_COL) -> tuple[DataFrame, list[str]]:
+def feature_matrix(df: DataFrame, target: str = TARGET_COL,
+                   extra_ids: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     feats = feature_columns(df.columns)
-    keep = list(dict.fromkeys([c for c in ID_COLS if c in df.columns] + feats + [target]))
+    ids = [c for c in list(ID_COLS) + list(extra_ids) if c in df.columns]
+    keep = list(dict.fromkeys(ids + feats + [target]))
     out = df.select(*keep).filter(F.col(target).isNotNull())
     return out, feats
 

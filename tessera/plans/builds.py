@@ -24,7 +24,8 @@ def add_history_features(history: DataFrame, measures: Sequence[str], key=("play
 
 def feature_build(history: DataFrame, fixtures: DataFrame, teams: DataFrame,
                   measures: Sequence[str], key=("player_id",), order=DEFAULT_ORDER,
-                  enrichment: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+                  enrichment: DataFrame | None = None,
+                  extra_ids: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """History (with team_id, position_id, value) -> feature matrix.
 
     One lazy plan: the window layer shuffles once on the key, the fixture
@@ -40,7 +41,7 @@ def feature_build(history: DataFrame, fixtures: DataFrame, teams: DataFrame,
         h = h.withColumn("cost", F.col("value") / 10)
     if enrichment is not None:
         h = h.join(enrichment, ["player_id", "gw"], "left")
-    return feature_matrix(h)
+    return feature_matrix(h, extra_ids=extra_ids)
 
 
 # Measures rolled over the second source.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import q_enrichment, q_eval, q_features  # noqa: F401
+from tessera.plans import q_enrichment, q_eval, q_features, q_model  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 
