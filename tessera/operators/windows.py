@@ -57,108 +57,109 @@ def _key_window(key: Sequence[str], order: Sequence) -> Window:
     return Window.partitionBy(*key).orderBy(*[col_(o) for o in order])
 
 
-def lagged_features(df: DataFrame, key: Sequence[str], order: Sequence,
+def _q(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
+def lagged_features(df: DataFrame, key: Sequence[str], order: Sequence[str],
                     measures: Iterable[str], windows: Sequence[int] = ROLL_WINDOWS,
                     spans: Sequence[float] = EWM_SPANS, prefix: str = "",
-                    extra: Sequence[tuple[str, str]] = ()) -> DataFrame:
+                    roll_only: Sequence[str] = (), sub_risk: str | None = None,
+                    corrected: bool = False) -> DataFrame:
     """Add ``{prefix}{m}_roll{w}`` and ``{prefix}{m}_ewm{s}`` for each present measure.
 
-    Measures absent from ``df`` are skipped silently.  ``extra`` holds
-    additional ("lag-mean", column) requests used by derived features.
+    Measures absent from ``df`` are skipped silently.  ``roll_only`` columns get
+    the rolling means only; ``sub_risk`` names a 0/1 started column from which
+    the reference's sub-risk share is derived.  The expressions are emitted as
+    SQL text (one JVM call per projection) and all share the key partitioning:
+    one exchange, one sort on (key, order) and one on (key, segment, row).
     """
-    key = list(key)
-    measures = [m for m in measures if m in df.columns]
-    base_cols = df.columns
-    wk = _key_window(key, order)
-    out = df.withColumn(_RN, F.row_number().over(wk) - 1)
-    if not measures and not extra:
-        return out.drop(_RN)
-
-    seg_len = ewm_segment(spans) if spans else 1
-    out = out.withColumn(_SEG, F.floor(F.col(_RN) / seg_len))
-    # (key, seg) windows run on the key's hash partitioning: no new exchange.
-    wseg = Window.partitionBy(*key, _SEG).orderBy(_RN)
-    wseg_run = wseg.rowsBetween(Window.unboundedPreceding, 0)
-    wseg_all = wseg.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    wrow = Window.partitionBy(*key).orderBy(_SEG, _RN)
-    past = lambda lo: wrow.rowsBetween(lo, -1)
-    all_past = wrow.rowsBetween(Window.unboundedPreceding, -1)
-
-    seg_cols, tmp = [], []
+    key, order = list(key), list(order)
+    cols = df.columns
+    measures = [m for m in measures if m in cols]
+    roll_only = [m for m in roll_only if m in cols and m not in measures]
+    K = ", ".join(_q(k) for k in key)
+    O = ", ".join(_q(o) for o in order)
+    seg_len = ewm_segment(spans) if (spans and measures) else 1
+    rn = f"row_number() OVER (PARTITION BY {K} ORDER BY {O})"
+    out = df.selectExpr("*", f"{rn} - 1 AS __rn", f"floor(({rn} - 1) / {seg_len}) AS __seg")
+
+    seg_w = f"PARTITION BY {K}, __seg ORDER BY __rn"
+    run, whole = "UNBOUNDED PRECEDING AND CURRENT ROW", "UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    tmp, seg_exprs = [], []
     for m in measures:
+        x = f"CAST({_q(m)} AS DOUBLE)"
         for s in spans:
-            q = ewm_decay(s)
-            rel = F.pow(F.lit(q), -(F.col(_RN) - F.col(_SEG) * seg_len))
-            x = F.col(m).cast("double")
-            y, b = x * rel, F.when(x.isNotNull(), rel)
-            names = [f"__a_{m}_{s}", f"__b_{m}_{s}", f"__at_{m}_{s}", f"__bt_{m}_{s}"]
-            seg_cols += [F.sum(y).over(wseg_run).alias(names[0]),
-                         F.sum(b).over(wseg_run).alias(names[1]),
-                         F.sum(y).over(wseg_all).alias(names[2]),
-                         F.sum(b).over(wseg_all).alias(names[3])]
-            tmp += names
-    if seg_cols:
-        out = out.select("*", *seg_cols)
-
-    roll_cols, prev_cols = [], []
-    for m in measures:
+            rel = f"pow({ewm_decay(s)!r}D, -(__rn - __seg * {seg_len}))"
+            t = f"{m}_{s}".replace("`", "")
+            seg_exprs += [f"sum({x} * {rel}) OVER ({seg_w} ROWS BETWEEN {run}) AS `__a_{t}`",
+                          f"sum(CASE WHEN {x} IS NOT NULL THEN {rel} END) OVER ({seg_w} ROWS BETWEEN {run}) AS `__b_{t}`",
+                          f"sum({x} * {rel}) OVER ({seg_w} ROWS BETWEEN {whole}) AS `__at_{t}`",
+                          f"sum(CASE WHEN {x} IS NOT NULL THEN {rel} END) OVER ({seg_w} ROWS BETWEEN {whole}) AS `__bt_{t}`"]
+            tmp += [f"__a_{t}", f"__b_{t}", f"__at_{t}", f"__bt_{t}"]
+    if seg_exprs:
+        out = out.selectExpr("*", *seg_exprs)
+
+    row_w = f"PARTITION BY {K} ORDER BY __seg, __rn"
+    past = lambda lo: f"OVER ({row_w} ROWS BETWEEN {lo} PRECEDING AND 1 PRECEDING)"
+    all_past = f"OVER ({row_w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    new_cols, exprs = [], []
+    for m in measures + roll_only:
         for w in windows:
-            roll_cols.append(F.avg(F.col(m).cast("double")).over(past(-w)).alias(f"{prefix}{m}_roll{w}"))
+            name = f"{prefix}{m}_roll{w}"
+            exprs.append(f"avg(CAST({_q(m)} AS DOUBLE)) {past(w)} AS {_q(name)}")
+            new_cols.append(name)
+    for m in measures:
         for s in spans:
-            seg_end = (F.col(_RN) % seg_len) == (seg_len - 1)
+            t = f"{m}_{s}".replace("`", "")
+            seg_end = f"__rn % {seg_len} = {seg_len - 1}"
             for part in ("a", "b"):
-                nm = f"__p{part}_{m}_{s}"
-                prev_cols.append(F.last(F.when(seg_end, F.col(f"__{part}t_{m}_{s}")), ignorenulls=True)
-                                 .over(all_past).alias(nm))
-                tmp.append(nm)
-    for kind, c in extra:
-        if kind != "lag-mean":
-            raise ValueError(kind)
-        for w in windows:
-            roll_cols.append(F.avg(F.col(c).cast("double")).over(past(-w)).alias(f"{prefix}{c}_roll{w}"))
-    out = out.select("*", *roll_cols, *prev_cols)
-
-    ewm_cols = []
+                exprs.append(f"last(CASE WHEN {seg_end} THEN `__{part}t_{t}` END, true) {all_past} AS `__p{part}_{t}`")
+                tmp.append(f"__p{part}_{t}")
+    if sub_risk:
+        ns = f"CAST({_q(sub_risk)} < 1 AS DOUBLE)"
+        if corrected:
+            exprs.append(f"avg({ns}) {past(SUB_RISK_WINDOW)} AS sub_risk")
+        else:
+            exprs.append(f"CASE WHEN __rn > 0 THEN sum({ns}) {past(SUB_RISK_WINDOW)} "
+                         f"/ least({SUB_RISK_WINDOW}, __rn + 1) END AS sub_risk")
+        new_cols.append("sub_risk")
+    if exprs:
+        out = out.selectExpr("*", *exprs)
+
+    ewm_exprs = []
     for m in measures:
         for s in spans:
-            qs = F.lit(ewm_decay(s) ** seg_len)
-            num = qs * F.coalesce(F.col(f"__pa_{m}_{s}"), F.lit(0.0)) + F.col(f"__a_{m}_{s}")
-            den = qs * F.coalesce(F.col(f"__pb_{m}_{s}"), F.lit(0.0)) + F.col(f"__b_{m}_{s}")
-            e_obs = F.when(F.col(m).isNotNull(), num / den)
-            ewm_cols.append(F.last(e_obs, ignorenulls=True).over(all_past).alias(f"{prefix}{m}_ewm{s}"))
-    out = out.select("*", *ewm_cols)
-    keep = base_cols + [c for c in out.columns if c not in base_cols and c not in tmp
-                        and c not in (_RN, _SEG)]
-    return out.select(*keep)
-
-
-def minutes_features(df: DataFrame, key: Sequence[str], order: Sequence,
+            t = f"{m}_{s}".replace("`", "")
+            qs = f"{ewm_decay(s) ** seg_len!r}D"
+            num = f"({qs} * coalesce(`__pa_{t}`, 0D) + `__a_{t}`)"
+            den = f"({qs} * coalesce(`__pb_{t}`, 0D) + `__b_{t}`)"
+            name = f"{prefix}{m}_ewm{s}"
+            ewm_exprs.append(f"last(CASE WHEN {_q(m)} IS NOT NULL THEN {num} / {den} END, true) {all_past} "
+                             f"AS {_q(name)}")
+            new_cols.append(name)
+    if ewm_exprs:
+        out = out.selectExpr("*", *ewm_exprs)
+    return out.selectExpr(*[_q(c) for c in cols], *[_q(c) for c in dict.fromkeys(new_cols)])
+
+
+def minutes_features(df: DataFrame, key: Sequence[str], order: Sequence[str],
                      minutes: str = "minutes", windows: Sequence[int] = ROLL_WINDOWS,
-                     corrected: bool = False) -> DataFrame:
-    """started, minutes_pct, their lagged means and sub_risk in one Window node.
+                     corrected: bool = False, measures: Iterable[str] = (),
+                     spans: Sequence[float] = EWM_SPANS) -> DataFrame:
+    """started, minutes_pct, their lagged means and sub_risk (plus optional
+    measure rolls/EWMs) in the same Window nodes.
 
     ``sub_risk`` keeps the reference quirk: the missing value created by the
     shift stays inside the size-5 window and counts in the denominator, so it is
     sum(not started over the last 5 rows) / least(5, row_number); NULL for the
     first row.  ``corrected=True`` uses the plain mean instead.
     """
-    m = F.col(minutes).cast("double")
-    out = df.withColumn("started", flag(m >= STARTED_MINUTES)) \
-            .withColumn("minutes_pct", m / MINUTES_PER_MATCH)
-    w = _key_window(list(key), order)
-    cols = []
-    for n in windows:
-        cols.append(F.avg("started").over(w.rowsBetween(-n, -1)).alias(f"started_roll{n}"))
-        cols.append(F.avg("minutes_pct").over(w.rowsBetween(-n, -1)).alias(f"minutes_pct_roll{n}"))
-    not_started = (F.col("started") < 1).cast("double")
-    last5 = w.rowsBetween(-SUB_RISK_WINDOW, -1)
-    if corrected:
-        cols.append(F.avg(not_started).over(last5).alias("sub_risk"))
-    else:
-        rn = F.row_number().over(w)
-        cols.append(F.when(rn > 1, F.sum(not_started).over(last5)
-                           / F.least(F.lit(SUB_RISK_WINDOW), rn)).alias("sub_risk"))
-    return out.select("*", *cols)
+    m = _q(minutes)
+    out = df.selectExpr("*", f"CAST(coalesce(CAST({m} AS DOUBLE) >= {STARTED_MINUTES}, false) AS DOUBLE) AS started",
+                        f"CAST({m} AS DOUBLE) / {MINUTES_PER_MATCH} AS minutes_pct")
+    return lagged_features(out, key, order, measures, windows, spans,
+                           roll_only=("started", "minutes_pct"), sub_risk="started", corrected=corrected)
 
 
 def last_state(df: DataFrame, key: Sequence[str], order: Sequence, columns: Sequence[str]) -> DataFrame:

@@ -175,10 +175,13 @@ def second_source_docs(spark: SparkSession, d: str) -> DataFrame:
                         F.when(F.col("l_linestatus") == "F", "OpenPlay").otherwise("SetPiece"),
                         F.lit("Pass"))
     # line items per order are bounded (at most 7), so the per-order list is small;
-    # sorted by (line number, part, supplier) so that element positions are deterministic
+    # sorted by (line number, part, supplier, then every value used) so that element
+    # positions are deterministic; rows still tied are identical
     shots = li.groupBy("l_orderkey").agg(
         F.transform(F.array_sort(F.collect_list(F.struct(
             F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("q"),
+            F.col("l_quantity").alias("qty"), F.col("l_discount").alias("dsc"), F.col("l_tax").alias("tax"),
+            F.col("l_returnflag").alias("rf"), F.col("l_linestatus").alias("ls"),
             shot_keys.alias("k"), shot_vals.alias("v")))),
                     lambda x: F.map_from_arrays(x["k"], x["v"])).alias("shotsData"),
         F.count(F.lit(1)).alias("n_shots"))

@@ -17,9 +17,10 @@ DEFAULT_ORDER = ("kickoff_time", "fixture_id")
 def add_history_features(history: DataFrame, measures: Sequence[str], key=("player_id",),
                          order=DEFAULT_ORDER, windows=win.ROLL_WINDOWS,
                          spans=win.EWM_SPANS) -> DataFrame:
-    """Rolling/EWM features of the measures plus minutes reliability, one key exchange."""
-    h = win.lagged_features(history, list(key), list(order), measures, windows, spans)
-    return win.minutes_features(h, list(key), list(order), windows=windows)
+    """Rolling/EWM features of the measures plus minutes reliability: one key
+    exchange, all window expressions in shared Window nodes."""
+    return win.minutes_features(history, list(key), list(order), windows=windows,
+                                measures=measures, spans=spans)
 
 
 def feature_build(history: DataFrame, fixtures: DataFrame, teams: DataFrame,

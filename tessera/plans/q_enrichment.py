@@ -238,7 +238,8 @@ def q_enrichment_coverage(spark, d):
 
 
 @query("flatten_history", sql_out(f"""SELECT o_custkey + {an.US_ID_OFFSET} AS doc_key,
-  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS BIGINT) AS pos,
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
+    l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS BIGINT) AS pos,
   l_orderkey AS match_id, CAST(l_linenumber * 10 AS BIGINT) AS minute, l_discount * 4 AS xG,
   CASE WHEN l_linestatus = 'F' THEN 'Goal' ELSE 'MissedShots' END AS result,
   CAST(NULL AS DOUBLE) AS expected_goals

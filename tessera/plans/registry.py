@@ -31,17 +31,19 @@ def query(name: str, sql: str | None = None):
 
 
 def normalise(df: DataFrame) -> DataFrame:
-    cols = []
+    exprs = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = "`" + f.name.replace("`", "``") + "`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            e = f"round(CAST({c} AS DOUBLE), 6) + 0D"
         elif isinstance(f.dataType, T.TimestampType):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+            e = f"date_format({c}, 'yyyy-MM-dd HH:mm:ss')"
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            c = c.cast("bigint")
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+            e = f"CAST({c} AS BIGINT)"
+        else:
+            e = c
+        exprs.append(f"{e} AS {c}")
+    return df.selectExpr(*exprs)
 
 
 def sql_out(inner: str, doubles=(), timestamps=()) -> str:
