@@ -36,6 +36,8 @@ EWM_SPANS = (3, 5)
 STARTED_MINUTES = 45
 MINUTES_PER_MATCH = 90.0
 SUB_RISK_WINDOW = 5
+# A key above this many rows would make one window task a straggler.
+HOT_KEY_ROWS = 2_000_000
 
 _RN = "__rn"
 _SEG = "__seg"
@@ -65,9 +67,15 @@ def lagged_features(df: DataFrame, key: Sequence[str], order: Sequence[str],
                     measures: Iterable[str], windows: Sequence[int] = ROLL_WINDOWS,
                     spans: Sequence[float] = EWM_SPANS, prefix: str = "",
                     roll_only: Sequence[str] = (), sub_risk: str | None = None,
-                    corrected: bool = False) -> DataFrame:
+                    corrected: bool = False, chunk: str | None = None,
+                    strategy: str | None = None) -> DataFrame:
     """Add ``{prefix}{m}_roll{w}`` and ``{prefix}{m}_ewm{s}`` for each present measure.
 
+    ``strategy``: "key" (one window partition per key), "segmented" (hot-key
+    safe, needs ``chunk``) or "auto" (default; conf ``tessera.window.strategy``):
+    segmented when the largest key exceeds ``tessera.window.hotKeyRows`` rows
+    (measured with one partial aggregation).
+
     Measures absent from ``df`` are skipped silently.  ``roll_only`` columns get
     the rolling means only; ``sub_risk`` names a 0/1 started column from which
     the reference's sub-risk share is derived.  The expressions are emitted as
@@ -75,6 +83,9 @@ def lagged_features(df: DataFrame, key: Sequence[str], order: Sequence[str],
     one exchange, one sort on (key, order) and one on (key, segment, row).
     """
     key, order = list(key), list(order)
+    if chunk is not None and choose_strategy(df, key, strategy) == "segmented":
+        return lagged_features_segmented(df, key, order, chunk, measures, windows, spans, prefix,
+                                         roll_only, sub_risk, corrected)
     cols = df.columns
     measures = [m for m in measures if m in cols]
     roll_only = [m for m in roll_only if m in cols and m not in measures]
@@ -143,10 +154,20 @@ def lagged_features(df: DataFrame, key: Sequence[str], order: Sequence[str],
     return out.selectExpr(*[_q(c) for c in cols], *[_q(c) for c in dict.fromkeys(new_cols)])
 
 
+def choose_strategy(df: DataFrame, key: Sequence[str], strategy: str | None = None) -> str:
+    spark = df.sparkSession
+    strategy = strategy or spark.conf.get("tessera.window.strategy", "auto")
+    if strategy != "auto":
+        return strategy
+    limit = int(spark.conf.get("tessera.window.hotKeyRows", str(HOT_KEY_ROWS)))
+    return "segmented" if max_rows_per_key(df, key) > limit else "key"
+
+
 def minutes_features(df: DataFrame, key: Sequence[str], order: Sequence[str],
                      minutes: str = "minutes", windows: Sequence[int] = ROLL_WINDOWS,
                      corrected: bool = False, measures: Iterable[str] = (),
-                     spans: Sequence[float] = EWM_SPANS) -> DataFrame:
+                     spans: Sequence[float] = EWM_SPANS, chunk: str | None = None,
+                     strategy: str | None = None) -> DataFrame:
     """started, minutes_pct, their lagged means and sub_risk (plus optional
     measure rolls/EWMs) in the same Window nodes.
 
@@ -159,7 +180,8 @@ def minutes_features(df: DataFrame, key: Sequence[str], order: Sequence[str],
     out = df.selectExpr("*", f"CAST(coalesce(CAST({m} AS DOUBLE) >= {STARTED_MINUTES}, false) AS DOUBLE) AS started",
                         f"CAST({m} AS DOUBLE) / {MINUTES_PER_MATCH} AS minutes_pct")
     return lagged_features(out, key, order, measures, windows, spans,
-                           roll_only=("started", "minutes_pct"), sub_risk="started", corrected=corrected)
+                           roll_only=("started", "minutes_pct"), sub_risk="started", corrected=corrected,
+                           chunk=chunk, strategy=strategy)
 
 
 def last_state(df: DataFrame, key: Sequence[str], order: Sequence, columns: Sequence[str]) -> DataFrame:
@@ -194,3 +216,135 @@ def keep_first(df: DataFrame, key: Sequence[str], order: Sequence) -> DataFrame:
 
 def lag_mean(c: str, key: Sequence[str], order: Sequence, w: int) -> Column:
     return F.avg(F.col(c).cast("double")).over(_key_window(list(key), order).rowsBetween(-w, -1))
+
+
+# ---------------------------------------------------------------- hot keys
+def lagged_features_segmented(df: DataFrame, key: Sequence[str], order: Sequence[str], chunk: str,
+                              measures: Iterable[str], windows: Sequence[int] = ROLL_WINDOWS,
+                              spans: Sequence[float] = EWM_SPANS, prefix: str = "",
+                              roll_only: Sequence[str] = (), sub_risk: str | None = None,
+                              corrected: bool = False) -> DataFrame:
+    """Same output as ``lagged_features`` without a single-task partition per key.
+
+    For keys that may hold a large share of all rows.  ``chunk`` is a SQL
+    expression, monotone in ``order`` and coarse (a period, a day), that splits
+    a key into pieces:
+
+    1. row numbers: per-(key, chunk) counts -> offsets by a running sum over
+       the small count table -> ``offset + row_number()`` within (key, chunk);
+    2. rows are cut into segments of S rows; each row is processed in its own
+       segment, and the last H rows of a segment are also copied as a halo
+       into the next one (H = the longest row frame), so bounded frames are exact;
+    3. EWM: per-segment sums (S times fewer rows than the data) give the
+       previous segment's contribution and the carried value across segments
+       without observations; joined back on (key, segment).
+
+    Full-data shuffles are on (key, chunk) and (key, segment): balanced as long
+    as a single (key, chunk) is not itself huge.
+    """
+    key, order = list(key), list(order)
+    cols = df.columns
+    measures = [m for m in measures if m in cols]
+    roll_only = [m for m in roll_only if m in cols and m not in measures]
+    K = ", ".join(_q(k) for k in key)
+    O = ", ".join(_q(o) for o in order)
+    S = ewm_segment(spans) if (spans and measures) else 1024
+    H = max(list(windows) + ([SUB_RISK_WINDOW] if sub_risk else []) + [1])
+    S = max(S, H)
+
+    base = df.selectExpr("*", f"{chunk} AS __chunk")
+    counts = base.groupBy(*key, "__chunk").count()
+    offs = counts.selectExpr(*[_q(k) for k in key], "__chunk",
+                             f"coalesce(sum(`count`) OVER (PARTITION BY {K} ORDER BY __chunk "
+                             f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __off")
+    r = base.join(offs, key + ["__chunk"], "inner")
+    r = r.selectExpr("*", f"__off + row_number() OVER (PARTITION BY {K}, __chunk ORDER BY {O}) - 1 AS __rn") \
+         .selectExpr("*", f"floor(__rn / {S}) AS __seg").drop("__chunk", "__off")
+
+    # per-segment EWM sums (segment-relative weights), prev-segment sums and carry
+    summ_aggs, summ_win = [], []
+    for m in measures:
+        x = f"CAST({_q(m)} AS DOUBLE)"
+        for s in spans:
+            t = f"{m}_{s}".replace("`", "")
+            rel = f"pow({ewm_decay(s)!r}D, -(__rn - __seg * {S}))"
+            summ_aggs += [f"sum({x} * {rel}) AS `__at_{t}`", f"sum(CASE WHEN {x} IS NOT NULL THEN {rel} END) AS `__bt_{t}`"]
+    summary = None
+    if summ_aggs:
+        summary = r.groupBy(*key, "__seg").agg(*[F.expr(e) for e in summ_aggs])
+        sw = f"OVER (PARTITION BY {K} ORDER BY __seg)"
+        for m in measures:
+            for s in spans:
+                t = f"{m}_{s}".replace("`", "")
+                summ_win += [f"lag(`__at_{t}`) {sw} AS `__pa_{t}`", f"lag(`__bt_{t}`) {sw} AS `__pb_{t}`"]
+        summary = summary.selectExpr("*", *summ_win)
+        last_e = []
+        for m in measures:
+            for s in spans:
+                t = f"{m}_{s}".replace("`", "")
+                qs = f"{ewm_decay(s) ** S!r}D"
+                last_e.append(f"CASE WHEN `__bt_{t}` IS NOT NULL THEN ({qs} * coalesce(`__pa_{t}`, 0D) + `__at_{t}`)"
+                              f" / ({qs} * coalesce(`__pb_{t}`, 0D) + `__bt_{t}`) END AS `__le_{t}`")
+        summary = summary.selectExpr("*", *last_e)
+        carry = []
+        for m in measures:
+            for s in spans:
+                t = f"{m}_{s}".replace("`", "")
+                carry.append(f"last(`__le_{t}`, true) OVER (PARTITION BY {K} ORDER BY __seg "
+                             f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS `__c_{t}`")
+        summary = summary.selectExpr(*[_q(k) for k in key], "__seg AS __part",
+                                     *[f"`__p{p}_{m}_{s}`" for m in measures for s in spans
+                                       for p in ("a", "b")], *carry)
+
+    own = r.selectExpr("*", "__seg AS __part", "false AS __halo")
+    halo = r.filter(f"__rn % {S} >= {S - H}").selectExpr("*", "__seg + 1 AS __part", "true AS __halo")
+    u = own.unionByName(halo)
+    if summary is not None:
+        u = u.join(summary, key + ["__part"], "left")
+
+    pw = f"PARTITION BY {K}, __part ORDER BY __rn"
+    past = lambda lo: f"OVER ({pw} ROWS BETWEEN {lo} PRECEDING AND 1 PRECEDING)"
+    run = f"OVER ({pw} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    new_cols, exprs, tmp = [], [], []
+    for m in measures + roll_only:
+        for w in windows:
+            name = f"{prefix}{m}_roll{w}"
+            exprs.append(f"avg(CAST({_q(m)} AS DOUBLE)) {past(w)} AS {_q(name)}")
+            new_cols.append(name)
+    if sub_risk:
+        ns = f"CAST({_q(sub_risk)} < 1 AS DOUBLE)"
+        if corrected:
+            exprs.append(f"avg({ns}) {past(SUB_RISK_WINDOW)} AS sub_risk")
+        else:
+            exprs.append(f"CASE WHEN __rn > 0 THEN sum({ns}) {past(SUB_RISK_WINDOW)} "
+                         f"/ least({SUB_RISK_WINDOW}, __rn + 1) END AS sub_risk")
+        new_cols.append("sub_risk")
+    for m in measures:
+        x = f"CAST({_q(m)} AS DOUBLE)"
+        for s in spans:
+            t = f"{m}_{s}".replace("`", "")
+            rel = f"pow({ewm_decay(s)!r}D, -(__rn - __part * {S}))"
+            exprs += [f"sum(CASE WHEN NOT __halo THEN {x} * {rel} END) {run} AS `__a_{t}`",
+                      f"sum(CASE WHEN NOT __halo AND {x} IS NOT NULL THEN {rel} END) {run} AS `__b_{t}`"]
+            tmp += [f"__a_{t}", f"__b_{t}"]
+    out = u.selectExpr("*", *exprs)
+    ewm = []
+    for m in measures:
+        for s in spans:
+            t = f"{m}_{s}".replace("`", "")
+            qs = f"{ewm_decay(s) ** S!r}D"
+            e = (f"CASE WHEN NOT __halo AND {_q(m)} IS NOT NULL THEN ({qs} * coalesce(`__pa_{t}`, 0D) + `__a_{t}`)"
+                 f" / ({qs} * coalesce(`__pb_{t}`, 0D) + `__b_{t}`) END")
+            name = f"{prefix}{m}_ewm{s}"
+            ewm.append(f"coalesce(last({e}, true) {past('UNBOUNDED')}, `__c_{t}`) AS {_q(name)}")
+            new_cols.append(name)
+    if ewm:
+        out = out.selectExpr("*", *ewm)
+    out = out.filter("NOT __halo")
+    return out.selectExpr(*[_q(c) for c in cols], *[_q(c) for c in dict.fromkeys(new_cols)])
+
+
+def max_rows_per_key(df: DataFrame, key: Sequence[str]) -> int:
+    """Size probe for choosing the window strategy (partial aggregation, one row back)."""
+    r = df.groupBy(*key).count().agg(F.max("count")).first()[0]
+    return int(r or 0)

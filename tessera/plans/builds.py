@@ -16,11 +16,13 @@ DEFAULT_ORDER = ("kickoff_time", "fixture_id")
 
 def add_history_features(history: DataFrame, measures: Sequence[str], key=("player_id",),
                          order=DEFAULT_ORDER, windows=win.ROLL_WINDOWS,
-                         spans=win.EWM_SPANS) -> DataFrame:
+                         spans=win.EWM_SPANS, chunk: str | None = "gw",
+                         strategy: str | None = None) -> DataFrame:
     """Rolling/EWM features of the measures plus minutes reliability: one key
-    exchange, all window expressions in shared Window nodes."""
+    exchange, all window expressions in shared Window nodes (or the hot-key
+    segmented plan when the largest key is too big for one task)."""
     return win.minutes_features(history, list(key), list(order), windows=windows,
-                                measures=measures, spans=spans)
+                                measures=measures, spans=spans, chunk=chunk, strategy=strategy)
 
 
 def feature_build(history: DataFrame, fixtures: DataFrame, teams: DataFrame,
@@ -79,7 +81,7 @@ def enrichment_features(docs: DataFrame, periods: DataFrame, mapping: DataFrame,
     from tessera.operators.asof import asof_backward
     m = second_source_matches(docs, seasons)
     m = win.lagged_features(m, ["understat_id"], ["date", "match_id"], US_ROLL_COLS,
-                            windows, spans, prefix="us_")
+                            windows, spans, prefix="us_", chunk="date_trunc('DAY', date)")
     m = asof_backward(m, "date", period_dim(periods) if "id" in periods.columns else periods)
     m = m.join(mapping.select("fpl_id", "understat_id"), "understat_id", "inner")
     us_cols = [c for c in m.columns if c.startswith("us_")]

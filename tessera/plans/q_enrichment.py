@@ -208,7 +208,8 @@ WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED P
 def q_us_roll_ewm(spark, d):
     """The same lagged operators over another key / order / prefix (events per user)."""
     e = read_table(spark, d, "events").select("user_id", "event_id", "ts", "value")
-    out = win.lagged_features(e, ["user_id"], ["ts", "event_id"], ["value"], prefix="us_")
+    out = win.lagged_features(e, ["user_id"], ["ts", "event_id"], ["value"], prefix="us_",
+                              chunk="date_trunc('HOUR', ts)")
     return out.select("user_id", "event_id", "us_value_roll3", "us_value_roll5",
                       "us_value_ewm3", "us_value_ewm5")
 

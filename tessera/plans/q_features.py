@@ -40,7 +40,7 @@ FROM ({an.HISTORY_SQL}) AS h""",
 def q_roll_mean(spark, d):
     """Mean of the non-missing values among the previous w rows of the key."""
     h = an.history(spark, d)
-    out = win.lagged_features(h, KEY, ORDER, MEASURES, windows=(3, 5), spans=())
+    out = win.lagged_features(h, KEY, ORDER, MEASURES, windows=(3, 5), spans=(), chunk="gw")
     return out.select("player_id", "fixture_id", "gw",
                       *[f"{m}_roll{w}" for m in MEASURES for w in (3, 5)])
 
@@ -53,7 +53,7 @@ FROM ({HIST_RN}) AS h""",
 def q_ewm_mean(spark, d):
     """Lagged EWM (adjust=True, ignore_na=False, min_periods=1), exact for any key length."""
     h = an.history(spark, d)
-    out = win.lagged_features(h, KEY, ORDER, MEASURES, windows=(), spans=(3, 5))
+    out = win.lagged_features(h, KEY, ORDER, MEASURES, windows=(), spans=(3, 5), chunk="gw")
     return out.select("player_id", "fixture_id", "gw",
                       *[f"{m}_ewm{s}" for m in MEASURES for s in (3, 5)])
 
@@ -67,8 +67,8 @@ FROM ({an.HISTORY_SQL}) AS h"""
 def q_minutes_flags(spark, d):
     """started = minutes >= 45 (missing -> 0), minutes_pct = minutes / 90."""
     h = an.history(spark, d)
-    return win.minutes_features(h, KEY, ORDER).select("player_id", "fixture_id", "gw",
-                                                       "started", "minutes_pct")
+    return win.minutes_features(h, KEY, ORDER, chunk="gw").select("player_id", "fixture_id", "gw",
+                                                                  "started", "minutes_pct")
 
 
 REL_COLS = ["started_roll3", "started_roll5", "minutes_pct_roll3", "minutes_pct_roll5"]
@@ -83,7 +83,7 @@ FROM (SELECT m.*, h.kickoff_time FROM ({MINUTES_SQL}) m JOIN ({an.HISTORY_SQL})
 def q_minutes_reliability(spark, d):
     """Lagged means of started and minutes_pct."""
     h = an.history(spark, d)
-    return win.minutes_features(h, KEY, ORDER).select("player_id", "fixture_id", "gw", *REL_COLS)
+    return win.minutes_features(h, KEY, ORDER, chunk="gw").select("player_id", "fixture_id", "gw", *REL_COLS)
 
 
 @query("sub_risk", sql_out(
@@ -96,7 +96,7 @@ FROM (SELECT m.*, h.kickoff_time FROM ({MINUTES_SQL}) m JOIN ({an.HISTORY_SQL})
 def q_sub_risk(spark, d):
     """Share of the last five rows not started, reference denominator."""
     h = an.history(spark, d)
-    return win.minutes_features(h, KEY, ORDER).select("player_id", "fixture_id", "gw", "sub_risk")
+    return win.minutes_features(h, KEY, ORDER, chunk="gw").select("player_id", "fixture_id", "gw", "sub_risk")
 
 
 def _ord_sql() -> str:

@@ -113,3 +113,27 @@ def test_keep_last_and_first(spark):
     last = {r.k: r.v for r in win.keep_last(sdf, ["k"], ["d"]).collect()}
     first = {r.k: r.v for r in win.keep_first(sdf, ["k"], ["d"]).collect()}
     assert last == {1: "b", 2: "c"} and first == {1: "a", 2: "c"}
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_segmented_path_equals_pandas(spark, seed):
+    """Hot-key path: one key holds most rows, long null runs; same output as pandas."""
+    pdf = _frame(n_keys=4, max_len=30, long_key=1200, seed=seed, null_frac=0.3)
+    pdf.loc[(pdf.k == 999) & (pdf.t.between(400, 700)), "x"] = None   # null run longer than a segment
+    pdf["chunk"] = pdf["t"] // 37
+    out = win.lagged_features_segmented(spark.createDataFrame(pdf), ["k"], ["t"], "chunk", ["x"],
+                                        windows=(3, 5), spans=(3, 5), roll_only=("minutes",))
+    _compare(out, _pandas_expected(pdf, "x", (3, 5), (3, 5)), ["x_roll3", "x_roll5", "x_ewm3", "x_ewm5"])
+    simple = win.lagged_features(spark.createDataFrame(pdf), ["k"], ["t"], ["x"], windows=(3, 5), spans=(3, 5),
+                                 roll_only=("minutes",))
+    _compare(out, simple.toPandas(), ["minutes_roll3", "minutes_roll5"])
+
+
+def test_segmented_sub_risk(spark):
+    pdf = _frame(n_keys=3, long_key=700, seed=8)
+    pdf["chunk"] = pdf["t"] // 50
+    sdf = spark.createDataFrame(pdf).selectExpr("*", "CAST(coalesce(minutes >= 45, false) AS DOUBLE) AS started")
+    a = win.lagged_features_segmented(sdf, ["k"], ["t"], "chunk", [], windows=(3,), spans=(), roll_only=("started",),
+                                      sub_risk="started")
+    b = win.lagged_features(sdf, ["k"], ["t"], [], windows=(3,), spans=(), roll_only=("started",), sub_risk="started")
+    _compare(a, b.toPandas(), ["started_roll3", "sub_risk"])
