@@ -89,7 +89,7 @@ FROM ({HISTORY_SQL}) h LEFT JOIN ({PLAYERS_SQL}) p ON p.id = h.player_id"""
 
 
 def fixtures(spark: SparkSession, d: str) -> DataFrame:
-    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber",
+    li = read_table(spark, d, "lineitem", spread=True).select("l_orderkey", "l_suppkey", "l_linenumber",
                                                 "l_quantity", "l_returnflag", "l_linestatus")
     o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     s = read_table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
@@ -157,10 +157,10 @@ def _str(c) -> F.Column:
 
 
 def second_source_docs(spark: SparkSession, d: str) -> DataFrame:
-    li = read_table(spark, d, "lineitem").select(
+    li = read_table(spark, d, "lineitem", spread=True).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus")
-    o = read_table(spark, d, "orders").select(
+    o = read_table(spark, d, "orders", spread=True).select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     shot_type = (F.when(F.col("l_returnflag") == "R", "Head")
                  .when(F.col("l_returnflag") == "A", "RightFoot").otherwise("LeftFoot"))

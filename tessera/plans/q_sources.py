@@ -113,7 +113,7 @@ def q_mapping_report(spark, d):
 
 
 def _pages_with_vars(spark, d):
-    p = read_table(spark, d, "pages")
+    p = read_table(spark, d, "pages", spread=True)
     esc = lambda c: F.replace(c, F.lit('"'), F.lit("\\x22"))
     page = esc(F.to_json(F.struct("page_id", "url")))
     meta = esc(F.to_json(F.struct(F.length("url").alias("n_chars"))))
