@@ -28,14 +28,17 @@ def full_name(first, second) -> Column:
 
 
 def parse_utc(c) -> Column:
-    """ISO-8601 ('...T...Z'), 'yyyy-MM-dd HH:mm:ss' or 'yyyy-MM-dd' -> TIMESTAMP; bad -> NULL."""
+    """ISO-8601 ('...T...Z'), 'yyyy-MM-dd HH:mm:ss' or 'yyyy-MM-dd' -> TIMESTAMP; bad -> NULL.
+
+    The spelling is picked from the string's shape, so each value is parsed
+    once (a failed pattern attempt is costly per row).
+    """
     s = col_(c).cast("string")
-    return F.coalesce(
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]X")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd")),
-    )
+    iso = F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]X")),
+                     F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")))
+    return (F.when(F.length(s) == 10, F.try_to_timestamp(s, F.lit("yyyy-MM-dd")))
+            .when(F.substring(s, 11, 1) == "T", iso)
+            .otherwise(F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]"))))
 
 
 def safe_div(a, b) -> Column:

@@ -41,8 +41,8 @@ def matrix(spark, d):
     return labelled, cols
 
 
-def fitted(spark, d):
-    """Train once per (session, data dir): GBT + isotonic calibrator + quantile forest."""
+def fitted(spark, d, parts=("gbt", "calibrator", "quantiles")):
+    """Train once per (session, data dir), only the parts a query needs."""
     key = (id(spark), d)
     if key not in _FITTED:
         labelled, cols = matrix(spark, d)
@@ -50,22 +50,28 @@ def fitted(spark, d):
         train = labelled.filter(F.col("split") == "train")
         val = labelled.filter(F.col("split") == "val")
         model = ml.ForecastModel(cols, qrf_trees=QUERY_PARAMS["qrf_trees"], max_iter=QUERY_PARAMS["max_iter"])
-        model.fit(train).fit_calibrator(val).fit_quantiles(train)
         _FITTED[key] = (model, train, val, cols)
+    model, train, val, cols = _FITTED[key]
+    if "gbt" in parts and model.model is None:
+        model.fit(train)
+    if "calibrator" in parts and model.calibrator is None:
+        model.fit_calibrator(val)
+    if "quantiles" in parts and model.forest is None:
+        model.fit_quantiles(train)
     return _FITTED[key]
 
 
 @query("gbt_fit_predict")
 def q_gbt_fit_predict(spark, d):
     """M1/M4: boosted trees (absolute loss, time-based validation slice) -> val predictions."""
-    model, _, val, _ = fitted(spark, d)
+    model, _, val, _ = fitted(spark, d, ("gbt",))
     return model.predict(val, calibrated=False).select("player_id", "gw", "total_points", "prediction")
 
 
 @query("isotonic_calibrate")
 def q_isotonic_calibrate(spark, d):
     """M3: isotonic calibration of the raw prediction on the validation set."""
-    model, _, val, _ = fitted(spark, d)
+    model, _, val, _ = fitted(spark, d, ("gbt", "calibrator"))
     return model.predict(val, calibrated=True).select("player_id", "gw", "total_points",
                                                       "raw_prediction", "prediction")
 
@@ -73,14 +79,14 @@ def q_isotonic_calibrate(spark, d):
 @query("quantile_predict")
 def q_quantile_predict(spark, d):
     """M5: P10/P50/P90 from leaf label quantiles of a random forest."""
-    model, _, val, _ = fitted(spark, d)
+    model, _, val, _ = fitted(spark, d, ("quantiles",))
     return model.predict_quantiles(val.select("fixture_id", *model.feature_cols), ["fixture_id"])
 
 
 @query("feature_importance")
 def q_feature_importance(spark, d):
     """Top-30 importances of the boosted model."""
-    model, _, _, _ = fitted(spark, d)
+    model, _, _, _ = fitted(spark, d, ("gbt",))
     return model.feature_importance(spark, 30)
 
 
