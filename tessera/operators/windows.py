@@ -348,3 +348,18 @@ def max_rows_per_key(df: DataFrame, key: Sequence[str]) -> int:
     """Size probe for choosing the window strategy (partial aggregation, one row back)."""
     r = df.groupBy(*key).count().agg(F.max("count")).first()[0]
     return int(r or 0)
+
+
+def period_strict(df: DataFrame, key: Sequence[str], period: str, order: Sequence[str],
+                  cols: Sequence[str]) -> DataFrame:
+    """Option strict="period": a row sees only rows of earlier periods.
+
+    The row-strict feature of the first row of a (key, period) group is built
+    from exactly the rows of earlier periods, so every row of the group takes
+    that value (``first`` over the group: the key's partitioning is reused).
+    """
+    K = ", ".join(_q(k) for k in key)
+    O = ", ".join(_q(o) for o in order)
+    w = f"OVER (PARTITION BY {K}, {_q(period)} ORDER BY {O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    repl = {c: f"first({_q(c)}) {w} AS {_q(c)}" for c in cols}
+    return df.selectExpr(*[repl.get(c, _q(c)) for c in df.columns])

@@ -17,12 +17,55 @@ DEFAULT_ORDER = ("kickoff_time", "fixture_id")
 def add_history_features(history: DataFrame, measures: Sequence[str], key=("player_id",),
                          order=DEFAULT_ORDER, windows=win.ROLL_WINDOWS,
                          spans=win.EWM_SPANS, chunk: str | None = "gw",
-                         strategy: str | None = None) -> DataFrame:
+                         strategy: str | None = None, strict: str = "row",
+                         period: str = "gw") -> DataFrame:
     """Rolling/EWM features of the measures plus minutes reliability: one key
     exchange, all window expressions in shared Window nodes (or the hot-key
-    segmented plan when the largest key is too big for one task)."""
-    return win.minutes_features(history, list(key), list(order), windows=windows,
-                                measures=measures, spans=spans, chunk=chunk, strategy=strategy)
+    segmented plan when the largest key is too big for one task).
+
+    ``strict="row"`` (reference parity): past rows, so the second match of a
+    double period sees the first; ``strict="period"``: only earlier periods.
+    """
+    out = win.minutes_features(history, list(key), list(order), windows=windows,
+                               measures=measures, spans=spans, chunk=chunk, strategy=strategy)
+    if strict == "period":
+        new = [c for c in out.columns if c not in history.columns and c not in ("started", "minutes_pct")]
+        out = win.period_strict(out, list(key), period, list(order), new)
+    return out
+
+
+def prediction_features_next_row(history: DataFrame, fixture_ctx: DataFrame, teams: DataFrame | None,
+                                 target_gw: int, measures: Sequence[str], key=("player_id",),
+                                 order=DEFAULT_ORDER, feature_cols: Sequence[str] | None = None) -> DataFrame:
+    """Option as_of="next_row": features of the target period include the newest match.
+
+    One synthetic row per key is appended after its last past row (measures
+    missing, ordered last) before the window layer runs; its lagged features
+    are the prediction features.  Descriptive columns come from the key's last
+    state; the target period's context is joined as in the parity mode.
+    """
+    from tessera.operators import matrix as mx
+    past = history.filter(F.col("gw") < target_gw)
+    descr = [c for c in past.columns if c not in key and c not in measures and c not in order
+             and c not in ("gw", "minutes", "total_points")]
+    state = win.last_state(past, list(key), list(order), descr)
+    synth = state.select(*key, *descr, F.lit(target_gw).cast("bigint").alias("gw"),
+                         *[F.lit(None).cast(past.schema[c].dataType).alias(c) for c in past.columns
+                           if c not in key and c not in descr and c != "gw"])
+    synth = synth.withColumn("__synthetic", F.lit(True))
+    # ordered last: the largest possible order values
+    synth = synth.withColumn(order[0], F.lit("9999-12-31 00:00:00").cast("timestamp")) \
+                 .withColumn(order[1], F.lit(2 ** 62).cast("bigint"))
+    both = past.withColumn("__synthetic", F.lit(False)).unionByName(synth.select(*past.columns, "__synthetic"))
+    feats = add_history_features(both, measures, key, order)
+    if "value" in feats.columns:
+        feats = feats.withColumn("cost", F.col("value") / 10)
+    rows = feats.filter("__synthetic").drop("__synthetic", *ctxop.CONTEXT_COLS, *ctxop.STRENGTH_COLS)
+    upcoming = fixture_ctx.filter(F.col("gw") == target_gw).select("team_id", *ctxop.CONTEXT_COLS)
+    out = rows.join(F.broadcast(upcoming), "team_id", "inner")  # one period: |teams| rows
+    if teams is not None:
+        out = ctxop.join_team_strength(out, teams)
+    return mx.fill_missing_features(out, feature_cols) if feature_cols is not None else out
 
 
 def feature_build(history: DataFrame, fixtures: DataFrame, teams: DataFrame,

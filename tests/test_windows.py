@@ -137,3 +137,30 @@ def test_segmented_sub_risk(spark):
                                       sub_risk="started")
     b = win.lagged_features(sdf, ["k"], ["t"], [], windows=(3,), spans=(), roll_only=("started",), sub_risk="started")
     _compare(a, b.toPandas(), ["started_roll3", "sub_risk"])
+
+
+def test_period_strict_excludes_same_period(spark):
+    from tessera.plans.builds import add_history_features
+    pdf = pd.DataFrame({"player_id": [1] * 5, "fixture_id": [1, 2, 3, 4, 5], "gw": [1, 2, 2, 3, 3],
+                        "kickoff_time": pd.to_datetime(["2024-01-01", "2024-01-08", "2024-01-09", "2024-01-15",
+                                                        "2024-01-16"]),
+                        "total_points": [1.0, 2.0, 4.0, 8.0, 16.0], "minutes": [90.0] * 5})
+    df = spark.createDataFrame(pdf)
+    row = {r.fixture_id: r.total_points_roll3 for r in add_history_features(df, ["total_points"]).collect()}
+    per = {r.fixture_id: r.total_points_roll3
+           for r in add_history_features(df, ["total_points"], strict="period").collect()}
+    assert row[3] == 1.5 and per[3] == 1.0            # the double-period partner is excluded
+    assert per[2] == per[3] and per[4] == per[5] == pytest.approx(7 / 3)
+
+
+def test_prediction_features_next_row_includes_newest(spark):
+    from tessera.plans.builds import prediction_features_next_row
+    pdf = pd.DataFrame({"player_id": [1, 1, 1], "fixture_id": [1, 2, 3], "gw": [1, 2, 3], "team_id": [5, 5, 5],
+                        "kickoff_time": pd.to_datetime(["2024-01-01", "2024-01-08", "2024-01-15"]),
+                        "total_points": [1.0, 2.0, 6.0], "minutes": [90.0, 90.0, 10.0]})
+    ctx = spark.createDataFrame(pd.DataFrame({"team_id": [5], "gw": [4], "fixture_difficulty": [2.0],
+                                              "opponent_difficulty": [3.0], "is_double_gw": [False],
+                                              "n_fixtures": [1]}))
+    out = prediction_features_next_row(spark.createDataFrame(pdf), ctx, None, 4, ["total_points"]).first()
+    assert out.total_points_roll3 == pytest.approx(3.0) and out.gw == 4 and out.fixture_difficulty == 2.0
+    assert out.started_roll3 == pytest.approx(2 / 3)
