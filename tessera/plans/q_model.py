@@ -16,7 +16,7 @@ from tessera.plans import builds
 from tessera.plans.q_eval import TARGET_GW, VAL_START
 from tessera.plans.q_features import MEASURES
 from tessera.plans.registry import query, sql_out
-from tessera.session import scratch_path
+from tessera.session import scratch_path, shared_dir
 
 # Small round counts keep the registered queries quick; production uses GBM_DEFAULTS.
 QUERY_PARAMS = dict(max_iter=15, qrf_trees=8)
@@ -46,7 +46,10 @@ def fitted(spark, d, parts=("gbt", "calibrator", "quantiles")):
     key = (id(spark), d)
     if key not in _FITTED:
         labelled, cols = matrix(spark, d)
-        labelled = labelled.persist()
+        shared_dir(spark)
+        # reliable checkpoint in the shared folder: many training jobs read the
+        # matrix, and a lost executor must not replay the whole feature build
+        labelled = labelled.checkpoint(eager=True)
         train = labelled.filter(F.col("split") == "train")
         val = labelled.filter(F.col("split") == "val")
         model = ml.ForecastModel(cols, qrf_trees=QUERY_PARAMS["qrf_trees"], max_iter=QUERY_PARAMS["max_iter"])
