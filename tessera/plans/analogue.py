@@ -162,31 +162,29 @@ def second_source_docs(spark: SparkSession, d: str) -> DataFrame:
         "l_returnflag", "l_linestatus")
     o = read_table(spark, d, "orders", spread=True).select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
-    # line items per order are bounded (at most a few dozen), so the per-order list
-    # is small; the raw numeric structs are collected and sorted (by line number,
-    # part, supplier, then every value used: positions are deterministic, rows
-    # still tied are identical) and only then turned into string maps
-    raw = F.struct(*[F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount",
-                                        "l_tax", "l_returnflag", "l_linestatus", "l_orderkey")])
-    shots = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(raw)).alias("raw"),
-                                         F.count(F.lit(1)).alias("n_shots"))
-
-    def to_map(x):
-        kind = F.when(x["l_linenumber"] == 1, F.lit("type")).otherwise(F.lit("shotType"))
-        shot_type = (F.when(x["l_returnflag"] == "R", "Head")
-                     .when(x["l_returnflag"] == "A", "RightFoot").otherwise("LeftFoot"))
-        keys = F.array(F.lit("match_id"), F.lit("minute"), F.lit("X"), F.lit("Y"), F.lit("xG"),
-                       F.lit("result"), kind, F.lit("situation"), F.lit("lastAction"))
-        vals = F.array(_str(x["l_orderkey"]), _str(x["l_linenumber"] * 10),
-                       _str(F.lit(0.75) + x["l_tax"] * 2), _str(x["l_quantity"] / 50),
-                       _str(x["l_discount"] * 4),
-                       F.when(x["l_linestatus"] == "F", "Goal").otherwise("MissedShots"),
-                       shot_type,
-                       F.when(x["l_linestatus"] == "F", "OpenPlay").otherwise("SetPiece"),
-                       F.lit("Pass"))
-        return F.map_from_arrays(keys, vals)
-
-    shots = shots.select("l_orderkey", "n_shots", F.transform("raw", to_map).alias("shotsData"))
+    # line items per order are bounded (at most a few dozen), so the per-order list is small
+    sort_key = F.struct(*[F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                                             "l_discount", "l_tax", "l_returnflag", "l_linestatus")])
+    kind = F.when(F.col("l_linenumber") == 1, F.lit("type")).otherwise(F.lit("shotType"))
+    shot_type = (F.when(F.col("l_returnflag") == "R", "Head")
+                 .when(F.col("l_returnflag") == "A", "RightFoot").otherwise("LeftFoot"))
+    shot = F.map_from_arrays(
+        F.array(F.lit("match_id"), F.lit("minute"), F.lit("X"), F.lit("Y"), F.lit("xG"),
+                F.lit("result"), kind, F.lit("situation"), F.lit("lastAction")),
+        F.array(_str(F.col("l_orderkey")), _str(F.col("l_linenumber") * 10),
+                _str(F.lit(0.75) + F.col("l_tax") * 2), _str(F.col("l_quantity") / 50),
+                _str(F.col("l_discount") * 4),
+                F.when(F.col("l_linestatus") == "F", "Goal").otherwise("MissedShots"),
+                shot_type,
+                F.when(F.col("l_linestatus") == "F", "OpenPlay").otherwise("SetPiece"),
+                F.lit("Pass")))
+    # maps are built per row (generated code); the small per-order list is then
+    # sorted on the key struct only: (line number, part, supplier, then every
+    # value used), so positions are deterministic and rows still tied are identical
+    by_key = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+    shots = li.select("l_orderkey", sort_key.alias("k"), shot.alias("m")).groupBy("l_orderkey").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("k", "m")), by_key), lambda x: x["m"]).alias("shotsData"),
+        F.count(F.lit(1)).alias("n_shots"))
     j = o.join(shots, o.o_orderkey == shots.l_orderkey, "left")
     base_keys = ["id", "date", "season", "isHome", "xG", "xA", "goals", "assists", "shots",
                  "key_passes", "yellow", "red", "time", "h_team", "a_team", "h_goals", "a_goals",

@@ -22,6 +22,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot does not JIT methods above 8000 bytecodes; wider generated stages
+    # (many map lookups and casts in one projection) would run interpreted, so
+    # Spark falls back to its non-fused path for exactly those stages.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
