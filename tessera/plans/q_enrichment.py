@@ -30,7 +30,7 @@ def q_flatten_matches(spark, d):
     return fl.flatten_matches(an.second_source_docs(spark, d))
 
 
-@query("flatten_shots", sql_out(SHOTS_FLAGGED_SQL, doubles=["X", "Y", "xG", *SHOT_FLAGS]))
+@query("flatten_shots", sql_out(SHOTS_FLAGGED_SQL, doubles=["X", "Y", "xG", *SHOT_FLAGS], timestamps=["date"]))
 def q_flatten_shots(spark, d):
     """Explode shots; season from the match of the same document; flags."""
     return fl.flatten_shots(an.second_source_docs(spark, d))

@@ -103,9 +103,9 @@ def q_load_mapping(spark, d):
     return ld.load_mapping(spark, _mapping_csv(spark, d))
 
 
-@query("mapping_report", """SELECT count_if(c_mktsegment <> 'AUTOMOBILE' AND c_acctbal > 0) AS verified,
-  count_if(c_mktsegment <> 'AUTOMOBILE' AND NOT c_acctbal > 0) AS unverified,
-  count_if(c_mktsegment = 'AUTOMOBILE') AS no_match FROM customer""")
+@query("mapping_report", """SELECT CAST(count_if(c_mktsegment <> 'AUTOMOBILE' AND c_acctbal > 0) AS BIGINT) AS verified,
+  CAST(count_if(c_mktsegment <> 'AUTOMOBILE' AND NOT c_acctbal > 0) AS BIGINT) AS unverified,
+  CAST(count_if(c_mktsegment = 'AUTOMOBILE') AS BIGINT) AS no_match FROM customer""")
 def q_mapping_report(spark, d):
     """Verified / unverified / no-match counts of the mapping file."""
     raw = spark.read.option("header", True).schema(ld.MAPPING_SCHEMA).csv(_mapping_csv(spark, d))
@@ -172,7 +172,7 @@ def q_match_inputs(spark, d):
   (SELECT count(*) FROM nation) AS n_teams,
   (SELECT count(DISTINCT (year(o_orderdate) - 1995) * 12 + month(o_orderdate)) FROM orders) AS n_gws,
   (SELECT count(*) FROM lineitem) AS n_fixtures,
-  (SELECT count_if(l_linestatus = 'F') FROM lineitem) AS n_finished""")
+  (SELECT CAST(count_if(l_linestatus = 'F') AS BIGINT) FROM lineitem) AS n_finished""")
 def q_snapshot_counts(spark, d):
     """Snapshot summary counts, each a one-row aggregate attached as a scalar subquery."""
     c, n = read_table(spark, d, "customer"), read_table(spark, d, "nation")
