@@ -105,3 +105,16 @@ def test_evaluation_invariants(spark):
     top = ev.topn_predictions(df, 5, pred="pred", keys=["fixture_id"]).collect()
     assert [r["rank"] for r in top] == [1, 2, 3, 4, 5]
     assert all(top[i].pred >= top[i + 1].pred for i in range(4))
+
+
+def test_topk_recall_per_period_matches_pandas(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"fixture_id": range(600), "gw": rng.integers(1, 4, 600),
+                        "total_points": rng.integers(0, 15, 600).astype(float),
+                        "pred": rng.normal(5, 3, 600)})
+    got = {r.gw: r.recall for r in ev.topk_recall_per_period(spark.createDataFrame(pdf), ["fixture_id"], k=15).collect()}
+    for gw, g in pdf.groupby("gw"):
+        a = set(g.sort_values(["total_points", "fixture_id"], ascending=[False, True]).head(15).fixture_id)
+        p = set(g.sort_values(["pred", "fixture_id"], ascending=[False, True]).head(15).fixture_id)
+        assert got[gw] == round(len(a & p) / 15, 4)
