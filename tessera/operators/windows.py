@@ -28,7 +28,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import col_, flag
+from tessera.functions.scalars import col_
 
 # Fixed values that define the reference semantics.
 ROLL_WINDOWS = (3, 5)
@@ -39,10 +39,6 @@ SUB_RISK_WINDOW = 5
 # A key above this many rows would make one window task a straggler.
 HOT_KEY_ROWS = 2_000_000
 
-_RN = "__rn"
-_SEG = "__seg"
-
-
 def ewm_decay(span: float) -> float:
     return 1.0 - 2.0 / (span + 1.0)
 
