@@ -30,15 +30,22 @@ def full_name(first, second) -> Column:
 def parse_utc(c) -> Column:
     """ISO-8601 ('...T...Z'), 'yyyy-MM-dd HH:mm:ss' or 'yyyy-MM-dd' -> TIMESTAMP; bad -> NULL.
 
+    Strings without a zone are read as UTC whatever the session time zone is.
     The spelling is picked from the string's shape, so each value is parsed
     once (a failed pattern attempt is costly per row).
     """
     s = col_(c).cast("string")
-    iso = F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]X")),
-                     F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")))
-    return (F.when(F.length(s) == 10, F.try_to_timestamp(s, F.lit("yyyy-MM-dd")))
-            .when(F.substring(s, 11, 1) == "T", iso)
-            .otherwise(F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]"))))
+    zoned = F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"))
+    naive_iso = F.try_to_timestamp(F.concat(s, F.lit("Z")), F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]X"))
+    return (F.when(F.length(s) == 10, F.try_to_timestamp(F.concat(s, F.lit(" 00:00:00Z")),
+                                                          F.lit("yyyy-MM-dd HH:mm:ssX")))
+            .when(F.substring(s, 11, 1) == "T", F.coalesce(zoned, naive_iso))
+            .otherwise(F.try_to_timestamp(F.concat(s, F.lit("Z")), F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]X"))))
+
+
+def utc_wall(c) -> Column:
+    """An instant (TIMESTAMP) as its UTC wall-clock TIMESTAMP_NTZ, session-zone independent."""
+    return F.to_utc_timestamp(col_(c), F.current_timezone()).cast("timestamp_ntz")
 
 
 def safe_div(a, b) -> Column:

@@ -11,17 +11,26 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.functions.scalars import age_days
+from tessera.functions.scalars import age_days, utc_wall
 
 # TTLs in days per entity kind.
 TTL_DAYS = {"historical": 365.0, "current": 1.0, "league": 7.0}
 
 
 def fresh_log(log: DataFrame, as_of: datetime, ttl_days: float) -> DataFrame:
-    """Newest fetch per entity that is still within the TTL (aggregate, then filter)."""
-    newest = log.groupBy("entity_id").agg(F.max("fetched_at").alias("fetched_at"))
-    return newest.filter(age_days("fetched_at", F.lit(as_of).cast("timestamp")) < ttl_days)
+    """Newest fetch per entity that is still within the TTL (aggregate, then filter).
+
+    Ages are taken between UTC wall-clock values (``as_of`` is a naive UTC
+    time), so the result does not depend on the session time zone.
+    """
+    fetched = F.col("fetched_at")
+    if isinstance(log.schema["fetched_at"].dataType, T.TimestampType):
+        fetched = utc_wall(fetched)
+    newest = log.groupBy("entity_id").agg(F.max(fetched).alias("fetched_at"))
+    now = F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+    return newest.filter(age_days("fetched_at", now) < ttl_days)
 
 
 def refresh_plan(requested: DataFrame, log: DataFrame, as_of: datetime, ttl_days: float,

@@ -233,12 +233,9 @@ def periods(spark: SparkSession, d: str) -> DataFrame:
     """Period calendar derived from the history's months: gw n opens two days
     before its month at 11:30 UTC; gw 1 has no published deadline (dropped)."""
     months = history(spark, d).select("gw").distinct()
-    start = F.make_timestamp(F.lit(1995) + F.floor((F.col("gw") - 1) / 12), (F.col("gw") - 1) % 12 + 1,
-                             F.lit(1), F.lit(11), F.lit(30), F.lit(0))
-    return months.select(F.col("gw").alias("id"),
-                         F.when(F.col("gw") > 1, F.date_format(start - F.expr("INTERVAL 2 DAYS"),
-                                                               "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-                         .alias("deadline_time"))
+    first_day = F.make_date(F.lit(1995) + F.floor((F.col("gw") - 1) / 12), (F.col("gw") - 1) % 12 + 1, F.lit(1))
+    deadline = F.concat(F.date_format(F.date_sub(first_day, 2), "yyyy-MM-dd"), F.lit("T11:30:00Z"))
+    return months.select(F.col("gw").alias("id"), F.when(F.col("gw") > 1, deadline).alias("deadline_time"))
 
 
 PERIODS_SQL = f"""SELECT gw AS id, CASE WHEN gw > 1 THEN

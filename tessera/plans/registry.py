@@ -36,7 +36,9 @@ def normalise(df: DataFrame) -> DataFrame:
         c = "`" + f.name.replace("`", "``") + "`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             e = f"round(CAST({c} AS DOUBLE), 6) + 0D"
-        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+        elif isinstance(f.dataType, T.TimestampType):  # an instant: rendered in UTC
+            e = f"date_format(to_utc_timestamp({c}, current_timezone()), 'yyyy-MM-dd HH:mm:ss')"
+        elif isinstance(f.dataType, T.TimestampNTZType):
             e = f"date_format({c}, 'yyyy-MM-dd HH:mm:ss')"
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             e = f"CAST({c} AS BIGINT)"

@@ -93,3 +93,19 @@ def test_refresh_plan_ttl(spark):
     assert {r.entity_id for r in misses.collect()} == {2, 3, 4}
     hits, misses = rf.refresh_plan(req, log, now, 7.0, force=True)
     assert hits.count() == 0 and misses.count() == 4
+
+
+def test_parse_utc_is_session_zone_independent(spark):
+    from tessera.functions.scalars import parse_utc
+    df = spark.createDataFrame([("2024-08-17T15:00:00Z",), ("2024-08-17 15:00:00",), ("2024-08-17",),
+                                ("2024-08-17T17:00:00+02:00",), ("junk",)], "s string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        out = {}
+        for tz in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            out[tz] = [r[0] for r in df.select(F.unix_timestamp(parse_utc("s"))).collect()]
+        assert out["UTC"] == out["Asia/Tokyo"]
+        assert out["UTC"][0] == out["UTC"][1] == out["UTC"][3] == 1723906800 and out["UTC"][4] is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
