@@ -118,3 +118,9 @@ def test_topk_recall_per_period_matches_pandas(spark):
         a = set(g.sort_values(["total_points", "fixture_id"], ascending=[False, True]).head(15).fixture_id)
         p = set(g.sort_values(["pred", "fixture_id"], ascending=[False, True]).head(15).fixture_id)
         assert got[gw] == round(len(a & p) / 15, 4)
+
+
+def test_asof_max_age_drops_rows_long_after_last_deadline(spark):
+    m = spark.createDataFrame(pd.DataFrame({"mid": [1, 2], "date": pd.to_datetime(["2024-09-20", "2024-12-01"])}))
+    out = {r.mid: r.gw for r in asof_backward(m, "date", _periods(spark), max_age="14 days").collect()}
+    assert out == {1: 4}
