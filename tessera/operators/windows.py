@@ -219,7 +219,7 @@ def lagged_features_segmented(df: DataFrame, key: Sequence[str], order: Sequence
                               measures: Iterable[str], windows: Sequence[int] = ROLL_WINDOWS,
                               spans: Sequence[float] = EWM_SPANS, prefix: str = "",
                               roll_only: Sequence[str] = (), sub_risk: str | None = None,
-                              corrected: bool = False) -> DataFrame:
+                              corrected: bool = False, super_block: int = 1024) -> DataFrame:
     """Same output as ``lagged_features`` without a single-task partition per key.
 
     For keys that may hold a large share of all rows.  ``chunk`` is a SQL
@@ -232,8 +232,10 @@ def lagged_features_segmented(df: DataFrame, key: Sequence[str], order: Sequence
        segment, and the last H rows of a segment are also copied as a halo
        into the next one (H = the longest row frame), so bounded frames are exact;
     3. EWM: per-segment sums (S times fewer rows than the data) give the
-       previous segment's contribution and the carried value across segments
-       without observations; joined back on (key, segment).
+       previous segment's contribution (an equi-join on segment + 1) and the
+       value carried over segments without observations (forward fill inside
+       blocks of ``super_block`` segments, then over the block table, which is
+       S x super_block times smaller than the data); joined back on (key, segment).
 
     Full-data shuffles are on (key, chunk) and (key, segment): balanced as long
     as a single (key, chunk) is not itself huge.
@@ -258,7 +260,7 @@ def lagged_features_segmented(df: DataFrame, key: Sequence[str], order: Sequence
          .selectExpr("*", f"floor(__rn / {S}) AS __seg").drop("__chunk", "__off")
 
     # per-segment EWM sums (segment-relative weights), prev-segment sums and carry
-    summ_aggs, summ_win = [], []
+    summ_aggs = []
     for m in measures:
         x = f"CAST({_q(m)} AS DOUBLE)"
         for s in spans:
@@ -267,30 +269,33 @@ def lagged_features_segmented(df: DataFrame, key: Sequence[str], order: Sequence
             summ_aggs += [f"sum({x} * {rel}) AS `__at_{t}`", f"sum(CASE WHEN {x} IS NOT NULL THEN {rel} END) AS `__bt_{t}`"]
     summary = None
     if summ_aggs:
-        summary = r.groupBy(*key, "__seg").agg(*[F.expr(e) for e in summ_aggs])
-        sw = f"OVER (PARTITION BY {K} ORDER BY __seg)"
-        for m in measures:
-            for s in spans:
-                t = f"{m}_{s}".replace("`", "")
-                summ_win += [f"lag(`__at_{t}`) {sw} AS `__pa_{t}`", f"lag(`__bt_{t}`) {sw} AS `__pb_{t}`"]
-        summary = summary.selectExpr("*", *summ_win)
+        tags = [(f"{m}_{s}".replace("`", ""), s) for m in measures for s in spans]
+        sums = r.groupBy(*key, "__seg").agg(*[F.expr(e) for e in summ_aggs])
+        # previous segment's sums: an equi-join on (key, seg + 1), not a per-key window
+        prev = sums.selectExpr(*[_q(k) for k in key], "__seg + 1 AS __seg",
+                               *[f"`__at_{t}` AS `__pa_{t}`" for t, _ in tags],
+                               *[f"`__bt_{t}` AS `__pb_{t}`" for t, _ in tags])
+        summary = sums.join(prev, key + ["__seg"], "left")
         last_e = []
-        for m in measures:
-            for s in spans:
-                t = f"{m}_{s}".replace("`", "")
-                qs = f"{ewm_decay(s) ** S!r}D"
-                last_e.append(f"CASE WHEN `__bt_{t}` IS NOT NULL THEN ({qs} * coalesce(`__pa_{t}`, 0D) + `__at_{t}`)"
-                              f" / ({qs} * coalesce(`__pb_{t}`, 0D) + `__bt_{t}`) END AS `__le_{t}`")
-        summary = summary.selectExpr("*", *last_e)
-        carry = []
-        for m in measures:
-            for s in spans:
-                t = f"{m}_{s}".replace("`", "")
-                carry.append(f"last(`__le_{t}`, true) OVER (PARTITION BY {K} ORDER BY __seg "
-                             f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS `__c_{t}`")
-        summary = summary.selectExpr(*[_q(k) for k in key], "__seg AS __part",
-                                     *[f"`__p{p}_{m}_{s}`" for m in measures for s in spans
-                                       for p in ("a", "b")], *carry)
+        for t, s in tags:
+            qs = f"{ewm_decay(s) ** S!r}D"
+            last_e.append(f"CASE WHEN `__bt_{t}` IS NOT NULL THEN ({qs} * coalesce(`__pa_{t}`, 0D) + `__at_{t}`)"
+                          f" / ({qs} * coalesce(`__pb_{t}`, 0D) + `__bt_{t}`) END AS `__le_{t}`")
+        summary = summary.selectExpr("*", *last_e, f"floor(__seg / {super_block}) AS __sb")
+        # carried value = last segment value before this segment, in two levels:
+        # inside blocks of `super_block` segments, then across the (much smaller) block table
+        sbw = f"OVER (PARTITION BY {K}, __sb ORDER BY __seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        summary = summary.selectExpr("*", *[f"last(`__le_{t}`, true) {sbw} AS `__lc_{t}`" for t, _ in tags])
+        blocks = summary.groupBy(*key, "__sb").agg(
+            *[F.max_by(F.col(f"__le_{t}"), F.when(F.col(f"__le_{t}").isNotNull(), F.col("__seg"))).alias(f"__bl_{t}")
+              for t, _ in tags])
+        bw = f"OVER (PARTITION BY {K} ORDER BY __sb ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        blocks = blocks.selectExpr(*[_q(k) for k in key], "__sb", *[f"last(`__bl_{t}`, true) {bw} AS `__bc_{t}`"
+                                                                   for t, _ in tags])
+        summary = summary.join(blocks, key + ["__sb"], "left").selectExpr(
+            *[_q(k) for k in key], "__seg AS __part",
+            *[f"`__p{p}_{t}`" for t, _ in tags for p in ("a", "b")],
+            *[f"coalesce(`__lc_{t}`, `__bc_{t}`) AS `__c_{t}`" for t, _ in tags])
 
     own = r.selectExpr("*", "__seg AS __part", "false AS __halo")
     halo = r.filter(f"__rn % {S} >= {S - H}").selectExpr("*", "__seg + 1 AS __part", "true AS __halo")

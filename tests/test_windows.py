@@ -164,3 +164,13 @@ def test_prediction_features_next_row_includes_newest(spark):
     out = prediction_features_next_row(spark.createDataFrame(pdf), ctx, None, 4, ["total_points"]).first()
     assert out.total_points_roll3 == pytest.approx(3.0) and out.gw == 4 and out.fixture_difficulty == 2.0
     assert out.started_roll3 == pytest.approx(2 / 3)
+
+
+def test_segmented_two_level_carry(spark):
+    """Tiny super-blocks: the carried EWM value crosses several block boundaries."""
+    pdf = _frame(n_keys=2, max_len=10, long_key=1500, seed=11, null_frac=0.2)
+    pdf.loc[(pdf.k == 999) & (pdf.t.between(200, 1100)), "x"] = None
+    pdf["chunk"] = pdf["t"] // 23
+    out = win.lagged_features_segmented(spark.createDataFrame(pdf), ["k"], ["t"], "chunk", ["x"],
+                                        windows=(3,), spans=(3, 5), super_block=2)
+    _compare(out, _pandas_expected(pdf, "x", (3,), (3, 5)), ["x_roll3", "x_ewm3", "x_ewm5"])
