@@ -110,7 +110,7 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, left_id: str = "fpl_id",
     out = left.join(best, left_id, "left")
     return out.select(
         *left.columns, right_id, right_name, *right_cols,
-        F.round(F.coalesce(F.col("__score"), F.lit(0.0)), 1).alias("match_score"),
+        F.bround(F.coalesce(F.col("__score"), F.lit(0.0)), 1).alias("match_score"),  # half to even
         F.coalesce(F.col("__score") >= AUTO_VERIFY, F.lit(False)).alias("verified"),
         F.when(F.col("__score").isNull(), F.lit("NO_MATCH")).otherwise(F.lit("")).alias("notes"))
 

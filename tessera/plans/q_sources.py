@@ -220,7 +220,46 @@ def _name_sides(spark, d):
     return left, right
 
 
-@query("token_sort_ratio")
+def _tskey_sql(c: str) -> str:
+    return f"array_to_string(list_sort(list_filter(regexp_split_to_array(coalesce({c}, ''), '\\s+'), lambda x: x <> '')), ' ')"
+
+
+def _lcs_sql(a: str, b: str) -> str:
+    """LCS length as a dynamic program over list_reduce (one DP row per character of a)."""
+    return f"""list_reduce(string_split({a}, ''),
+      lambda prev, ch: list_reduce(list_zip(range(1, length({b}) + 1), string_split({b}, '')),
+          lambda cur, jc: list_append(cur, CASE WHEN jc[2] = ch THEN prev[jc[1]] + 1
+                                           ELSE greatest(prev[jc[1] + 1], cur[jc[1]]) END), [0]),
+      list_transform(range(0, length({b}) + 1), lambda x: 0))[length({b}) + 1]"""
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    return (f"CASE WHEN length({a}) = 0 AND length({b}) = 0 THEN 100.0 ELSE "
+            f"CAST(200 * {_lcs_sql(a, b)} AS DOUBLE) / (length({a}) + length({b})) END")
+
+
+_ALTERED_SQL = ("substring(array_to_string(list_reverse(string_split(p_name, ' ')), ' '), 1, 1) || "
+                "substring(array_to_string(list_reverse(string_split(p_name, ' ')), ' '), 3, 1000)")
+
+TSR_SQL = f"""SELECT p_partkey, p_name, altered, {_ratio_sql('ka', 'kb')} AS score FROM (
+  SELECT p_partkey, p_name, altered, {_tskey_sql('p_name')} AS ka, {_tskey_sql('altered')} AS kb
+  FROM (SELECT p_partkey, p_name, {_ALTERED_SQL} AS altered FROM part) AS x) AS y"""
+
+FUZZY_SQL = f"""WITH l AS (SELECT p_name AS fpl_name, min(p_partkey) AS fpl_id FROM part GROUP BY p_name),
+r AS (SELECT altered AS understat_name, min(p_partkey) + 1000000 AS understat_id
+      FROM (SELECT p_partkey, {_ALTERED_SQL} AS altered FROM part) AS x GROUP BY altered),
+lk AS (SELECT fpl_id, {_tskey_sql('fpl_name')} AS k FROM l),
+rk AS (SELECT understat_id, understat_name, {_tskey_sql('understat_name')} AS k FROM r),
+pairs AS (SELECT lk.fpl_id, rk.understat_id, rk.understat_name, {_ratio_sql('lk.k', 'rk.k')} AS score FROM lk, rk),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fpl_id ORDER BY score DESC, understat_id) AS rn
+                        FROM pairs WHERE score >= 70) AS z WHERE rn = 1)
+SELECT l.fpl_name, l.fpl_id, b.understat_id, b.understat_name,
+  round_even(coalesce(b.score, 0.0), 1) AS match_score, coalesce(b.score >= 95, false) AS verified,
+  CASE WHEN b.score IS NULL THEN 'NO_MATCH' ELSE '' END AS notes
+FROM l LEFT JOIN best b ON b.fpl_id = l.fpl_id"""
+
+
+@query("token_sort_ratio", sql_out(TSR_SQL, doubles=["score"]))
 def q_token_sort_ratio(spark, d):
     """token-sort ratio of every part name against its altered spelling (one pair per row)."""
     p = read_table(spark, d, "part")
@@ -230,7 +269,7 @@ def q_token_sort_ratio(spark, d):
                     mt.token_sort_ratio(F.col("p_name"), altered).alias("score"))
 
 
-@query("fuzzy_best_match")
+@query("fuzzy_best_match", sql_out(FUZZY_SQL, doubles=["match_score"]))
 def q_fuzzy_best_match(spark, d):
     """Best token-sort partner per name (cut-off 70, verified >= 95), sorted by score."""
     left, right = _name_sides(spark, d)
