@@ -99,19 +99,20 @@ def flatten_shots(docs: DataFrame, id_col: str = "understat_id", shots_col: str
                   matches_col: str = "matchesData", seasons: Sequence[str] | None = None) -> DataFrame:
     """Shots with season fallback to their match's season inside the same document.
 
-    The lookup is an in-row ``map_from_entries`` over the document's own matches:
-    no join, no shuffle.
+    The lookup stays inside the row (no join, no shuffle): the document's
+    matches with the shot's id, the last one winning when an id repeats, as a
+    dictionary built from the list would.
     """
-    season_map = F.map_from_entries(F.transform(
-        F.coalesce(F.col(matches_col), F.array()),
-        lambda x: F.struct(F.coalesce(x["id"], F.lit("")), x["season"])))
     s = F.col("s")
-    out = docs.select(F.col(id_col).alias("understat_id"), season_map.alias("__seasons"),
+    matches = F.coalesce(F.col(matches_col), F.array())
+    out = docs.select(F.col(id_col).alias("understat_id"), matches.alias("__m"),
                       F.explode(shots_col).alias("s")).select(
         "understat_id",
         to_double(s["match_id"]).try_cast("bigint").alias("match_id"),
         F.coalesce(_season(s["season"]),
-                   _season(F.col("__seasons")[F.coalesce(s["match_id"], F.lit(""))])).alias("season"),
+                   _season(F.element_at(F.filter("__m", lambda x: F.coalesce(x["id"], F.lit(""))
+                                                 == F.coalesce(s["match_id"], F.lit(""))), -1)["season"]))
+        .alias("season"),
         parse_utc(s["date"]).alias("date"),
         to_int_or_zero(s["minute"]).alias("minute"),
         to_double(s["X"]).alias("X"),

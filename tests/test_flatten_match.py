@@ -109,3 +109,11 @@ def test_parse_utc_is_session_zone_independent(spark):
         assert out["UTC"][0] == out["UTC"][1] == out["UTC"][3] == 1723906800 and out["UTC"][4] is None
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_shot_season_lookup_tolerates_repeated_match_ids(spark):
+    m_a = {"id": "5", "season": "2023"}
+    m_b = {"id": "5", "season": "2024"}
+    shot = {"match_id": "5", "X": "0.9", "Y": "0.5", "xG": "0.1"}
+    docs = spark.createDataFrame([(1, [m_a, m_b], [shot])], DOC)
+    assert fl.flatten_shots(docs).first().season == "2024"       # last entry wins
