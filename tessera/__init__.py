@@ -1,3 +1,10 @@
-"""tessera: keyed time-series feature and forecasting engine on Spark."""
+"""Keyed time-series features, forecasting and corpus preparation on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors travel by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 __version__ = "0.1.0"
