@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, langid, simhash
+from tessera.llm import decontaminate, langid, license_rules, simhash, warc_zstd
 from tessera.llm.common import table
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zstd.report(table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -22,9 +26,13 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_simhash, op8_langid)}
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.report(table(spark, sf_dir, "documents"))
+
+
+_QUERIES = {f.__name__: f for f in (op3_warc, op4_decontaminate, op5_simhash, op8_langid, op9_licenses)}
 
-_ORACLES: dict[str, str] = {}
+_ORACLES = {"op9_licenses": license_rules.oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
