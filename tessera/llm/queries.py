@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, langid, license_rules, simhash, warc_zstd
+from tessera.llm import decontaminate, langid, license_rules, quality_rules, simhash, warc_zstd
 from tessera.llm.common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.report(table(spark, sf_dir, "pages"))
 
@@ -30,9 +34,9 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.report(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = {f.__name__: f for f in (op3_warc, op4_decontaminate, op5_simhash, op8_langid, op9_licenses)}
+_QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_warc, op4_decontaminate, op5_simhash, op8_langid, op9_licenses)}
 
-_ORACLES = {"op9_licenses": license_rules.oracle()}
+_ORACLES = {"op1_quality_rules": quality_rules.oracle(), "op9_licenses": license_rules.oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
