@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, langid, license_rules, quality_rules, simhash, warc_zstd
+from tessera.llm import decontaminate, langid, license_rules, line_dedup, quality_rules, simhash, warc_zstd
 from tessera.llm.common import table
 
 
@@ -34,7 +34,12 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.report(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_warc, op4_decontaminate, op5_simhash, op8_langid, op9_licenses)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+_QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_warc, op4_decontaminate, op5_simhash, op8_langid, op9_licenses,
+                                     op10_line_dedup)}
 
 _ORACLES = {"op1_quality_rules": quality_rules.oracle(), "op9_licenses": license_rules.oracle()}
 

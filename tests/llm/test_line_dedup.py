@@ -1,0 +1,107 @@
+import itertools
+import random
+import re
+
+import pytest
+
+from tessera.llm import line_dedup as ld
+from tessera.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def slow(rows, least=10):
+    first = {}
+    occurrences = []
+    for doc_id, text in rows:
+        for i, line in enumerate(text.split("\n") if text is not None else ()):
+            w = tuple(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
+            at = (doc_id is None, doc_id or 0, i)
+            occurrences.append((doc_id, i, w, at))
+            if w:
+                first[w] = min(at, first.get(w, at))
+    links, of = {}, {}
+    by_size = {n: list(g) for n, g in itertools.groupby(sorted(first, key=len), len)}
+    for w in first:
+        for v in itertools.chain(*[by_size.get(len(w) + d, ()) for d in (-1, 0, 1)]):
+            if v != w and min(len(v), len(w)) >= least and ld.edits_within_one(list(v), list(w)):
+                links[w] = links.get(w, 0) + 1
+                if first[v] < first[w]:
+                    of[w] = min(first[v], of.get(w, first[v]))
+    out = []
+    for doc_id, i, w, at in occurrences:
+        kind = "blank" if not w else "near" if w in of else "first" if first[w] == at else "exact"
+        to = of[w] if kind == "near" else first[w] if kind == "exact" else None
+        out.append((doc_id, i, kind, kind in ("blank", "first"), to and (None if to[0] else to[1]), to and to[2],
+                    links.get(w, 0)))
+    return out
+
+
+def key(r):
+    return tuple(str(x) for x in r)
+
+
+def test_edit_check_matches_levenshtein():
+    rng = random.Random(5)
+    for _ in range(3000):
+        a = [rng.choice("ab") for _ in range(rng.randint(0, 6))]
+        b = [rng.choice("ab") for _ in range(rng.randint(0, 6))]
+        assert ld.edits_within_one(a, b) == (levenshtein(a, b) <= 1)
+
+
+def test_matches_brute_force(spark, documents):
+    rng = random.Random(2)
+    rows = [(d[0], d[1]) for d in documents]
+    for doc_id, text in rows[:60]:  # lines one and two edits away from others
+        w = text.split("\n")[0].split(" ")
+        for k in range(2):
+            i = rng.randrange(max(1, len(w)))
+            w = rng.choice([w[:i] + w[i + 1:], w[:i] + ["new"] + w[i:], w[:i] + ["x%d" % k] + w[i + 1:]])
+            rows.append((1000 * (k + 1) + doc_id, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in ld.report(df).collect()]
+    want = slow(rows)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert {r[2] for r in got} >= {"first", "exact", "near"}
+
+
+def test_all_edits_of_small_alphabets(spark):
+    rng = random.Random(7)
+    rows = [(i, "\n".join(" ".join(rng.choice("ab") for _ in range(rng.randint(2, 6))) for _ in range(3)))
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in ld.report(df, words_per_edit=3).collect()]
+    assert sorted(got, key=key) == sorted(slow(rows, 3), key=key)
+
+
+def test_small_cases(spark, make_docs):
+    a = "one two three four five six seven eight nine ten"
+    rows = [(5, a), (3, f"{a.upper()} \n\n{a}x"), (3, f"{a}\n{a} eleven"), (4, None), (6, ""), (7, "\n \n"),
+            (None, f"{a}\nonly here"), (8, f"zero {a}"), (9, "w " * 50000 + "\nw"), (10, "short line"), (11, "short lines")]
+    docs = make_docs(rows).withColumnRenamed("fp", "line")
+    got = sorted({tuple(r) for r in ld.report(docs).collect()}, key=key)
+    assert [r for r in got if r[2] == "blank"] == [(3, 1, "blank", True, None, None, 0), (6, 0, "blank", True, None, None, 0),
+                                                   (7, 0, "blank", True, None, None, 0), (7, 1, "blank", True, None, None, 0), (7, 2, "blank", True, None, None, 0)]
+    assert ("short line" and (10, 0, "first", True, None, None, 0)) in got and (11, 0, "first", True, None, None, 0) in got
+    assert (5, 0, "exact", False, 3, 0, 3) in got and (8, 0, "near", False, 3, 0, 1) in got
+    kept = {r.doc_id: r for r in ld.clean(docs).collect()}
+    assert set(kept) == {3, 4, 6, 7, None, 9, 10, 11} and ld.clean(docs).columns == docs.columns
+    assert kept[None].text == "only here" and kept[None].n_chars == 9 and kept[4].text is None
+    assert ld.report(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize("n", [300])
+def test_one_hot_key_stays_linear(spark, n):
+    rows = [(i, f"page {i} of the same old long listing of things") for i in range(n)]
+    got = ld.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(0, 0, "first", True, None, None, n - 1)] + [
+        (i, 0, "near", False, 0, 0, n - 1) for i in range(1, n)]
