@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, langid, license_rules, line_dedup, quality_rules, simhash, warc_zstd
-from tessera.llm.common import table
+from tessera.llm import decontaminate, langid, license_rules, line_dedup, quality_rules, simhash, token_rollup, warc_zstd
+from tessera.llm.common import shared_path, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.report(table(spark, sf_dir, "documents"), shared_path(spark, "token-rollup"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
@@ -38,8 +42,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_warc, op4_decontaminate, op5_simhash, op8_langid, op9_licenses,
-                                     op10_line_dedup)}
+_QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_warc, op4_decontaminate, op5_simhash, op6_token_rollup,
+                                     op8_langid, op9_licenses, op10_line_dedup)}
 
 _ORACLES = {"op1_quality_rules": quality_rules.oracle(), "op9_licenses": license_rules.oracle()}
 
