@@ -188,3 +188,25 @@ def brute_force(docs, benchmark, window: int = 10) -> list[tuple]:
         digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
         out.append((doc_id, len(w), len(hit), len(items), digest, bool(hit)))
     return out
+
+
+def oracle(window: int = 10) -> str:
+    """DuckDB SQL for ``report`` over the views ``documents`` and ``benchmark`` with unique ids."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{word}')"
+    return rf"""
+WITH items AS (SELECT item_id, {words} AS w FROM benchmark),
+spans AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - {window} + 2, 2))) AS i FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, array_to_string(w[i:i + {window - 1}], ' ') AS g, least(len(w), {window}) AS k FROM spans),
+sizes AS (SELECT DISTINCT k FROM windows),
+docs AS (SELECT doc_id, {words} AS w FROM documents),
+grams AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs JOIN sizes ON len(w) >= k),
+hits AS (SELECT doc_id, item_id, i, windows.k FROM grams JOIN windows
+    ON windows.k = grams.k AND windows.g = array_to_string(w[i:i + grams.k - 1], ' ')),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item_id) AS n,
+    array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS names FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(covered.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, langid, license_rules, line_dedup, quality_rules, simhash, token_rollup, warc_zstd
+import corpus_pipeline
+from tessera.llm import (
+    decontaminate, langid, license_rules, line_dedup, mixing, quality_rules, simhash, token_rollup, toxicity, warc_zstd,
+)
 from tessera.llm.common import shared_path, table
 
 
@@ -14,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.report(table(spark, sf_dir, "pages"))
 
@@ -30,6 +37,10 @@ def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.report(table(spark, sf_dir, "documents"), shared_path(spark, "token-rollup"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
@@ -42,10 +53,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_warc, op4_decontaminate, op5_simhash, op6_token_rollup,
-                                     op8_langid, op9_licenses, op10_line_dedup)}
+_QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_toxicity, op3_warc, op4_decontaminate, op5_simhash, op6_token_rollup, op7_mixing, op8_langid,
+    op9_licenses, op10_line_dedup)} | {"pipeline": corpus_pipeline.run}
 
-_ORACLES = {"op1_quality_rules": quality_rules.oracle(), "op9_licenses": license_rules.oracle()}
+_ORACLES = {"op1_quality_rules": quality_rules.oracle(), "op4_decontaminate": decontaminate.oracle(),
+            "op9_licenses": license_rules.oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

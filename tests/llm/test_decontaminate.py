@@ -12,6 +12,7 @@ def test_matches_brute_force(spark, con, documents):
     got = dc.report(table(spark, SF, "documents"), table(spark, SF, "benchmark")).collect()
     assert sorted(map(tuple, got)) == sorted(want)
     assert any(r.contaminated for r in got)
+    assert sorted(con.execute(dc.oracle()).fetchall()) == sorted(want)
 
 
 def test_small_cases_and_blocks(spark, make_docs):
