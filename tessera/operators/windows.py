@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import col_
@@ -36,8 +36,6 @@ EWM_SPANS = (3, 5)
 STARTED_MINUTES = 45
 MINUTES_PER_MATCH = 90.0
 SUB_RISK_WINDOW = 5
-# A key above this many rows would make one window task a straggler.
-HOT_KEY_ROWS = 2_000_000
 
 def ewm_decay(span: float) -> float:
     return 1.0 - 2.0 / (span + 1.0)
@@ -51,26 +49,38 @@ def ewm_segment(spans: Sequence[float]) -> int:
     return seg
 
 
-def _key_window(key: Sequence[str], order: Sequence) -> Window:
-    return Window.partitionBy(*key).orderBy(*[col_(o) for o in order])
-
-
 def _q(c: str) -> str:
     return "`" + c.replace("`", "``") + "`"
 
 
+def _order_sql(order: Sequence[str]) -> str:
+    """Missing order values come last, so an undated row is never another row's past."""
+    return ", ".join(f"{_q(o)} ASC NULLS LAST" for o in order)
+
+
+def _order_struct(order: Sequence) -> Column:
+    return F.struct(*[x for o in order for x in (col_(o).isNull(), col_(o))])
+
+
+def _join_on(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str) -> DataFrame:
+    """Equi-join in which a missing value meets a missing value; ``cols`` once, from the left."""
+    renamed = right.select(*[F.col(c).alias(f"__j{i}") for i, c in enumerate(cols)],
+                           *[c for c in right.columns if c not in cols])
+    on = " AND ".join(f"{_q(c)} <=> __j{i}" for i, c in enumerate(cols))
+    return left.join(renamed, F.expr(on), how).drop(*[f"__j{i}" for i in range(len(cols))])
+
+
 def lagged_features(df: DataFrame, key: Sequence[str], order: Sequence[str],
                     measures: Iterable[str], windows: Sequence[int] = ROLL_WINDOWS,
                     spans: Sequence[float] = EWM_SPANS, prefix: str = "",
                     roll_only: Sequence[str] = (), sub_risk: str | None = None,
-                    corrected: bool = False, chunk: str | None = None,
-                    strategy: str | None = None) -> DataFrame:
+                    corrected: bool = False, strategy: str | None = None) -> DataFrame:
     """Add ``{prefix}{m}_roll{w}`` and ``{prefix}{m}_ewm{s}`` for each present measure.
 
-    ``strategy``: "key" (one window partition per key), "segmented" (hot-key
-    safe, needs ``chunk``) or "auto" (default; conf ``tessera.window.strategy``):
-    segmented when the largest key exceeds ``tessera.window.hotKeyRows`` rows
-    (measured with one partial aggregation).
+    ``strategy`` (default: conf ``tessera.window.strategy``, else "key"): "key"
+    puts the rows of a key into one window partition; "segmented" splits a key
+    into pieces, for keys that may hold a large share of all rows.  Both give
+    the same answer.  Rows are in ``order`` with missing values last.
 
     Measures absent from ``df`` are skipped silently.  ``roll_only`` columns get
     the rolling means only; ``sub_risk`` names a 0/1 started column from which
@@ -79,20 +89,23 @@ def lagged_features(df: DataFrame, key: Sequence[str], order: Sequence[str],
     one exchange, one sort on (key, order) and one on (key, segment, row).
     """
     key, order = list(key), list(order)
-    if chunk is not None and choose_strategy(df, key, strategy) == "segmented":
-        return lagged_features_segmented(df, key, order, chunk, measures, windows, spans, prefix,
+    strategy = strategy or df.sparkSession.conf.get("tessera.window.strategy", "key")
+    if strategy not in ("key", "segmented"):
+        raise ValueError(f"unknown window strategy {strategy!r}")
+    if strategy == "segmented":
+        return lagged_features_segmented(df, key, order, measures, windows, spans, prefix,
                                          roll_only, sub_risk, corrected)
     cols = df.columns
     measures = [m for m in measures if m in cols]
     roll_only = [m for m in roll_only if m in cols and m not in measures]
     K = ", ".join(_q(k) for k in key)
-    O = ", ".join(_q(o) for o in order)
+    O = _order_sql(order)
     seg_len = ewm_segment(spans) if (spans and measures) else 1
     rn = f"row_number() OVER (PARTITION BY {K} ORDER BY {O})"
     out = df.selectExpr("*", f"{rn} - 1 AS __rn", f"floor(({rn} - 1) / {seg_len}) AS __seg")
 
     seg_w = f"PARTITION BY {K}, __seg ORDER BY __rn"
-    run, whole = "UNBOUNDED PRECEDING AND CURRENT ROW", "UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    run = "UNBOUNDED PRECEDING AND CURRENT ROW"
     tmp, seg_exprs = [], []
     for m in measures:
         x = f"CAST({_q(m)} AS DOUBLE)"
@@ -100,10 +113,8 @@ def lagged_features(df: DataFrame, key: Sequence[str], order: Sequence[str],
             rel = f"pow({ewm_decay(s)!r}D, -(__rn - __seg * {seg_len}))"
             t = f"{m}_{s}".replace("`", "")
             seg_exprs += [f"sum({x} * {rel}) OVER ({seg_w} ROWS BETWEEN {run}) AS `__a_{t}`",
-                          f"sum(CASE WHEN {x} IS NOT NULL THEN {rel} END) OVER ({seg_w} ROWS BETWEEN {run}) AS `__b_{t}`",
-                          f"sum({x} * {rel}) OVER ({seg_w} ROWS BETWEEN {whole}) AS `__at_{t}`",
-                          f"sum(CASE WHEN {x} IS NOT NULL THEN {rel} END) OVER ({seg_w} ROWS BETWEEN {whole}) AS `__bt_{t}`"]
-            tmp += [f"__a_{t}", f"__b_{t}", f"__at_{t}", f"__bt_{t}"]
+                          f"sum(CASE WHEN {x} IS NOT NULL THEN {rel} END) OVER ({seg_w} ROWS BETWEEN {run}) AS `__b_{t}`"]
+            tmp += [f"__a_{t}", f"__b_{t}"]
     if seg_exprs:
         out = out.selectExpr("*", *seg_exprs)
 
@@ -120,8 +131,9 @@ def lagged_features(df: DataFrame, key: Sequence[str], order: Sequence[str],
         for s in spans:
             t = f"{m}_{s}".replace("`", "")
             seg_end = f"__rn % {seg_len} = {seg_len - 1}"
-            for part in ("a", "b"):
-                exprs.append(f"last(CASE WHEN {seg_end} THEN `__{part}t_{t}` END, true) {all_past} AS `__p{part}_{t}`")
+            for part in ("a", "b"):  # at a segment's end the running sum is the segment's; 0 if it has no value
+                exprs.append(f"last(CASE WHEN {seg_end} THEN coalesce(`__{part}_{t}`, 0D) END, true) {all_past} "
+                             f"AS `__p{part}_{t}`")
                 tmp.append(f"__p{part}_{t}")
     if sub_risk:
         ns = f"CAST({_q(sub_risk)} < 1 AS DOUBLE)"
@@ -150,20 +162,10 @@ def lagged_features(df: DataFrame, key: Sequence[str], order: Sequence[str],
     return out.selectExpr(*[_q(c) for c in cols], *[_q(c) for c in dict.fromkeys(new_cols)])
 
 
-def choose_strategy(df: DataFrame, key: Sequence[str], strategy: str | None = None) -> str:
-    spark = df.sparkSession
-    strategy = strategy or spark.conf.get("tessera.window.strategy", "auto")
-    if strategy != "auto":
-        return strategy
-    limit = int(spark.conf.get("tessera.window.hotKeyRows", str(HOT_KEY_ROWS)))
-    return "segmented" if max_rows_per_key(df, key) > limit else "key"
-
-
 def minutes_features(df: DataFrame, key: Sequence[str], order: Sequence[str],
                      minutes: str = "minutes", windows: Sequence[int] = ROLL_WINDOWS,
                      corrected: bool = False, measures: Iterable[str] = (),
-                     spans: Sequence[float] = EWM_SPANS, chunk: str | None = None,
-                     strategy: str | None = None) -> DataFrame:
+                     spans: Sequence[float] = EWM_SPANS, strategy: str | None = None) -> DataFrame:
     """started, minutes_pct, their lagged means and sub_risk (plus optional
     measure rolls/EWMs) in the same Window nodes.
 
@@ -177,7 +179,7 @@ def minutes_features(df: DataFrame, key: Sequence[str], order: Sequence[str],
                         f"CAST({m} AS DOUBLE) / {MINUTES_PER_MATCH} AS minutes_pct")
     return lagged_features(out, key, order, measures, windows, spans,
                            roll_only=("started", "minutes_pct"), sub_risk="started", corrected=corrected,
-                           chunk=chunk, strategy=strategy)
+                           strategy=strategy)
 
 
 def last_state(df: DataFrame, key: Sequence[str], order: Sequence, columns: Sequence[str]) -> DataFrame:
@@ -186,7 +188,7 @@ def last_state(df: DataFrame, key: Sequence[str], order: Sequence, columns: Sequ
     An aggregate (partial aggregation before the shuffle), not a window: a hot
     key is pre-reduced on every map task.
     """
-    ord_struct = F.struct(*[col_(o) for o in order])
+    ord_struct = _order_struct(order)
     aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), ord_struct)).alias(c) for c in columns]
     return df.groupBy(*key).agg(*aggs)
 
@@ -198,33 +200,29 @@ def keep_last(df: DataFrame, key: Sequence[str], order: Sequence) -> DataFrame:
     aggregation bounds what a hot key sends through the shuffle.
     """
     others = [c for c in df.columns if c not in key]
-    ord_struct = F.struct(*[col_(o) for o in order])
+    ord_struct = _order_struct(order)
     picked = df.groupBy(*key).agg(F.max_by(F.struct(*others), ord_struct).alias("__row"))
     return picked.select(*key, *[F.col("__row")[c].alias(c) for c in others])
 
 
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence) -> DataFrame:
     others = [c for c in df.columns if c not in key]
-    ord_struct = F.struct(*[col_(o) for o in order])
+    ord_struct = _order_struct(order)
     picked = df.groupBy(*key).agg(F.min_by(F.struct(*others), ord_struct).alias("__row"))
     return picked.select(*key, *[F.col("__row")[c].alias(c) for c in others])
 
 
-def lag_mean(c: str, key: Sequence[str], order: Sequence, w: int) -> Column:
-    return F.avg(F.col(c).cast("double")).over(_key_window(list(key), order).rowsBetween(-w, -1))
-
-
 # ---------------------------------------------------------------- hot keys
-def lagged_features_segmented(df: DataFrame, key: Sequence[str], order: Sequence[str], chunk: str,
+def lagged_features_segmented(df: DataFrame, key: Sequence[str], order: Sequence[str],
                               measures: Iterable[str], windows: Sequence[int] = ROLL_WINDOWS,
                               spans: Sequence[float] = EWM_SPANS, prefix: str = "",
                               roll_only: Sequence[str] = (), sub_risk: str | None = None,
                               corrected: bool = False, super_block: int = 1024) -> DataFrame:
     """Same output as ``lagged_features`` without a single-task partition per key.
 
-    For keys that may hold a large share of all rows.  ``chunk`` is a SQL
-    expression, monotone in ``order`` and coarse (a period, a day), that splits
-    a key into pieces:
+    For keys that may hold a large share of all rows.  The first order column
+    (its day, if it is a time) splits a key into chunks, so chunks are in order;
+    it should be coarse, such as a period or a time:
 
     1. row numbers: per-(key, chunk) counts -> offsets by a running sum over
        the small count table -> ``offset + row_number()`` within (key, chunk);
@@ -245,7 +243,9 @@ def lagged_features_segmented(df: DataFrame, key: Sequence[str], order: Sequence
     measures = [m for m in measures if m in cols]
     roll_only = [m for m in roll_only if m in cols and m not in measures]
     K = ", ".join(_q(k) for k in key)
-    O = ", ".join(_q(o) for o in order)
+    O = _order_sql(order)
+    first_is_time = df.schema[order[0]].dataType.typeName().startswith("timestamp")
+    chunk = f"date_trunc('DAY', {_q(order[0])})" if first_is_time else _q(order[0])
     S = ewm_segment(spans) if (spans and measures) else 1024
     H = max(list(windows) + ([SUB_RISK_WINDOW] if sub_risk else []) + [1])
     S = max(S, H)
@@ -253,9 +253,9 @@ def lagged_features_segmented(df: DataFrame, key: Sequence[str], order: Sequence
     base = df.selectExpr("*", f"{chunk} AS __chunk")
     counts = base.groupBy(*key, "__chunk").count()
     offs = counts.selectExpr(*[_q(k) for k in key], "__chunk",
-                             f"coalesce(sum(`count`) OVER (PARTITION BY {K} ORDER BY __chunk "
+                             f"coalesce(sum(`count`) OVER (PARTITION BY {K} ORDER BY __chunk ASC NULLS LAST "
                              f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __off")
-    r = base.join(offs, key + ["__chunk"], "inner")
+    r = _join_on(base, offs, key + ["__chunk"], "inner")
     r = r.selectExpr("*", f"__off + row_number() OVER (PARTITION BY {K}, __chunk ORDER BY {O}) - 1 AS __rn") \
          .selectExpr("*", f"floor(__rn / {S}) AS __seg").drop("__chunk", "__off")
 
@@ -275,7 +275,7 @@ def lagged_features_segmented(df: DataFrame, key: Sequence[str], order: Sequence
         prev = sums.selectExpr(*[_q(k) for k in key], "__seg + 1 AS __seg",
                                *[f"`__at_{t}` AS `__pa_{t}`" for t, _ in tags],
                                *[f"`__bt_{t}` AS `__pb_{t}`" for t, _ in tags])
-        summary = sums.join(prev, key + ["__seg"], "left")
+        summary = _join_on(sums, prev, key + ["__seg"], "left")
         last_e = []
         for t, s in tags:
             qs = f"{ewm_decay(s) ** S!r}D"
@@ -292,7 +292,7 @@ def lagged_features_segmented(df: DataFrame, key: Sequence[str], order: Sequence
         bw = f"OVER (PARTITION BY {K} ORDER BY __sb ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
         blocks = blocks.selectExpr(*[_q(k) for k in key], "__sb", *[f"last(`__bl_{t}`, true) {bw} AS `__bc_{t}`"
                                                                    for t, _ in tags])
-        summary = summary.join(blocks, key + ["__sb"], "left").selectExpr(
+        summary = _join_on(summary, blocks, key + ["__sb"], "left").selectExpr(
             *[_q(k) for k in key], "__seg AS __part",
             *[f"`__p{p}_{t}`" for t, _ in tags for p in ("a", "b")],
             *[f"coalesce(`__lc_{t}`, `__bc_{t}`) AS `__c_{t}`" for t, _ in tags])
@@ -301,7 +301,7 @@ def lagged_features_segmented(df: DataFrame, key: Sequence[str], order: Sequence
     halo = r.filter(f"__rn % {S} >= {S - H}").selectExpr("*", "__seg + 1 AS __part", "true AS __halo")
     u = own.unionByName(halo)
     if summary is not None:
-        u = u.join(summary, key + ["__part"], "left")
+        u = _join_on(u, summary, key + ["__part"], "left")
 
     pw = f"PARTITION BY {K}, __part ORDER BY __rn"
     past = lambda lo: f"OVER ({pw} ROWS BETWEEN {lo} PRECEDING AND 1 PRECEDING)"
@@ -345,12 +345,6 @@ def lagged_features_segmented(df: DataFrame, key: Sequence[str], order: Sequence
     return out.selectExpr(*[_q(c) for c in cols], *[_q(c) for c in dict.fromkeys(new_cols)])
 
 
-def max_rows_per_key(df: DataFrame, key: Sequence[str]) -> int:
-    """Size probe for choosing the window strategy (partial aggregation, one row back)."""
-    r = df.groupBy(*key).count().agg(F.max("count")).first()[0]
-    return int(r or 0)
-
-
 def period_strict(df: DataFrame, key: Sequence[str], period: str, order: Sequence[str],
                   cols: Sequence[str]) -> DataFrame:
     """Option strict="period": a row sees only rows of earlier periods.
@@ -360,7 +354,7 @@ def period_strict(df: DataFrame, key: Sequence[str], period: str, order: Sequenc
     that value (``first`` over the group: the key's partitioning is reused).
     """
     K = ", ".join(_q(k) for k in key)
-    O = ", ".join(_q(o) for o in order)
+    O = _order_sql(order)
     w = f"OVER (PARTITION BY {K}, {_q(period)} ORDER BY {O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     repl = {c: f"first({_q(c)}) {w} AS {_q(c)}" for c in cols}
     return df.selectExpr(*[repl.get(c, _q(c)) for c in df.columns])

@@ -11,23 +11,22 @@ from tessera.operators import context as ctxop
 from tessera.operators import windows as win
 from tessera.operators.matrix import POSITIONS, feature_matrix
 
-DEFAULT_ORDER = ("kickoff_time", "fixture_id")
+DEFAULT_ORDER = ("gw", "kickoff_time", "fixture_id")
 
 
 def add_history_features(history: DataFrame, measures: Sequence[str], key=("player_id",),
                          order=DEFAULT_ORDER, windows=win.ROLL_WINDOWS,
-                         spans=win.EWM_SPANS, chunk: str | None = "gw",
+                         spans=win.EWM_SPANS,
                          strategy: str | None = None, strict: str = "row",
                          period: str = "gw") -> DataFrame:
     """Rolling/EWM features of the measures plus minutes reliability: one key
-    exchange, all window expressions in shared Window nodes (or the hot-key
-    segmented plan when the largest key is too big for one task).
+    exchange, all window expressions in shared Window nodes (strategy "key").
 
     ``strict="row"`` (reference parity): past rows, so the second match of a
     double period sees the first; ``strict="period"``: only earlier periods.
     """
     out = win.minutes_features(history, list(key), list(order), windows=windows,
-                               measures=measures, spans=spans, chunk=chunk, strategy=strategy)
+                               measures=measures, spans=spans, strategy=strategy)
     if strict == "period":
         new = [c for c in out.columns if c not in history.columns and c not in ("started", "minutes_pct")]
         out = win.period_strict(out, list(key), period, list(order), new)
@@ -53,9 +52,7 @@ def prediction_features_next_row(history: DataFrame, fixture_ctx: DataFrame, tea
                          *[F.lit(None).cast(past.schema[c].dataType).alias(c) for c in past.columns
                            if c not in key and c not in descr and c != "gw"])
     synth = synth.withColumn("__synthetic", F.lit(True))
-    # ordered last: the largest possible order values
-    synth = synth.withColumn(order[0], F.lit("9999-12-31 00:00:00").cast("timestamp")) \
-                 .withColumn(order[1], F.lit(2 ** 62).cast("bigint"))
+    # ordered last: the target period comes after the past, and missing values come last
     both = past.withColumn("__synthetic", F.lit(False)).unionByName(synth.select(*past.columns, "__synthetic"))
     feats = add_history_features(both, measures, key, order)
     if "value" in feats.columns:
@@ -124,7 +121,7 @@ def enrichment_features(docs: DataFrame, periods: DataFrame, mapping: DataFrame,
     from tessera.operators.asof import asof_backward
     m = second_source_matches(docs, seasons)
     m = win.lagged_features(m, ["understat_id"], ["date", "match_id"], US_ROLL_COLS,
-                            windows, spans, prefix="us_", chunk="date_trunc('DAY', date)")
+                            windows, spans, prefix="us_")
     m = asof_backward(m, "date", period_dim(periods) if "id" in periods.columns else periods)
     m = m.join(mapping.select("fpl_id", "understat_id"), "understat_id", "inner")
     us_cols = [c for c in m.columns if c.startswith("us_")]

@@ -154,7 +154,7 @@ def q_prediction_features(spark, d):
     h = h.select("player_id", "team_id", "gw", "kickoff_time", "fixture_id", *PRED_COLS)
     ctx = ctxop.fixture_context(ctxop.fixture_sides(an.fixtures(spark, d)))
     out = mx.prediction_features(h, ctx, an.teams(spark, d), TARGET_GW,
-                                 order=("kickoff_time", "fixture_id"))
+                                 order=("gw", "kickoff_time", "fixture_id"))
     return out.select("player_id", "team_id", "gw", *PRED_COLS, "fixture_difficulty", "opponent_difficulty",
                       "is_double_gw", "n_fixtures", "strength_overall_home")
 

@@ -11,9 +11,10 @@ from tessera.operators.matrix import feature_matrix
 from tessera.plans import analogue as an
 from tessera.plans.builds import feature_build
 from tessera.plans.registry import query, sql_out
+from tessera.sources.tables import read_table
 
 KEY = ["player_id"]
-ORDER = ["kickoff_time", "fixture_id"]
+ORDER = ["gw", "kickoff_time", "fixture_id"]
 W_SQL = "PARTITION BY player_id ORDER BY kickoff_time, fixture_id"
 MEASURES = ["total_points", "minutes", "value"]
 
@@ -40,7 +41,7 @@ FROM ({an.HISTORY_SQL}) AS h""",
 def q_roll_mean(spark, d):
     """Mean of the non-missing values among the previous w rows of the key."""
     h = an.history(spark, d)
-    out = win.lagged_features(h, KEY, ORDER, MEASURES, windows=(3, 5), spans=(), chunk="gw")
+    out = win.lagged_features(h, KEY, ORDER, MEASURES, windows=(3, 5), spans=())
     return out.select("player_id", "fixture_id", "gw",
                       *[f"{m}_roll{w}" for m in MEASURES for w in (3, 5)])
 
@@ -53,11 +54,57 @@ FROM ({HIST_RN}) AS h""",
 def q_ewm_mean(spark, d):
     """Lagged EWM (adjust=True, ignore_na=False, min_periods=1), exact for any key length."""
     h = an.history(spark, d)
-    out = win.lagged_features(h, KEY, ORDER, MEASURES, windows=(), spans=(3, 5), chunk="gw")
+    out = win.lagged_features(h, KEY, ORDER, MEASURES, windows=(), spans=(3, 5))
     return out.select("player_id", "fixture_id", "gw",
                       *[f"{m}_ewm{s}" for m in MEASURES for s in (3, 5)])
 
 
+# ------------------------------------------------------- long keys (segmented plan)
+LONG_KEY, LONG_ORDER = ["l_returnflag"], ["batch", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+LONG_SQL = """SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+  CASE WHEN l_partkey % 53 <> 0 THEN l_orderkey // 200 END AS batch,
+  CASE WHEN (l_orderkey // 1000) % 3 <> 1 THEN CAST(l_quantity AS DOUBLE) END AS x FROM lineitem"""
+_LONG_W = "PARTITION BY l_returnflag ORDER BY batch ASC NULLS LAST, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity"
+
+
+def _long_rows(spark, d):
+    """A few keys with thousands of rows, runs of hundreds of missing values and missing order values."""
+    li = read_table(spark, d, "lineitem")
+    batch = F.floor(F.col("l_orderkey") / 200).cast("bigint")
+    gone = F.floor(F.col("l_orderkey") / 1000) % 3 == 1
+    return li.select("l_returnflag", *LONG_ORDER[1:],
+                     F.when(F.col("l_partkey") % 53 != 0, batch).alias("batch"),
+                     F.when(~gone, F.col("l_quantity").cast("double")).alias("x"))
+
+
+@query("roll_long_key", sql_out(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  avg(x) OVER ({_LONG_W} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS x_roll3,
+  avg(x) OVER ({_LONG_W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS x_roll5
+FROM ({LONG_SQL}) AS t""", doubles=["x_roll3", "x_roll5"]))
+def q_roll_long_key(spark, d):
+    """W1 on three keys that hold all rows: the segmented plan."""
+    out = win.lagged_features(_long_rows(spark, d), LONG_KEY, LONG_ORDER, ["x"], spans=(), strategy="segmented")
+    return out.select(*LONG_ORDER[1:5], "x_roll3", "x_roll5")
+
+
+def _long_ewm_sql(span: int) -> str:
+    q = f"(1 - 2.0 / ({span} + 1))"
+    return (f"list_sum(list_transform(seen, lambda v, i: coalesce(v, 0) * pow({q}, len(seen) - i))) / "
+            f"list_sum(list_transform(seen, lambda v, i: CASE WHEN v IS NOT NULL THEN pow({q}, len(seen) - i) ELSE 0 END))")
+
+
+@query("ewm_long_key", sql_out(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  last_value(e3 IGNORE NULLS) OVER ({_LONG_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS x_ewm3,
+  last_value(e5 IGNORE NULLS) OVER ({_LONG_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS x_ewm5
+FROM (SELECT *, CASE WHEN x IS NOT NULL THEN {_long_ewm_sql(3)} END AS e3, CASE WHEN x IS NOT NULL THEN {_long_ewm_sql(5)} END AS e5
+  FROM (SELECT *, list(x) OVER ({_LONG_W} ROWS BETWEEN 150 PRECEDING AND CURRENT ROW) AS seen FROM ({LONG_SQL}) AS t) AS u) AS v""",
+    doubles=["x_ewm3", "x_ewm5"]))
+def q_ewm_long_key(spark, d):
+    """W2 on the same keys: values carried over whole missing segments."""
+    out = win.lagged_features(_long_rows(spark, d), LONG_KEY, LONG_ORDER, ["x"], windows=(), strategy="segmented")
+    return out.select(*LONG_ORDER[1:5], "x_ewm3", "x_ewm5")
+
+
 MINUTES_SQL = f"""SELECT player_id, fixture_id, gw,
   CAST(coalesce(minutes >= 45, false) AS DOUBLE) AS started, minutes / 90.0 AS minutes_pct
 FROM ({an.HISTORY_SQL}) AS h"""
@@ -67,7 +114,7 @@ FROM ({an.HISTORY_SQL}) AS h"""
 def q_minutes_flags(spark, d):
     """started = minutes >= 45 (missing -> 0), minutes_pct = minutes / 90."""
     h = an.history(spark, d)
-    return win.minutes_features(h, KEY, ORDER, chunk="gw").select("player_id", "fixture_id", "gw",
+    return win.minutes_features(h, KEY, ORDER).select("player_id", "fixture_id", "gw",
                                                                   "started", "minutes_pct")
 
 
@@ -83,7 +130,7 @@ FROM (SELECT m.*, h.kickoff_time FROM ({MINUTES_SQL}) m JOIN ({an.HISTORY_SQL})
 def q_minutes_reliability(spark, d):
     """Lagged means of started and minutes_pct."""
     h = an.history(spark, d)
-    return win.minutes_features(h, KEY, ORDER, chunk="gw").select("player_id", "fixture_id", "gw", *REL_COLS)
+    return win.minutes_features(h, KEY, ORDER).select("player_id", "fixture_id", "gw", *REL_COLS)
 
 
 @query("sub_risk", sql_out(
@@ -96,7 +143,7 @@ FROM (SELECT m.*, h.kickoff_time FROM ({MINUTES_SQL}) m JOIN ({an.HISTORY_SQL})
 def q_sub_risk(spark, d):
     """Share of the last five rows not started, reference denominator."""
     h = an.history(spark, d)
-    return win.minutes_features(h, KEY, ORDER, chunk="gw").select("player_id", "fixture_id", "gw", "sub_risk")
+    return win.minutes_features(h, KEY, ORDER).select("player_id", "fixture_id", "gw", "sub_risk")
 
 
 def _ord_sql() -> str:

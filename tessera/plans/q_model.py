@@ -99,7 +99,7 @@ def _next_features(spark, d, cols):
     h = ctxop.one_hot(h, "position_id", mx.POSITIONS, "pos")
     ctx = ctxop.fixture_context(ctxop.fixture_sides(an.fixtures(spark, d)))
     return mx.prediction_features(h, ctx, an.teams(spark, d), TARGET_GW,
-                                  order=("kickoff_time", "fixture_id"), feature_cols=cols)
+                                  feature_cols=cols)
 
 
 @query("predict_next")

@@ -121,7 +121,7 @@ def test_segmented_path_equals_pandas(spark, seed):
     pdf = _frame(n_keys=4, max_len=30, long_key=1200, seed=seed, null_frac=0.3)
     pdf.loc[(pdf.k == 999) & (pdf.t.between(400, 700)), "x"] = None   # null run longer than a segment
     pdf["chunk"] = pdf["t"] // 37
-    out = win.lagged_features_segmented(spark.createDataFrame(pdf), ["k"], ["t"], "chunk", ["x"],
+    out = win.lagged_features_segmented(spark.createDataFrame(pdf), ["k"], ["t"], ["x"],
                                         windows=(3, 5), spans=(3, 5), roll_only=("minutes",))
     _compare(out, _pandas_expected(pdf, "x", (3, 5), (3, 5)), ["x_roll3", "x_roll5", "x_ewm3", "x_ewm5"])
     simple = win.lagged_features(spark.createDataFrame(pdf), ["k"], ["t"], ["x"], windows=(3, 5), spans=(3, 5),
@@ -133,7 +133,7 @@ def test_segmented_sub_risk(spark):
     pdf = _frame(n_keys=3, long_key=700, seed=8)
     pdf["chunk"] = pdf["t"] // 50
     sdf = spark.createDataFrame(pdf).selectExpr("*", "CAST(coalesce(minutes >= 45, false) AS DOUBLE) AS started")
-    a = win.lagged_features_segmented(sdf, ["k"], ["t"], "chunk", [], windows=(3,), spans=(), roll_only=("started",),
+    a = win.lagged_features_segmented(sdf, ["k"], ["t"], [], windows=(3,), spans=(), roll_only=("started",),
                                       sub_risk="started")
     b = win.lagged_features(sdf, ["k"], ["t"], [], windows=(3,), spans=(), roll_only=("started",), sub_risk="started")
     _compare(a, b.toPandas(), ["started_roll3", "sub_risk"])
@@ -171,6 +171,47 @@ def test_segmented_two_level_carry(spark):
     pdf = _frame(n_keys=2, max_len=10, long_key=1500, seed=11, null_frac=0.2)
     pdf.loc[(pdf.k == 999) & (pdf.t.between(200, 1100)), "x"] = None
     pdf["chunk"] = pdf["t"] // 23
-    out = win.lagged_features_segmented(spark.createDataFrame(pdf), ["k"], ["t"], "chunk", ["x"],
+    out = win.lagged_features_segmented(spark.createDataFrame(pdf), ["k"], ["t"], ["x"],
                                         windows=(3,), spans=(3, 5), super_block=2)
     _compare(out, _pandas_expected(pdf, "x", (3,), (3, 5)), ["x_roll3", "x_ewm3", "x_ewm5"])
+
+
+@pytest.mark.parametrize("strategy", ["key", "segmented"])
+@pytest.mark.parametrize("gap", [(148, 296), (140, 300), (150, 290), (0, 200), (147, 149)])
+def test_missing_segments_at_both_ends(spark, strategy, gap):
+    """A run of missing values that covers, begins or ends a segment: the carried value is exact."""
+    pdf = pd.DataFrame({"k": [1] * 444, "t": range(444), "x": [float(i * i % 97) for i in range(444)], "minutes": 90.0})
+    pdf.loc[pdf.t.between(*gap), "x"] = None
+    out = win.lagged_features(spark.createDataFrame(pdf), ["k"], ["t"], ["x"], spans=(3, 5), strategy=strategy)
+    _compare(out, _pandas_expected(pdf, "x", (3, 5), (3, 5)), ["x_roll3", "x_roll5", "x_ewm3", "x_ewm5"])
+
+
+@pytest.mark.parametrize("strategy", ["key", "segmented"])
+def test_missing_keys_and_order_values(spark, strategy):
+    """Rows without an order value come last in their key; rows without a key are a key of their own."""
+    rows = [(k, None if i % 5 == 4 else i // 3, i, float(i)) for k in ("a", None) for i in range(20)]
+    df = spark.createDataFrame(rows, "k string, g long, i long, x double")
+    got = {(r.k, r.i): r.x_roll3 for r in win.lagged_features(df, ["k"], ["g", "i"], ["x"], strategy=strategy).collect()}
+    assert len(got) == 40
+    for k in ("a", None):
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
+        for n, r in enumerate(mine):
+            past = [p[3] for p in mine[max(0, n - 3):n]]
+            assert got[k, r[2]] == (pytest.approx(sum(past) / len(past)) if past else None)
+
+
+def test_building_starts_no_job(spark):
+    tracker, before = spark.sparkContext.statusTracker(), None
+    df = spark.createDataFrame([(1, 1, 2.0)], "k long, t long, x double")
+    before = set(tracker.getJobIdsForGroup(None))
+    for strategy in ("key", "segmented"):
+        win.lagged_features(df, ["k"], ["t"], ["x"], strategy=strategy)
+    assert set(tracker.getJobIdsForGroup(None)) == before
+    with pytest.raises(ValueError):
+        win.lagged_features(df, ["k"], ["t"], ["x"], strategy="auto")
+
+
+def test_last_state_puts_missing_order_last(spark):
+    df = spark.createDataFrame([(1, 5, 1.0), (1, None, 2.0), (1, 9, None)], "k long, t long, x double")
+    assert win.last_state(df, ["k"], ["t"], ["x"]).first().x == 2.0
+    assert win.keep_last(df, ["k"], ["t"]).first().x == 2.0 and win.keep_first(df, ["k"], ["t"]).first().x == 1.0

@@ -28,14 +28,13 @@ def main() -> None:
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
     res = {}
     for strategy in ("key", "segmented"):
-        out = win.lagged_features(df, ["k"], order, ["l_extendedprice", "l_discount"], chunk="to_date(l_shipdate)",
-                                  strategy=strategy)
+        out = win.lagged_features(df, ["k"], order, ["l_extendedprice", "l_discount"], strategy=strategy)
         out.write.format("noop").mode("overwrite").save()
         t0 = time.perf_counter()
         out.write.format("noop").mode("overwrite").save()
         res[strategy] = round(time.perf_counter() - t0, 2)
-    a = win.lagged_features(df, ["k"], order, ["l_extendedprice"], chunk="to_date(l_shipdate)", strategy="key")
-    b = win.lagged_features(df, ["k"], order, ["l_extendedprice"], chunk="to_date(l_shipdate)", strategy="segmented")
+    a = win.lagged_features(df, ["k"], order, ["l_extendedprice"], strategy="key")
+    b = win.lagged_features(df, ["k"], order, ["l_extendedprice"], strategy="segmented")
     cols = ["l_extendedprice_roll3", "l_extendedprice_ewm5"]
     diff = a.select("k", *order, *[F.round(c, 6).alias(c) for c in cols]).exceptAll(
         b.select("k", *order, *[F.round(c, 6).alias(c) for c in cols])).count()
