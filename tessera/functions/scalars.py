@@ -27,20 +27,20 @@ def full_name(first, second) -> Column:
                               F.coalesce(col_(second), F.lit(""))))
 
 
+# Date, optionally with time, fraction and zone; what doesn't fit is no timestamp.
+_TIMESTAMP = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+
+
 def parse_utc(c) -> Column:
-    """ISO-8601 ('...T...Z'), 'yyyy-MM-dd HH:mm:ss' or 'yyyy-MM-dd' -> TIMESTAMP; bad -> NULL.
+    """'yyyy-MM-dd', optionally with '[T ]HH:mm[:ss[.f]]' and 'Z' or an offset -> TIMESTAMP; bad -> NULL.
 
     Strings without a zone are read as UTC whatever the session time zone is.
-    The spelling is picked from the string's shape, so each value is parsed
-    once (a failed pattern attempt is costly per row).
     """
-    s = col_(c).cast("string")
-    zoned = F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"))
-    naive_iso = F.try_to_timestamp(F.concat(s, F.lit("Z")), F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]X"))
-    return (F.when(F.length(s) == 10, F.try_to_timestamp(F.concat(s, F.lit(" 00:00:00Z")),
-                                                          F.lit("yyyy-MM-dd HH:mm:ssX")))
-            .when(F.substring(s, 11, 1) == "T", F.coalesce(zoned, naive_iso))
-            .otherwise(F.try_to_timestamp(F.concat(s, F.lit("Z")), F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]X"))))
+    raw = col_(c).cast("string")
+    no_seconds = (F.length(raw) >= 16) & (F.substring(raw, 17, 1) != ":")
+    s = F.when(no_seconds, F.concat(F.substring(raw, 1, 16), F.lit(":00"), F.substr(raw, F.lit(17)))).otherwise(raw)
+    zone = F.when(F.length(s) == 10, F.lit(" 00:00:00Z")).when(s.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.lit("")).otherwise(F.lit("Z"))
+    return F.when(raw.rlike(_TIMESTAMP), F.concat(s, zone).try_cast("timestamp"))
 
 
 def utc_wall(c) -> Column:

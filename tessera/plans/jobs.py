@@ -10,7 +10,7 @@ import os
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,11 +33,15 @@ def landing_job(spark: SparkSession, landing_path: str, schema: T.StructType, br
         good = ld.filter_active(good, status_col)
     docs = good.select(F.lit(entity).alias("entity"), F.col(id_col).cast("bigint").alias("entity_id"),
                        *[c for c in good.columns if c != id_col])
-    sn.append_snapshot(docs, bronze, snapshot)
-    bad.write.mode("append").json(os.path.join(quarantine, f"snapshot_ts={snapshot}"))
-    landed = spark.read.json(os.path.join(bronze, f"snapshot_ts={snapshot}")).count()
-    return {"snapshot_ts": snapshot, "landed": landed,
-            "quarantined": spark.read.text(os.path.join(quarantine, f"snapshot_ts={snapshot}")).count()}
+    counted = {}
+    for side, rows in (("landed", docs), ("quarantined", bad)):  # counted while they are written
+        counted[side] = Observation(side)
+        rows = rows.observe(counted[side], F.count(F.lit(1)).alias("n"))
+        if side == "landed":
+            sn.append_snapshot(rows, bronze, snapshot)
+        else:
+            rows.write.mode("append").json(os.path.join(quarantine, f"snapshot_ts={snapshot}"))
+    return {"snapshot_ts": snapshot, **{side: o.get["n"] for side, o in counted.items()}}
 
 
 def train_job(spark: SparkSession, splits_base: str, version: str, model_path: str, experiments: str,

@@ -75,19 +75,32 @@ def q_list_entity_ids(spark, d):
     return _bronze(spark, d).select("entity_id").distinct()
 
 
-@query("land_with_quarantine", """SELECT event_id, user_id, event_type, value FROM events
-WHERE event_type <> 'error'""")
-def q_land_with_quarantine(spark, d):
-    """S3: landed JSON lines (error events arrive truncated) -> good rows; bad rows quarantined."""
+def _landed(spark, d):
     e = read_table(spark, d, "events")
     js = F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
     line = F.when(F.col("event_type") == "error", F.expr("substring(j, 1, length(j) - 2)")).otherwise(F.col("j"))
     path = scratch_path(spark, "landing")
-    e.select("event_type", js.alias("j")).select(line.alias("value")).write.text(path)
+    lines = e.select("event_type", js.alias("j")).select(line.alias("value"))
+    lines.unionByName(e.filter("event_type = 'click'").select(F.lit(" ").alias("value"))).write.text(path)
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
                            T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
-    good, _ = ld.land_with_quarantine(spark, path, schema)
-    return good
+    return ld.land_with_quarantine(spark, path, schema)
+
+
+@query("land_with_quarantine", """SELECT event_id, user_id, event_type, value FROM events
+WHERE event_type <> 'error'""")
+def q_land_with_quarantine(spark, d):
+    """S3: landed JSON lines (error events arrive truncated, some lines are blank) -> good rows."""
+    return _landed(spark, d)[0]
+
+
+@query("quarantine_rows", """SELECT event_id, user_id FROM events WHERE event_type = 'error'""")
+def q_quarantine_rows(spark, d):
+    """S3: the records that don't parse, kept with their text."""
+    text = F.col(ld.CORRUPT)
+    return _landed(spark, d)[1].select(
+        F.regexp_extract(text, r'"event_id":(\d+)', 1).cast("bigint").alias("event_id"),
+        F.regexp_extract(text, r'"user_id":(\d+)', 1).cast("bigint").alias("user_id"))
 
 
 def _mapping_csv(spark, d):
@@ -133,6 +146,14 @@ def q_extract_embedded_json(spark, d):
                      parsed["url"].alias("p_url"), parsed["n_chars"].alias("p_n_chars"))
 
 
+@query("page_quarantine", """SELECT page_id, 'pageData,metaData' AS missing FROM pages WHERE url LIKE '%?%'""")
+def q_page_quarantine(spark, d):
+    """Pages that arrive without a known variable are reported, not lost."""
+    pages = _pages_with_vars(spark, d).join(read_table(spark, d, "pages").select("page_id", "url"), "page_id")
+    bare = F.when(F.col("url").contains("?"), F.regexp_replace("html", r"JSON\.parse", "JSON.read")).otherwise(F.col("html"))
+    return ld.quarantine_pages(pages.withColumn("html", bare), "page_id", ["pageData", "metaData"])
+
+
 def _players_with_status(spark, d):
     c = read_table(spark, d, "customer")
     status = F.when(F.col("c_mktsegment") == "BUILDING", "u").when(F.col("c_mktsegment") == "MACHINERY", None) \
@@ -215,7 +236,7 @@ def _name_sides(spark, d):
     toks = F.split("p_name", " ")
     rev = F.array_join(F.reverse(toks), " ")
     # one letter removed: the second character of the reversed name
-    altered = F.concat(F.substring(rev, 1, 1), F.substring(rev, 3, 1000))
+    altered = F.concat(F.substring(rev, 1, 1), F.substr(rev, F.lit(3)))
     right = p.groupBy(altered.alias("understat_name")).agg((F.min("p_partkey") + 1000000).alias("understat_id"))
     return left, right
 
@@ -239,7 +260,7 @@ def _ratio_sql(a: str, b: str) -> str:
 
 
 _ALTERED_SQL = ("substring(array_to_string(list_reverse(string_split(p_name, ' ')), ' '), 1, 1) || "
-                "substring(array_to_string(list_reverse(string_split(p_name, ' ')), ' '), 3, 1000)")
+                "substring(array_to_string(list_reverse(string_split(p_name, ' ')), ' '), 3)")
 
 TSR_SQL = f"""SELECT p_partkey, p_name, altered, {_ratio_sql('ka', 'kb')} AS score FROM (
   SELECT p_partkey, p_name, altered, {_tskey_sql('p_name')} AS ka, {_tskey_sql('altered')} AS kb
@@ -264,7 +285,7 @@ def q_token_sort_ratio(spark, d):
     """token-sort ratio of every part name against its altered spelling (one pair per row)."""
     p = read_table(spark, d, "part")
     rev = F.array_join(F.reverse(F.split("p_name", " ")), " ")
-    altered = F.concat(F.substring(rev, 1, 1), F.substring(rev, 3, 1000))
+    altered = F.concat(F.substring(rev, 1, 1), F.substr(rev, F.lit(3)))
     return p.select("p_partkey", "p_name", altered.alias("altered"),
                     mt.token_sort_ratio(F.col("p_name"), altered).alias("score"))
 

@@ -11,19 +11,12 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """Read one table; ``spread`` for sources followed by heavy per-row work."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread_small(df) if spread else df
-
+    """Read one table.
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a source with fewer scan splits than the cluster has cores.
-
-    A single small file with one row group runs every narrow operator after
-    the scan in one task.  Used only in front of heavy per-row work that comes
-    before the first shuffle (document building, page parsing).  The check is
-    plan-time (file splits, no data read) and never fires for large inputs,
-    whose scans already have at least one split per core.
+    ``spread`` marks sources with heavy work on each row before the first shuffle.  They are dealt
+    out anew only if ``tessera.scan.spread`` asks for a number of partitions: useful where a source
+    is one small file, a needless shuffle where it is many.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    parts = int(spark.conf.get("tessera.scan.spread", "0")) if spread else 0
+    return df.repartition(parts) if parts else df

@@ -36,7 +36,7 @@ def _write_docs(base):
 
 
 def test_multiline_documents_flatten(spark):
-    base = scratch_path(spark, "raw-docs")
+    base = scratch_path(spark, "raw-docs").removeprefix("file:")
     _write_docs(base)
     docs = (spark.read.schema(DOC_SCHEMA).option("multiLine", True).json(base)
             .select(F.regexp_extract(F.col("_metadata.file_name"), r"player_(\d+)_", 1).cast("bigint").alias("doc"),

@@ -23,6 +23,14 @@ def test_landing_job(spark):
     assert out == {"snapshot_ts": "20240101T000000Z", "landed": 2, "quarantined": 1}
 
 
+def test_landing_job_without_a_good_record(spark):
+    path = scratch_path(spark, "landing-bad")
+    spark.createDataFrame([("{",), ("",)], "value string").write.text(path)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("status", T.StringType())])
+    out = landing_job(spark, path, schema, scratch_path(spark, "bronze-bad"), scratch_path(spark, "quar-bad"))
+    assert (out["landed"], out["quarantined"]) == (0, 1)
+
+
 def test_train_job_writes_model_and_record(spark):
     rng = np.random.default_rng(0)
     rows = [(p, gw, float(rng.poisson(3)), float(rng.normal(3, 1)), float(rng.uniform(4, 9)))

@@ -45,3 +45,14 @@ def test_flagship_history_exchange_reused_by_windows(static):
 def test_asof_is_a_hash_join(static):
     plan = _plan(static, "asof_period")
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+
+
+def test_shared_folder_is_required_off_local_masters():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tessera.session import shared_dir
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="local-cluster[2,1,1024]")
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
