@@ -189,8 +189,9 @@ def judge(docs: DataFrame, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     lines = cut(seen.where("line is not null").groupBy("line").agg(
         F.min(_first()).alias("first"), F.count("*").alias("n"), F.first("anchors").alias("anchors")), "distinct-lines")
     near = near_lines(docs, lines, words_per_edit)
-    known = lines.select("line", "first", "n").join(near, "line", "left").where("n > 1 or n_links is not null").select(
-        "line", "first", "of", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = cut(lines.select("line", "first", "n").join(near, "line", "left").where("n > 1 or n_links is not null").select(
+        "line", "first", "of", F.coalesce("n_links", F.lit(0)).alias("n_links")), "line-verdicts")
+    # a table of its own, so the join below starts from two shuffles and a hot line can be split
     at = F.struct("doc_id", "line_no", "doc")
     rows = seen.select("doc_id", "doc", "line_no", "line").join(known, "line", "left").withColumn(
         "kind", F.expr("""case when line is null then 'blank' when of is not null then 'near'
