@@ -27,6 +27,15 @@ from pyspark.sql import functions as F
 from tessera.sources.tables import read_table
 
 
+# The other rolled measures: small whole numbers (or tenths) from the order's keys, as SQL for both engines.
+_DERIVED = {"goals_scored": (7, 4, 1), "assists": (11, 3, 1), "bonus": (13, 4, 1), "bps": (17, 60, 1),
+            "influence": (19, 1000, 10), "creativity": (23, 900, 10), "threat": (29, 800, 10),
+            "ict_index": (31, 250, 10), "clean_sheets": (37, 2, 1), "goals_conceded": (41, 6, 1),
+            "expected_goals": (43, 20, 10), "expected_assists": (47, 15, 10), "expected_goal_involvements": (53, 30, 10)}
+DERIVED_SQL = {c: f"CASE WHEN (o_orderkey + {a}) % 29 <> 0 THEN CAST((o_orderkey * {a} + o_custkey) % {m} AS DOUBLE) / {d} END"
+               for c, (a, m, d) in _DERIVED.items()}
+
+
 def gw_of(ts) -> F.Column:
     return ((F.year(ts) - 1995) * 12 + F.month(ts)).cast("bigint")
 
@@ -45,6 +54,7 @@ def history(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("o_orderstatus") != "P", (F.col("o_orderkey") % 91).cast("double")).alias("minutes"),
         F.floor(F.col("o_totalprice") / 1000).cast("double").alias("value"),
         (F.col("o_orderstatus") == "F").alias("was_home"),
+        *[F.expr(e).alias(c) for c, e in DERIVED_SQL.items()],
     )
 
 
@@ -52,7 +62,8 @@ HISTORY_SQL = f"""SELECT o_custkey AS player_id, o_orderkey AS fixture_id,
   {GW_SQL.format(c='o_orderdate')} AS gw, o_orderdate AS kickoff_time,
   CAST(floor(o_totalprice) AS BIGINT) % 200 / 10.0 AS total_points,
   CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderkey % 91 AS DOUBLE) END AS minutes,
-  CAST(floor(o_totalprice / 1000) AS DOUBLE) AS value, o_orderstatus = 'F' AS was_home
+  CAST(floor(o_totalprice / 1000) AS DOUBLE) AS value, o_orderstatus = 'F' AS was_home,
+  {', '.join(f"{e} AS {c}" for c, e in DERIVED_SQL.items())}
 FROM orders"""
 
 

@@ -14,6 +14,12 @@ from tessera.operators.matrix import POSITIONS, feature_matrix
 DEFAULT_ORDER = ("gw", "kickoff_time", "fixture_id")
 
 
+# Measures of the history that are rolled, in order.
+ROLL_TARGETS = ("total_points", "minutes", "goals_scored", "assists", "bonus", "bps", "influence", "creativity", "threat",
+                "ict_index", "clean_sheets", "goals_conceded", "expected_goals", "expected_assists",
+                "expected_goal_involvements")
+
+
 def add_history_features(history: DataFrame, measures: Sequence[str], key=("player_id",),
                          order=DEFAULT_ORDER, windows=win.ROLL_WINDOWS,
                          spans=win.EWM_SPANS,

@@ -9,14 +9,14 @@ from tessera.operators import context as ctxop
 from tessera.operators import windows as win
 from tessera.operators.matrix import feature_matrix
 from tessera.plans import analogue as an
-from tessera.plans.builds import feature_build
+from tessera.plans.builds import ROLL_TARGETS, feature_build
 from tessera.plans.registry import query, sql_out
 from tessera.sources.tables import read_table
 
 KEY = ["player_id"]
 ORDER = ["gw", "kickoff_time", "fixture_id"]
 W_SQL = "PARTITION BY player_id ORDER BY kickoff_time, fixture_id"
-MEASURES = ["total_points", "minutes", "value"]
+MEASURES = list(ROLL_TARGETS)
 
 
 def roll_sql(c: str, w: int) -> str:

@@ -18,10 +18,6 @@ from tessera.plans.q_features import MEASURES
 from tessera.plans.registry import query, sql_out
 from tessera.session import scratch_path, shared_dir
 
-# Small round counts keep the registered queries quick; production uses GBM_DEFAULTS.
-QUERY_PARAMS = dict(max_iter=15, qrf_trees=8)
-_FITTED: dict = {}
-
 
 @query("impute_flags", sql_out(f"""SELECT player_id, fixture_id,
   coalesce(minutes, (SELECT quantile_disc(minutes, 0.5) FROM ({an.HISTORY_SQL}) AS q)) AS minutes_imputed,
@@ -42,26 +38,21 @@ def matrix(spark, d):
 
 
 def fitted(spark, d, parts=("gbt", "calibrator", "quantiles")):
-    """Train once per (session, data dir), only the parts a query needs."""
-    key = (id(spark), d)
-    if key not in _FITTED:
-        labelled, cols = matrix(spark, d)
-        shared_dir(spark)
-        # reliable checkpoint in the shared folder: many training jobs read the
-        # matrix, and a lost executor must not replay the whole feature build
-        labelled = labelled.checkpoint(eager=True)
-        train = labelled.filter(F.col("split") == "train")
-        val = labelled.filter(F.col("split") == "val")
-        model = ml.ForecastModel(cols, qrf_trees=QUERY_PARAMS["qrf_trees"], max_iter=QUERY_PARAMS["max_iter"])
-        _FITTED[key] = (model, train, val, cols)
-    model, train, val, cols = _FITTED[key]
-    if "gbt" in parts and model.model is None:
+    """Train the parts a query needs, with the default parameters."""
+    labelled, cols = matrix(spark, d)
+    shared_dir(spark)
+    # reliable checkpoint in the shared folder: many training jobs read the
+    # matrix, and a lost executor must not replay the whole feature build
+    labelled = labelled.checkpoint(eager=True)
+    train, val = (labelled.filter(F.col("split") == side) for side in ("train", "val"))
+    model = ml.ForecastModel(cols)
+    if "gbt" in parts:
         model.fit(train)
-    if "calibrator" in parts and model.calibrator is None:
+    if "calibrator" in parts:
         model.fit_calibrator(val)
-    if "quantiles" in parts and model.forest is None:
+    if "quantiles" in parts:
         model.fit_quantiles(train)
-    return _FITTED[key]
+    return model, train, val, cols
 
 
 @query("gbt_fit_predict")
