@@ -3,28 +3,29 @@
 token_sort_ratio(a, b) = 100 * 2 * LCS(sa, sb) / (|sa| + |sb|) where sa, sb are
 the white-space tokens sorted and re-joined (case-sensitive).
 
-Candidate generation is exact and join-based (prefix filtering of set
-similarity joins, Vernica et al., SIGMOD 2010): LCS is bounded by the overlap
-of the two character multisets, so a pair scoring >= t has character-multiset
-Dice >= t, and such a pair must share at least one token among the
-``|A| - ceil(|A| t / (2 - t)) + 1`` globally rarest characters of each side.
-Only pairs that share such a prefix token and pass the length bound
-2 min(l1, l2) / (l1 + l2) >= t are scored; all others cannot reach the cut-off.
+The LCS length comes from built-in functions: a bit-parallel recurrence over
+one 64-bit number per row of the table (Hyyro, 2004) where one side has at most
+62 characters, else the plain dynamic program.
+
+A score of at least t bounds the lengths, 2 min(l1, l2) / (l1 + l2) >= t, and
+the common characters, 2 |A n B| / (l1 + l2) >= t as multisets.  Distinct left
+keys are dealt to the lengths their partners may have and joined by length (and
+a salt that splits crowded lengths); the character bound and the score are
+evaluated where a pair meets, and a partial maximum per left key is all that is
+shuffled: pairs are never written out.
 """
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed values of the reference matching rules.
 SCORE_CUTOFF = 70.0
 AUTO_VERIFY = 95.0
 
+_BITS = 62  # characters of a side whose table row fits a 64-bit number
+
 
 def token_sort_key(c) -> Column:
     col = F.col(c) if isinstance(c, str) else c
@@ -32,89 +33,117 @@ def token_sort_key(c) -> Column:
     return F.array_join(F.array_sort(toks), " ")
 
 
-def _lcs(a: str, b: str) -> int:
-    if len(a) < len(b):
-        a, b = b, a
-    prev = [0] * (len(b) + 1)
-    for ch in a:
-        cur = [0]
-        for j, cb in enumerate(b, 1):
-            cur.append(prev[j - 1] + 1 if ch == cb else max(prev[j], cur[j - 1]))
-        prev = cur
-    return prev[-1]
+def _chars(key: Column) -> Column:
+    return F.regexp_extract_all(key, F.lit("(?s)."), F.lit(0))
 
 
-def ratio(a: str, b: str) -> float:
-    if not a and not b:
-        return 100.0
-    return 100.0 * 2 * _lcs(a, b) / (len(a) + len(b))
+def _masks(chars: Column) -> Column:
+    """Character -> the bits of its places; null for more than ``_BITS`` characters."""
+    places = F.transform(chars, lambda c, i: F.struct(c.alias("c"), F.pow(F.lit(2.0), i).cast("bigint").alias("bit")))
+    letters = F.array_distinct(chars)
+    bits = F.transform(letters, lambda c: F.aggregate(
+        places, F.lit(0).cast("bigint"), lambda m, p: F.when(p["c"] == c, m.bitwiseOR(p["bit"])).otherwise(m)))
+    return F.when(F.size(chars) <= _BITS, F.map_from_arrays(letters, bits))
+
+
+def _lcs_bits(masks: Column, size: Column, other: Column) -> Column:
+    """LCS length of the side that ``masks`` and ``size`` describe and the characters ``other``."""
+    full = F.pow(F.lit(2.0), size).cast("bigint") - 1
+
+    def step(s, c):
+        u = s["v"].bitwiseAND(F.coalesce(F.try_element_at(s["m"], c), F.lit(0).cast("bigint")))
+        return F.struct((s["v"] + u).bitwiseOR(s["v"] - u).bitwiseAND(s["f"]).alias("v"), s["m"].alias("m"), s["f"].alias("f"))
+
+    start = F.struct(full.alias("v"), masks.alias("m"), full.alias("f"))
+    return size - F.aggregate(other, start, step, lambda s: F.bit_count(s["v"]))
+
 
+def _lcs_table(a: Column, b: Column) -> Column:
+    def row(prev, ch):
+        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), lambda cur, j: F.concat(cur, F.array(
+            F.when(F.element_at(b, j) == ch, F.element_at(prev, j) + 1)
+            .otherwise(F.greatest(F.element_at(prev, j + 1), F.element_at(cur, -1))))))
+    return F.element_at(F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), row), -1)
 
-@F.pandas_udf(T.DoubleType())
-def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Indel similarity of two already token-sorted strings (Arrow batches)."""
-    return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+
+def _bound(value: Column, f) -> Column:
+    """f(value) with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def key_ratio(a: Column, b: Column) -> Column:
+    """Ratio of two token-sort keys; two empty keys are equal."""
+    def of(p):
+        ca, cb = p["a"], p["b"]
+        la, lb = F.size(ca), F.size(cb)
+        lcs = (F.when((la == 0) | (lb == 0), 0)
+               .when(la <= _BITS, _bound(_masks(ca), lambda m: _lcs_bits(m, la, cb)))
+               .when(lb <= _BITS, _bound(_masks(cb), lambda m: _lcs_bits(m, lb, ca))).otherwise(_lcs_table(ca, cb)))
+        return F.when(la + lb == 0, 100.0).otherwise(200.0 * lcs / (la + lb))
+    return _bound(F.struct(_chars(a).alias("a"), _chars(b).alias("b")), of)
 
 
 def token_sort_ratio(a, b) -> Column:
-    return lcs_ratio(token_sort_key(a), token_sort_key(b))
+    return key_ratio(token_sort_key(a), token_sort_key(b))
 
 
-def _char_tokens(df: DataFrame, id_col: str, key_col: str) -> DataFrame:
-    """(id, token) with token = character + occurrence number (multiset -> set)."""
-    chars = df.select(id_col, F.posexplode(F.split(F.col(key_col), "")).alias("i", "ch")) \
-              .filter(F.col("ch") != "")
-    w = Window.partitionBy(id_col, "ch").orderBy("i")
-    return chars.select(id_col, F.concat_ws("#", "ch", F.row_number().over(w).cast("string")).alias("tok"))
+def ratio(a: str, b: str) -> float:
+    """Plain reference of ``key_ratio`` for tests."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return 200.0 * row[-1] / (len(a) + len(b)) if a or b else 100.0
 
 
-def _prefixes(tokens: DataFrame, order: DataFrame, sizes: DataFrame, id_col: str, t: float) -> DataFrame:
-    ranked = tokens.join(F.broadcast(order), "tok").join(sizes, id_col)
-    w = Window.partitionBy(id_col).orderBy("rank", "tok")
-    need = F.col("len") - F.ceil(F.col("len") * F.lit(t / (2 - t)) - F.lit(1e-9)) + 1
-    return ranked.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= need) \
-                 .select(id_col, "tok", "len")
+def _common(masks: Column, key: Column) -> Column:
+    """Characters that the multisets of ``key`` and of the side of ``masks`` share."""
+    count = lambda c: F.length(key) - F.length(F.replace(key, c, F.lit("")))
+    return F.aggregate(F.map_entries(masks), F.lit(0), lambda n, e: n + F.least(F.bit_count(e["value"]), count(e["key"])))
 
 
 def fuzzy_best_match(left: DataFrame, right: DataFrame, left_id: str = "fpl_id", left_name: str = "fpl_name",
                      right_id: str = "understat_id", right_name: str = "understat_name",
-                     cutoff: float = SCORE_CUTOFF, right_cols: tuple = ()) -> DataFrame:
+                     cutoff: float = SCORE_CUTOFF, right_cols: tuple = (), block: str | None = None,
+                     salts: int = 4) -> DataFrame:
     """Per left row the best right row by token-sort ratio >= cutoff (ties: smaller right id).
 
-    Unmatched left rows are kept with NULL right columns, score 0 and note NO_MATCH.
-    The token-frequency table (one row per distinct character occurrence) is
-    bounded by the alphabet and broadcast.
+    Unmatched left rows are kept with NULL right columns, score 0 and note NO_MATCH; blank
+    names match blank names.  ``block`` names a column of both sides that must be equal (a team,
+    a season), which thins the pairs; without it every length-compatible pair is considered.
     """
     t = cutoff / 100.0
-    lk = left.select(left_id, left_name, token_sort_key(left_name).alias("__k"))
-    rk = right.select(right_id, right_name, *right_cols, token_sort_key(right_name).alias("__k"))
-    lt, rt = _char_tokens(lk, left_id, "__k"), _char_tokens(rk, right_id, "__k")
-    freq = lt.select("tok").unionAll(rt.select("tok")).groupBy("tok").count()
-    order = freq.select("tok", F.row_number().over(Window.orderBy("count", "tok")).alias("rank"))
-    lsz = lk.select(left_id, F.length("__k").alias("len"))
-    rsz = rk.select(right_id, F.length("__k").alias("len"))
-    lp = _prefixes(lt, order, lsz, left_id, t).withColumnRenamed("len", "llen")
-    rp = _prefixes(rt, order, rsz, right_id, t).withColumnRenamed("len", "rlen")
-    cand = lp.join(rp, "tok").filter(
-        2 * F.least("llen", "rlen") >= F.lit(t) * (F.col("llen") + F.col("rlen")) - F.lit(1e-9)) \
-        .select(left_id, right_id).distinct()
-    scored = (cand.join(lk.select(left_id, F.col("__k").alias("__lk")), left_id)
-              .join(rk, right_id)
-              .withColumn("score", lcs_ratio("__lk", "__k"))
-              .filter(F.col("score") >= cutoff))
-    payload = F.struct(F.col(right_id), F.col(right_name), *[F.col(c) for c in right_cols], F.col("score"))
-    best = scored.groupBy(left_id).agg(
-        F.max_by(payload, F.struct(F.col("score"), -F.col(right_id))).alias("__b"))
-    best = best.select(left_id, *[F.col("__b")[c].alias(c) for c in [right_id, right_name, *right_cols]],
-                       F.col("__b")["score"].alias("__score"))
-    out = left.join(best, left_id, "left")
+    by = [block] if block else []
+    names = left.select(token_sort_key(left_name).alias("__k"), *by).distinct()
+    partners = (right.select(token_sort_key(right_name).alias("__rk"), *by, F.struct(
+        F.col(right_id), F.col(right_name), *[F.col(c) for c in right_cols]).alias("__r"))
+        .groupBy("__rk", *by).agg(F.min_by("__r", f"__r.{right_id}").alias("__r")))
+    size = F.length("__k")
+    lengths = F.sequence(F.ceil(size * (t / (2 - t)) - 1e-9).cast("int"), F.floor(size * ((2 - t) / t) + 1e-9).cast("int"))
+    l = (names.select("*", F.explode(lengths).alias("__len"))
+         .select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt")))
+    chars = _chars(F.col("__rk"))
+    r = partners.select("__rk", "__r", *by, _masks(chars).alias("__m"), F.length("__rk").alias("__len"),
+                        F.pmod(F.hash("__rk"), F.lit(salts)).alias("__salt"))
+    pairs = l.join(r, ["__len", "__salt", *by])
+    enough = F.col("__m").isNull() | (2 * _common(F.col("__m"), F.col("__k")) >= t * (size + F.col("__len")) - 1e-9)
+    score = (F.when(size + F.col("__len") == 0, 100.0)
+             .when(F.col("__m").isNotNull(), 200.0 * _lcs_bits(F.col("__m"), F.col("__len"), _chars(F.col("__k")))
+                   / (size + F.col("__len")))
+             .otherwise(key_ratio(F.col("__k"), F.col("__rk"))))
+    scored = pairs.filter(enough).select("__k", *by, "__r", score.alias("__score")).filter(F.col("__score") >= cutoff)
+    best = scored.groupBy("__k", *by).agg(F.max_by(F.struct("__r", "__score"), F.struct(
+        F.col("__score"), -F.col(f"__r.{right_id}"))).alias("__b"))
+    best = best.select(F.col("__k").alias("__bk"), *[F.col(c).alias(f"__b_{c}") for c in by], "__b")
+    on = token_sort_key(left_name) == F.col("__bk")
+    for c in by:
+        on = on & (F.col(c) == F.col(f"__b_{c}"))
+    out = left.join(best, on, "left")
+    found, points = F.col("__b.__r"), F.col("__b.__score")
     return out.select(
-        *left.columns, right_id, right_name, *right_cols,
-        F.bround(F.coalesce(F.col("__score"), F.lit(0.0)), 1).alias("match_score"),  # half to even
-        F.coalesce(F.col("__score") >= AUTO_VERIFY, F.lit(False)).alias("verified"),
-        F.when(F.col("__score").isNull(), F.lit("NO_MATCH")).otherwise(F.lit("")).alias("notes"))
-
-
-def min_overlap(length: int, cutoff: float = SCORE_CUTOFF) -> int:
-    t = cutoff / 100.0
-    return math.ceil(length * t / (2 - t))
+        *left.columns, found[right_id].alias(right_id), found[right_name].alias(right_name),
+        *[found[c].alias(c) for c in right_cols],
+        F.bround(F.coalesce(points, F.lit(0.0)), 1).alias("match_score"),  # half to even
+        F.coalesce(points >= AUTO_VERIFY, F.lit(False)).alias("verified"),
+        F.when(points.isNull(), F.lit("NO_MATCH")).otherwise(F.lit("")).alias("notes"))

@@ -1,5 +1,6 @@
 """Flattening with key fallbacks, tolerant casts, shot quality, fuzzy matching, refresh."""
 
+import random
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -65,6 +66,34 @@ def test_token_sort_ratio_matches_python(spark):
     assert got[0] == 100.0 and got[2] == 100.0
 
 
+def test_ratio_of_any_length_matches_python(spark):
+    rng = random.Random(3)
+    pairs = [("".join(rng.choice("abcdé ") for _ in range(n)), "".join(rng.choice("abcdé ") for _ in range(m)))
+             for n, m in [(0, 0), (0, 5), (1, 1), (10, 12), (61, 61), (62, 63), (63, 62), (62, 200), (70, 65), (64, 64)] * 3]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = [r[0] for r in df.select(mt.key_ratio(F.col("a"), F.col("b"))).collect()]
+    assert got == pytest.approx([mt.ratio(a, b) for a, b in pairs])
+
+
+def test_fuzzy_blank_names_blocks_and_many_lengths(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    left = [(i, f"{word(rng.randint(1, 30))} {word(rng.randint(0, 50))}", "xy"[i % 2]) for i in range(60)]
+    left += [(90, "", "x"), (91, "  ", "y"), (92, None, "x"), (93, left[0][1], "y")]
+    right = [(100 + i, n[: len(n) // 2] + word(2) + n[len(n) // 2 + 1:], "xy"[i % 3 % 2]) for i, n, _ in left[:60]]
+    right += [(500, " ", "x"), (501, "", "x"), (400, right[3][1], "x")]
+    ldf = spark.createDataFrame(left, "fpl_id long, fpl_name string, team string")
+    rdf = spark.createDataFrame(right, "understat_id long, understat_name string, team string")
+    key = lambda s: " ".join(sorted((s or "").split()))
+    for block in (None, "team"):
+        got = {r.fpl_id: r for r in mt.fuzzy_best_match(ldf, rdf, block=block).collect()}
+        assert len(got) == len(left)
+        for i, name, team in left:
+            ok = [(mt.ratio(key(name), key(r)), -j) for j, r, side in right if block is None or side == team]
+            score, j = max(ok)
+            assert (got[i].understat_id, got[i].notes) == ((-j, "") if score >= 70 else (None, "NO_MATCH"))
+
+
 def test_fuzzy_best_match_equals_brute_force(spark):
     left = ["Mohamed Salah", "Bukayo Saka", "Erling Haaland", "Nobody Here", "Son Heung-min", "Ben White"]
     right = ["Salah Mohamed", "Saka Bukayo", "Erling Braut Haaland", "Heung-Min Son", "Ben Whte", "Ben White",
