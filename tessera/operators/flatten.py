@@ -65,11 +65,8 @@ def keys_without_rows(docs: DataFrame, doc_key: str, array_col: str) -> DataFram
     return docs.filter(F.coalesce(F.size(array_col), F.lit(-1)) <= 0).select(doc_key)
 
 
-def flatten_matches(docs: DataFrame, id_col: str = "understat_id", array_col: str = "matchesData",
-                    seasons: Sequence[str] | None = None) -> DataFrame:
-    m = F.col("m")
-    out = docs.select(F.col(id_col).alias("understat_id"), F.explode(array_col).alias("m")).select(
-        "understat_id",
+def _match_columns(m: Column) -> list[Column]:
+    return [
         to_double(m["id"]).try_cast("bigint").alias("match_id"),
         parse_utc(m["date"]).alias("date"),
         _season(m["season"]).alias("season"),
@@ -89,30 +86,13 @@ def flatten_matches(docs: DataFrame, id_col: str = "understat_id", array_col: st
         to_int_or_zero(m["h_goals"]).alias("h_goals"),
         to_int_or_zero(m["a_goals"]).alias("a_goals"),
         F.coalesce(m["position"], F.lit("")).alias("position"),
-    )
-    if seasons:
-        out = out.filter(F.col("season").isin(list(seasons)))
-    return out
-
+    ]
 
-def flatten_shots(docs: DataFrame, id_col: str = "understat_id", shots_col: str = "shotsData",
-                  matches_col: str = "matchesData", seasons: Sequence[str] | None = None) -> DataFrame:
-    """Shots with season fallback to their match's season inside the same document.
 
-    The lookup stays inside the row (no join, no shuffle): the document's
-    matches with the shot's id, the last one winning when an id repeats, as a
-    dictionary built from the list would.
-    """
-    s = F.col("s")
-    matches = F.coalesce(F.col(matches_col), F.array())
-    out = docs.select(F.col(id_col).alias("understat_id"), matches.alias("__m"),
-                      F.explode(shots_col).alias("s")).select(
-        "understat_id",
+def _shot_columns(s: Column, season: Column) -> list[Column]:
+    return [
         to_double(s["match_id"]).try_cast("bigint").alias("match_id"),
-        F.coalesce(_season(s["season"]),
-                   _season(F.element_at(F.filter("__m", lambda x: F.coalesce(x["id"], F.lit(""))
-                                                 == F.coalesce(s["match_id"], F.lit(""))), -1)["season"]))
-        .alias("season"),
+        season.alias("season"),
         parse_utc(s["date"]).alias("date"),
         to_int_or_zero(s["minute"]).alias("minute"),
         to_double(s["X"]).alias("X"),
@@ -123,12 +103,79 @@ def flatten_shots(docs: DataFrame, id_col: str = "understat_id", shots_col: str
         F.coalesce(s["situation"], F.lit("")).alias("situation"),
         s["player_assisted"].alias("player_assisted"),
         F.coalesce(s["lastAction"], F.lit("")).alias("last_action"),
-    )
+    ]
+
+
+def _shots_with_season(shots_col: str, matches_col: str) -> Column:
+    """Array of (s, season): the season is the shot's own, or else that of the match with its
+    id in the same document (the last one if an id repeats).
+
+    The lookup is inside the array, before anything is exploded, so no exploded row carries
+    the document's matches.
+    """
+    matches = F.coalesce(F.col(matches_col), F.array())
+
+    def season(s):
+        same = F.filter(matches, lambda m: F.coalesce(m["id"], F.lit("")) == F.coalesce(s["match_id"], F.lit("")))
+        return F.coalesce(_season(s["season"]), _season(F.try_element_at(same, F.lit(-1))["season"]))
+
+    return F.transform(F.col(shots_col), lambda s: F.struct(s.alias("s"), season(s).alias("season")))
+
+
+def flatten_matches(docs: DataFrame, id_col: str = "understat_id", array_col: str = "matchesData",
+                    seasons: Sequence[str] | None = None) -> DataFrame:
+    out = docs.select(F.col(id_col).alias("understat_id"), F.explode(array_col).alias("m")).select(
+        "understat_id", *_match_columns(F.col("m")))
+    if seasons:
+        out = out.filter(F.col("season").isin(list(seasons)))
+    return out
+
+
+def flatten_shots(docs: DataFrame, id_col: str = "understat_id", shots_col: str = "shotsData",
+                  matches_col: str = "matchesData", seasons: Sequence[str] | None = None) -> DataFrame:
+    """Shots with season fallback to their match's season inside the same document (no join, no shuffle)."""
+    out = docs.select(F.col(id_col).alias("understat_id"), F.explode(_shots_with_season(shots_col, matches_col)).alias("x"))
+    out = out.select("understat_id", *_shot_columns(F.col("x.s"), F.col("x.season")))
     if seasons:
         out = out.filter(F.col("season").isin(list(seasons)))
     return shot_flags(out)
 
 
+def matches_with_shots(docs: DataFrame, id_col: str = "understat_id", matches_col: str = "matchesData",
+                       shots_col: str = "shotsData", seasons: Sequence[str] | None = None) -> DataFrame:
+    """Matches with their shot aggregates: ``join_match_shots`` of the two flattenings in one pass.
+
+    A document is exploded once into its matches and shots, and one aggregate per (id, match)
+    brings them together; a group holds the shots' partial sums and the match's row (rows of a
+    repeated match stay apart, matches without an id are groups of their own).
+    """
+    kind = docs.schema[matches_col].dataType.elementType
+    none = F.lit(None)
+    matches = F.transform(F.coalesce(F.col(matches_col), F.array().cast(docs.schema[matches_col].dataType)), lambda m, i: F.struct(
+        i.alias("pos"), m.alias("m"), none.cast(kind).alias("s"), none.cast("string").alias("season")))
+    shots = F.transform(F.coalesce(_shots_with_season(shots_col, matches_col), F.array()), lambda x: F.struct(
+        none.cast("int").alias("pos"), none.cast(kind).alias("m"), x["s"].alias("s"), x["season"].alias("season")))
+    rows = docs.select(F.col(id_col).alias("understat_id"), F.explode(F.concat(matches, shots)).alias("r"))
+    rows = rows.select("understat_id", "r.pos", F.when(F.col("r.m").isNotNull(), F.struct(*_match_columns(F.col("r.m")))).alias("match"),
+                       F.when(F.col("r.s").isNotNull(), F.struct(*_shot_columns(F.col("r.s"), F.col("r.season")))).alias("shot"))
+    if seasons:
+        rows = rows.filter(F.coalesce(F.col("match.season"), F.col("shot.season")).isin(list(seasons)))
+    is_shot = F.col("shot").isNotNull()
+    flags = shot_flags(rows.select("understat_id", "pos", "match", is_shot.alias("is_shot"), *[
+        F.col(f"shot.{c}").alias(c) for c in ("X", "Y", "xG", "shot_type", "situation")],
+        F.coalesce(F.col("match.match_id"), F.col("shot.match_id")).alias("match_id")))
+    lone = F.when(F.col("match_id").isNull() | F.col("understat_id").isNull(), F.xxhash64("pos", "match", "X", "Y", "xG"))
+    of_shots = lambda c: F.sum(F.when(F.col("is_shot"), F.col(c)))
+    grouped = flags.groupBy("understat_id", "match_id", lone.alias("lone")).agg(
+        F.collect_list("match").alias("matches"), F.coalesce(of_shots("xG"), F.lit(0.0)).alias("total"),
+        F.count("xG").alias("n"), *[of_shots(f"is_{c}").alias(c) for c in ("danger_zone", "header", "open_play", "big_chance")])
+    paired = F.col("lone").isNull()
+    out = grouped.select("understat_id", F.explode("matches").alias("m"), *[F.when(paired, c).alias(n) for n, c in (
+        ("xG_per_shot", safe_div("total", "n")), ("danger_zone_pct", safe_div("danger_zone", "n")),
+        ("header_pct", safe_div("header", "n")), ("open_play_pct", safe_div("open_play", "n")), ("big_chances", F.col("big_chance")))])
+    return out.select("understat_id", "m.*", *SHOT_FEATURES).withColumn("xG_overperformance", F.col("goals") - F.col("xG"))
+
+
 def shot_flags(shots: DataFrame) -> DataFrame:
     return shots.select(
         "*",

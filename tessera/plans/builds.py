@@ -107,11 +107,9 @@ def period_dim(events: DataFrame, id_col: str = "id", deadline_col: str = "deadl
 
 
 def second_source_matches(docs: DataFrame, seasons=None) -> DataFrame:
-    """Matches left join per-match shot aggregates."""
+    """Matches left join per-match shot aggregates (J3), from one pass over the documents."""
     from tessera.operators import flatten as fl
-    matches = fl.flatten_matches(docs, seasons=seasons)
-    shots = fl.flatten_shots(docs, seasons=seasons)
-    return fl.join_match_shots(matches, fl.shot_match_agg(shots))
+    return fl.matches_with_shots(docs, seasons=seasons)
 
 
 def enrichment_features(docs: DataFrame, periods: DataFrame, mapping: DataFrame, seasons=None,

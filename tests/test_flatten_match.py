@@ -146,3 +146,23 @@ def test_shot_season_lookup_tolerates_repeated_match_ids(spark):
     shot = {"match_id": "5", "X": "0.9", "Y": "0.5", "xG": "0.1"}
     docs = spark.createDataFrame([(1, [m_a, m_b], [shot])], DOC)
     assert fl.flatten_shots(docs).first().season == "2024"       # last entry wins
+
+
+def test_one_pass_equals_join_of_flattenings(spark):
+    rng = random.Random(6)
+    docs = []
+    for doc in range(12):
+        ids = [str(rng.randint(1, 6)) for _ in range(rng.randint(0, 6))]
+        matches = [{"id": i, "season": rng.choice(["2023", "2024", "", None]), "xG": str(n / 4), "goals": str(n)}
+                   for n, i in enumerate(ids)] + ([{"xG": "1", "goals": "2"}] if doc % 4 == 0 else [])
+        shots = [{"match_id": rng.choice([*ids, "9", None]) if ids else "9", "X": str(rng.random()), "Y": "0.5",
+                  "xG": rng.choice(["0.25", "0.5", None]), "situation": "OpenPlay", **({"season": "2024"} if rng.random() < 0.3 else {})}
+                 for _ in range(rng.randint(0, 9))]
+        docs.append((None if doc == 5 else doc % 7, matches, None if doc == 3 else shots))
+    df = spark.createDataFrame(docs, "understat_id long, matchesData array<map<string,string>>, shotsData array<map<string,string>>")
+    for seasons in (None, ["2024"]):
+        want = fl.join_match_shots(fl.flatten_matches(df, seasons=seasons), fl.shot_match_agg(fl.flatten_shots(df, seasons=seasons)))
+        got = fl.matches_with_shots(df, seasons=seasons)
+        order = sorted(want.columns)
+        rows = lambda x: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in x.select(*order).collect())
+        assert sorted(got.columns) == order and rows(got) == rows(want) and rows(got)
