@@ -61,7 +61,7 @@ def q_ewm_mean(spark, d):
 
 # ------------------------------------------------------- long keys (segmented plan)
 LONG_KEY, LONG_ORDER = ["l_returnflag"], ["batch", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-LONG_SQL = """SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+LONG_SQL = """SELECT l_returnflag, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, l_quantity,
   CASE WHEN l_partkey % 53 <> 0 THEN l_orderkey // 200 END AS batch,
   CASE WHEN (l_orderkey // 1000) % 3 <> 1 THEN CAST(l_quantity AS DOUBLE) END AS x FROM lineitem"""
 _LONG_W = "PARTITION BY l_returnflag ORDER BY batch ASC NULLS LAST, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity"
