@@ -3,6 +3,7 @@
 A rollup lives in a folder of the shared store.  ``apply`` takes one batch of
 changes (insert, revise, delete) and commits
 
+* ``changes/batch=N``: the batch as delivered,
 * ``ledger/batch=N``: what the batch made of each (doc_id, version) it touched,
 * ``deltas/batch=N``: the signed change of documents and tokens per
   (source, lang, version), which is all that totals are made of,
@@ -146,6 +147,8 @@ class Rollup:
             return False
         rows = changes.select("doc_id", "version", "source", "lang", "op",
                               F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "seq")
+        rows.write.mode("overwrite").parquet(f"{self.path}/changes/batch={batch}")  # counted once, read twice
+        rows = self.spark.read.schema(rows.schema).parquet(f"{self.path}/changes/batch={batch}")
         kept = rows.where("doc_id is not null").groupBy("doc_id", "version").agg(
             F.max(F.struct("seq", "op", "source", "lang", "n_tokens")).alias("c")).select("doc_id", "version", "c.*")
         old = self._latest().select(F.col("doc_id").alias("d"), F.col("version").alias("v"),
