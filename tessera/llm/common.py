@@ -13,9 +13,19 @@ from pyspark.sql import types as T
 
 #: Rows handled between two output batches of an Arrow map; bounds a task's memory.
 SLICE_ROWS = 256
+#: Rows of an input batch, where the session has Spark's default: whole texts make rows large.
+BATCH_ROWS = 1024
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default of 10,000 rows, unless the session chose a number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -63,6 +73,7 @@ def flat_rows(df: DataFrame, keep: Sequence[tuple[str, Column]], inputs: Sequenc
 
 
 def _mapped(df, keep, inputs, out, make, flat):
+    bounded_batches(df.sparkSession)
     src = _sources(df, keep, inputs)
     n_keep = len(keep)
     fields = [T.StructField(name, src.schema[i].dataType) for i, (name, _) in enumerate(keep)]
