@@ -3,9 +3,13 @@
 A text is cut into sentences (line ends, and ``. ! ? ; :`` before white space
 or the end), each sentence is normalised (lower case, every run of other than
 letters and digits one space) and looked up among the known licence sentences.
+A sentence that is wrapped over lines is found too: from each line that starts a
+known sentence, the lines after it are joined, up to a blank line or the end of
+the sentence, and the longest known sentence that ends with a line or at
+punctuation counts.  Comment leaders (``#``, ``*``, ``//``) are white space.
 The identifiers found, in text order, are matched against the licence rules: a
 rule is an ordered sequence of identifiers, which must follow each other with
-at most ``max_gap`` unknown sentences between two of them.  Rules are in order
+at most ``max_gap`` unknown sentences between two of them (a wrapped one is one).  Rules are in order
 of precedence: a match that overlaps a match of an earlier rule is dropped, so
 a phrase inside a full licence isn't reported again.
 
@@ -13,9 +17,12 @@ Everything happens within a row, so nothing is shuffled, whatever the sizes of
 sources or of groups of copies.  Sentences and rules are literals of the plan;
 their number is checked.
 
-Cases: null and empty texts have no sentences and no licence; a sentence that
-is wrapped over lines is not joined, as a line end is an end; repeated rows
-give repeated results; very long texts are scanned whole; other columns are
+Sentence numbers and ``n_sentences`` count the pieces between all ends, line
+ends too, as the SQL does; the SQL doesn't join lines, so it is a check for
+texts without wrapped notices only.
+
+Cases: null and empty texts have no sentences and no licence; a word hyphenated
+at a line end is not joined; repeated rows give repeated results; very long texts are scanned whole; other columns are
 ignored.
 """
 
@@ -90,23 +97,55 @@ _OTHER = r"[^\p{L}\p{N}\n]+"
 _CUT = r" *\n *"
 
 
-def sentences_of(text: Column) -> Column:
-    """Normalised sentences of a text in order; an empty array for null."""
-    lines = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _END, "\n")
-    return F.filter(F.split(F.trim(F.regexp_replace(lines, _OTHER, " ")), _CUT), lambda s: s != "")
+_STOP = r"[.!?;:]+([\x09-\x0D ]+|\z)"
+_LINE = r"\r\n?"
+
+
+def _raw(text: Column) -> Column:
+    """Normalised pieces of a text in order, with empty ones where a sentence or paragraph ends;
+    between two others is a single line end."""
+    lines = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _LINE, "\n"), _STOP, "\n\n")
+    return F.split(F.trim(F.regexp_replace(lines, _OTHER, " ")), _CUT)
+
+
+def _pieces() -> Column:
+    """at (from 1), i (place in ``raw``), s, opens (starts a sentence) of the pieces with words."""
+    before = lambda i: F.get("raw", i - 1)
+    some = F.filter(F.transform("raw", lambda s, i: F.struct(
+        i.alias("i"), s.alias("s"), ((i == 0) | (before(i) == "")).alias("opens"))), lambda x: x["s"] != "")
+    return F.transform(some, lambda x, i: F.struct((i + 1).alias("at"), x["i"], x["s"], x["opens"]))
+
+
+def _hit(x: Column, ids: Column, known: Column, longest: int) -> Column:
+    """at, end (numbers of the first and last piece), id (null if unknown) of the longest known sentence at piece x."""
+    rest = F.array_join(F.slice("raw", x["i"] + 1, longest), "\n")  # a known sentence of n words has at most n lines
+    wrapped = F.array_max(F.filter(known, lambda k: F.startswith(k["s"], F.concat(x["s"], F.lit(" ")))
+                                   & F.startswith(F.concat(F.translate(rest, "\n", " "), F.lit(" ")),
+                                                  F.concat(k["s"], F.lit(" ")))
+                                   & (F.concat(rest, F.lit("\n")).substr(k["n"] + 1, F.lit(1)) == "\n")))
+    long = F.when(F.coalesce(F.get("raw", x["i"] + 1), F.lit("")) != "", wrapped)
+    lines = F.regexp_count(rest.substr(F.lit(1), long["n"]), F.lit("\n"))
+    return F.struct(x["at"].alias("at"), F.coalesce(F.when(long.isNotNull(), x["at"] + lines), x["at"]).alias("end"),
+                    F.coalesce(long["id"], F.element_at(ids, x["s"])).alias("id"))
 
 
 def scan(docs: DataFrame, keep: list[str] = ("doc_id",), sentences: dict[str, str] = SENTENCES,
          rules=RULES, max_gap: int = MAX_GAP) -> DataFrame:
-    """The ``keep`` columns, n_sentences, hits (sentence number, identifier) and matches
-    (rule number, licence, first and last sentence number)."""
+    """The ``keep`` columns, n_sentences, hits (first and last sentence number, identifier) and
+    matches (rule number, licence, first and last sentence number)."""
     if len(sentences) + len(rules) > MAX_LITERALS:
         raise ValueError(f"more than {MAX_LITERALS} sentences and rules")
     ids = F.create_map(*[F.lit(x) for name, s in sentences.items() for x in (s, name)])
-    found = docs.select(*keep, sentences_of(F.col("text")).alias("s")).select(
-        *keep, F.size("s").alias("n_sentences"),
-        F.filter(F.transform("s", lambda s, i: F.struct(i.alias("at"), F.element_at(ids, s).alias("id"))),
-                 lambda h: h["id"].isNotNull()).alias("hits"))
+    known = F.array(*[F.struct(F.lit(len(s)).alias("n"), F.lit(s).alias("s"), F.lit(name).alias("id"))
+                      for name, s in sentences.items()])
+    longest = max((s.count(" ") + 1 for s in sentences.values()), default=1)
+    found = docs.select(*keep, _raw(F.col("text")).alias("raw")).select(*keep, "raw", _pieces().alias("pieces")).select(
+        *keep, "pieces", F.size("pieces").alias("n_sentences"),
+        F.filter(F.transform("pieces", lambda x: _hit(x, ids, known, longest)),
+                 lambda h: h["id"].isNotNull()).alias("all_hits"))
+    wide = F.filter("all_hits", lambda o: o["end"] > o["at"])
+    found = found.withColumn("wide", wide).withColumn("hits", F.filter("all_hits", lambda h: ~F.exists(
+        "wide", lambda o: (o["at"] <= h["at"]) & (h["end"] <= o["end"]) & (h["end"] - h["at"] < o["end"] - o["at"]))))
     table = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(name).alias("license"),
                                F.array(*map(F.lit, seq)).alias("ids")) for k, (name, seq) in enumerate(rules)])
 
@@ -115,12 +154,17 @@ def scan(docs: DataFrame, keep: list[str] = ("doc_id",), sentences: dict[str, st
         starts = F.when(F.size("hits") >= n, F.sequence(F.lit(1), F.size("hits") - n + 1)).otherwise(
             F.array().cast("array<int>"))
         at = lambda j: F.element_at("hits", j)["at"]
+        end = lambda j: F.element_at("hits", j)["end"]
+
+        def near(a, b):
+            between = F.slice("pieces", end(a) + 1, F.greatest(at(b) - end(a) - 1, F.lit(0)))
+            return (at(b) - end(a) - 1 <= max_gap) | (F.size(F.filter(between, lambda x: x["opens"])) <= max_gap)
+
         fits = F.filter(starts, lambda j: (F.slice(F.col("hits.id"), j, n) == r["ids"])
                         & F.forall(F.sequence(F.lit(1), n),
-                                   lambda o: (o == 1) | (at(j + o - 1) - at(F.greatest(j + o - 2, F.lit(1)))
-                                                         <= max_gap + 1)))
+                                   lambda o: (o == 1) | near(F.greatest(j + o - 2, F.lit(1)), j + o - 1)))
         return F.transform(fits, lambda j: F.struct(r["rule"].alias("rule"), r["license"].alias("license"),
-                                                    at(j).alias("first"), at(j + n - 1).alias("last")))
+                                                    at(j).alias("first"), end(j + n - 1).alias("last")))
 
     every = F.when(F.size("hits") > 0, F.flatten(F.transform(table, of_rule)))
     kept = F.filter("every", lambda m: ~F.exists(

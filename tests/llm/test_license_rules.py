@@ -50,3 +50,25 @@ def test_gap_and_precedence(spark, make_docs):
 def test_plan_is_native(spark):
     plan = lr.report(table(spark, SF, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+def test_wrapped_notices(spark, make_docs):
+    commented = lambda lead, text: "\n".join((lead + x).rstrip() for x in text.split("\n"))
+    apache = 'Licensed under the Apache License,\nVersion 2.0 (the "License");\nyou may not use this file except in\n' \
+             "compliance with the License.\n"
+    rows = [(1, MIT), (2, commented("# ", MIT)), (3, commented(" * ", MIT.replace("\n", "\r\n"))), (4, commented("// ", GPL)),
+            (5, "Copyright 2001 A\n" + apache + "x"), (6, "Released under\n\nthe MIT License."), (7, MIT.replace("free", "f")),
+            (8, "Released\nunder\nthe\nMIT\nLicense\nand more"), (9, "Released under\nthe MIT License and more."),
+            (10, "All rights reserved\nReleased under the MIT License"), (11, "released under the\n" * 500)]
+    got = {r.doc_id: (r.license_sequence, r.sentence_ids) for r in lr.report(make_docs(rows)).collect()}
+    mit = ("MIT", "mit-title,mit-grant,mit-notice")
+    assert got == {1: mit, 2: mit, 3: mit, 4: ("GPL-3.0-or-later", "gpl-free,gpl3-terms"),
+                   5: ("Apache-2.0", "apache-header,apache-comply"), 6: ("", ""), 7: ("", "mit-title,mit-notice"),
+                   8: ("MIT", "mit-ref"), 9: ("", ""),
+                   10: ("LicenseRef-All-Rights-Reserved,MIT", "all-rights,mit-ref"), 11: ("", "")}
