@@ -9,7 +9,8 @@ the sentence, and the longest known sentence that ends with a line or at
 punctuation counts.  Comment leaders (``#``, ``*``, ``//``) are white space.
 The identifiers found, in text order, are matched against the licence rules: a
 rule is an ordered sequence of identifiers, which must follow each other with
-at most ``max_gap`` unknown sentences between two of them (a wrapped one is one).  Rules are in order
+at most ``max_gap`` unknown sentences between two of them (a wrapped one is
+one, a bare list number such as ``1.`` none).  Rules are in order
 of precedence: a match that overlaps a match of an earlier rule is dropped, so
 a phrase inside a full licence isn't reported again.
 
@@ -97,6 +98,7 @@ _OTHER = r"[^\p{L}\p{N}\n]+"
 _CUT = r" *\n *"
 
 
+_NUMBER = r"^[0-9]{1,3}$"  # a list number that stands alone
 _STOP = r"[.!?;:]+([\x09-\x0D ]+|\z)"
 _LINE = r"\r\n?"
 
@@ -109,10 +111,11 @@ def _raw(text: Column) -> Column:
 
 
 def _pieces() -> Column:
-    """at (from 1), i (place in ``raw``), s, opens (starts a sentence) of the pieces with words."""
+    """at (from 1), i (place in ``raw``), s, opens (starts a sentence, not a list number) of the pieces with words."""
     before = lambda i: F.get("raw", i - 1)
     some = F.filter(F.transform("raw", lambda s, i: F.struct(
-        i.alias("i"), s.alias("s"), ((i == 0) | (before(i) == "")).alias("opens"))), lambda x: x["s"] != "")
+        i.alias("i"), s.alias("s"),
+        (((i == 0) | (before(i) == "")) & ~F.rlike(s, F.lit(_NUMBER))).alias("opens"))), lambda x: x["s"] != "")
     return F.transform(some, lambda x, i: F.struct((i + 1).alias("at"), x["i"], x["s"], x["opens"]))
 
 

@@ -72,3 +72,34 @@ def test_wrapped_notices(spark, make_docs):
                    5: ("Apache-2.0", "apache-header,apache-comply"), 6: ("", ""), 7: ("", "mit-title,mit-notice"),
                    8: ("MIT", "mit-ref"), 9: ("", ""),
                    10: ("LicenseRef-All-Rights-Reserved,MIT", "all-rights,mit-ref"), 11: ("", "")}
+
+
+BSD = """Copyright (c) 2001, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+
+
+def test_numbered_clauses(spark, make_docs):
+    unwrapped = "\n".join(" ".join(x.split()) for x in BSD.split("\n\n"))
+    two = BSD[:BSD.index("3. Neither")] + BSD[BSD.index("THIS"):]
+    rows = [(1, BSD), (2, unwrapped), (4, two),
+            (5, BSD.replace("1. ", "1. " + "Other. " * 3))]
+    got = {r.doc_id: r.license_sequence.removeprefix("LicenseRef-All-Rights-Reserved,")
+           for r in lr.report(make_docs(rows)).collect()}
+    assert got == {1: "BSD-3-Clause", 2: "BSD-3-Clause", 4: "BSD-2-Clause", 5: "BSD-2-Clause"}
