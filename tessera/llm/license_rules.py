@@ -14,13 +14,18 @@ one, a bare list number such as ``1.`` none).  Rules are in order
 of precedence: a match that overlaps a match of an earlier rule is dropped, so
 a phrase inside a full licence isn't reported again.
 
+Notices ("This work is licensed under the ...") are cut after their lead and the
+licence name is looked up; an ``SPDX-License-Identifier`` is one sentence with
+its value.
+
 Everything happens within a row, so nothing is shuffled, whatever the sizes of
 sources or of groups of copies.  Sentences and rules are literals of the plan;
 their number is checked.
 
 Sentence numbers and ``n_sentences`` count the pieces between all ends, line
 ends too, as the SQL does; the SQL doesn't join lines, so it is a check for
-texts without wrapped notices only.
+texts without wrapped notices only; nor does it know the wordings of
+``license_table``.
 
 Cases: null and empty texts have no sentences and no licence; a word hyphenated
 at a line end is not joined; repeated rows give repeated results; very long texts are scanned whole; other columns are
@@ -32,6 +37,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import license_table
+
 # Sentences of public licences, normalised, by identifier.
 SENTENCES = {
     "apache-ref": "licensed under the apache license version 2 0",
@@ -88,6 +95,10 @@ RULES = (
     ("LicenseRef-All-Rights-Reserved", ("all-rights",)),
 )
 
+#: What ``scan`` looks for: the above, which the SQL holds, and the wordings of ``license_table``.
+ALL_SENTENCES = SENTENCES | license_table.SENTENCES
+ALL_RULES = RULES + license_table.RULES + license_table.NAMED
+
 #: Unknown sentences allowed between two sentences of a rule (numbered clauses, copyright lines).
 MAX_GAP = 4
 #: Sentences and rules are plan literals; larger sets are refused.
@@ -101,12 +112,15 @@ _CUT = r" *\n *"
 _NUMBER = r"^[0-9]{1,3}$"  # a list number that stands alone
 _STOP = r"[.!?;:]+([\x09-\x0D ]+|\z)"
 _LINE = r"\r\n?"
+_PLUS = r"(spdx-license-identifier:[ \t]*[al]?gpl-[0-9.]+[0-9])\+"
+_OPENS = r"^(this|the|it|dual|licensed|released|distributed|published|provided|available|made|covered)( |$)"
 
 
 def _raw(text: Column) -> Column:
     """Normalised pieces of a text in order, with empty ones where a sentence or paragraph ends;
     between two others is a single line end."""
-    lines = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _LINE, "\n"), _STOP, "\n\n")
+    later = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _PLUS, "$1-or-later")
+    lines = F.regexp_replace(F.regexp_replace(later, _LINE, "\n"), _STOP, "\n\n")
     return F.split(F.trim(F.regexp_replace(lines, _OTHER, " ")), _CUT)
 
 
@@ -119,33 +133,78 @@ def _pieces() -> Column:
     return F.transform(some, lambda x, i: F.struct((i + 1).alias("at"), x["i"], x["s"], x["opens"]))
 
 
-def _hit(x: Column, ids: Column, known: Column, longest: int) -> Column:
-    """at, end (numbers of the first and last piece), id (null if unknown) of the longest known sentence at piece x."""
-    rest = F.array_join(F.slice("raw", x["i"] + 1, longest), "\n")  # a known sentence of n words has at most n lines
-    wrapped = F.array_max(F.filter(known, lambda k: F.startswith(k["s"], F.concat(x["s"], F.lit(" ")))
-                                   & F.startswith(F.concat(F.translate(rest, "\n", " "), F.lit(" ")),
-                                                  F.concat(k["s"], F.lit(" ")))
-                                   & (F.concat(rest, F.lit("\n")).substr(k["n"] + 1, F.lit(1)) == "\n")))
-    long = F.when(F.coalesce(F.get("raw", x["i"] + 1), F.lit("")) != "", wrapped)
-    lines = F.regexp_count(rest.substr(F.lit(1), long["n"]), F.lit("\n"))
-    return F.struct(x["at"].alias("at"), F.coalesce(F.when(long.isNotNull(), x["at"] + lines), x["at"]).alias("end"),
-                    F.coalesce(long["id"], F.element_at(ids, x["s"])).alias("id"))
+def _literals(table: dict) -> list[tuple[str, str]]:
+    return [(s, name) for name, some in table.items() for s in ((some,) if isinstance(some, str) else some)]
+
+
+def _words(pairs: list[tuple[str, str]], more: int = 0) -> int:
+    return max((s.count(" ") + 1 for s, _ in pairs), default=0) + more
+
+
+def _map(pairs: list[tuple[str, str]]) -> Column:
+    """Sentence to identifier, from one literal, so the plan stays small."""
+    return F.str_to_map(F.lit("\n".join("\t".join(p) for p in pairs)), F.lit("\n"), F.lit("\t"))
+
+
+def _list(pairs: list[tuple[str, str]]) -> Column:
+    return F.split(F.lit("\n".join(s for s, _ in pairs)), "\n")
+
+
+def _longest(pairs: list[tuple[str, str]], rest: Column, lead: Column) -> Column:
+    """n (characters), s of the longest of ``pairs`` that follows ``lead`` in ``rest`` and ends with a line."""
+    line = F.concat(F.translate(rest, "\n", " "), F.lit(" ")).substr(F.length(lead) + 1, F.length(rest) + 1)
+    ends = F.concat(rest, F.lit("\n")).substr(F.length(lead) + 1, F.length(rest) + 1)
+    once = F.array(F.struct(line.alias("line"), ends.alias("ends"), F.length(lead).alias("m")))  # not once a sentence
+
+    def of(b):
+        fits = F.filter(_list(pairs), lambda s: F.startswith(b["line"], F.concat(s, F.lit(" ")))
+                        & (b["ends"].substr(F.length(s) + 1, F.lit(1)) == "\n"))
+        return F.array_max(F.transform(fits, lambda s: F.struct((F.length(s) + b["m"]).alias("n"), s.alias("s"))))
+
+    return F.get(F.transform(once, of), F.lit(0))
+
+
+def _hits(pairs: list, names: list, tags: list) -> Column:
+    """at, end (numbers of the first and last piece), id of the longest known sentence at each piece that has one."""
+    text = lambda x, n: F.array_join(F.slice("raw", x["i"] + 1, n), "\n")
+    tag = license_table.TAG
+
+    def look(x):
+        rest, short = text(x, _words(pairs)), text(x, _words(names, 20))  # a sentence of n words has at most n lines
+        soft = F.coalesce(F.get("raw", x["i"] + 1), F.lit("")) != ""
+        starts = F.exists(_list(pairs), lambda s: F.startswith(s, F.concat(x["s"], F.lit(" "))))
+        lead = F.regexp_extract(F.translate(short, "\n", " "), license_table.LEAD, 0)
+        name = F.when(F.contains(x["s"], F.lit(" under ")), F.regexp_extract(x["s"], license_table.LEAD + "(.+)$", 1))
+        return F.struct(
+            x["at"], F.element_at(_map(pairs), x["s"]).alias("id"), F.element_at(_map(names), name).alias("name"),
+            F.when(x["s"] == tag, F.element_at(_map(tags), F.get("raw", x["i"] + 2))).alias("tag"),
+            F.when(soft & starts, _longest(pairs, rest, F.lit(""))).alias("long"), x["i"],
+            F.when(soft & F.rlike(x["s"], F.lit(_OPENS)), F.when(lead != "", _longest(names, short, lead))).alias("notice"))
+
+    def hit(y):
+        n = F.coalesce(y["long"]["n"], y["notice"]["n"])
+        lines = F.regexp_count(text(y, _words(pairs)).substr(F.lit(1), n), F.lit("\n"))
+        known = F.coalesce(F.element_at(_map(pairs), y["long"]["s"]), F.element_at(_map(names), y["notice"]["s"]))
+        return F.struct(y["at"], (y["at"] + F.when(y["tag"].isNotNull(), 1).otherwise(F.coalesce(lines, F.lit(0)))).alias("end"),
+                        F.coalesce(y["tag"], known, y["id"], y["name"]).alias("id"))
+
+    some = F.filter(F.transform("pieces", look), lambda y: F.coalesce(
+        y["id"], y["name"], y["tag"], y["long"]["s"], y["notice"]["s"]).isNotNull())
+    return F.transform(some, hit)
 
 
-def scan(docs: DataFrame, keep: list[str] = ("doc_id",), sentences: dict[str, str] = SENTENCES,
-         rules=RULES, max_gap: int = MAX_GAP) -> DataFrame:
+def scan(docs: DataFrame, keep: list[str] = ("doc_id",), sentences: dict = ALL_SENTENCES, rules=ALL_RULES,
+         max_gap: int = MAX_GAP, names: dict = license_table.NAMES, tags: dict = license_table.TAGS) -> DataFrame:
     """The ``keep`` columns, n_sentences, hits (first and last sentence number, identifier) and
     matches (rule number, licence, first and last sentence number)."""
-    if len(sentences) + len(rules) > MAX_LITERALS:
+    pairs = _literals(sentences)
+    named = [(s, f"{name}-ref") for s, name in _literals(names)]
+    tagged = [(s, f"{name}-tag") for s, name in tags.items()]
+    if len(pairs) + len(named) + len(tagged) + len(rules) > MAX_LITERALS:
         raise ValueError(f"more than {MAX_LITERALS} sentences and rules")
-    ids = F.create_map(*[F.lit(x) for name, s in sentences.items() for x in (s, name)])
-    known = F.array(*[F.struct(F.lit(len(s)).alias("n"), F.lit(s).alias("s"), F.lit(name).alias("id"))
-                      for name, s in sentences.items()])
-    longest = max((s.count(" ") + 1 for s in sentences.values()), default=1)
     found = docs.select(*keep, _raw(F.col("text")).alias("raw")).select(*keep, "raw", _pieces().alias("pieces")).select(
         *keep, "pieces", F.size("pieces").alias("n_sentences"),
-        F.filter(F.transform("pieces", lambda x: _hit(x, ids, known, longest)),
-                 lambda h: h["id"].isNotNull()).alias("all_hits"))
+        _hits(pairs, named, tagged).alias("all_hits"))
     wide = F.filter("all_hits", lambda o: o["end"] > o["at"])
     found = found.withColumn("wide", wide).withColumn("hits", F.filter("all_hits", lambda h: ~F.exists(
         "wide", lambda o: (o["at"] <= h["at"]) & (h["end"] <= o["end"]) & (h["end"] - h["at"] < o["end"] - o["at"]))))

@@ -69,7 +69,7 @@ def test_wrapped_notices(spark, make_docs):
     got = {r.doc_id: (r.license_sequence, r.sentence_ids) for r in lr.report(make_docs(rows)).collect()}
     mit = ("MIT", "mit-title,mit-grant,mit-notice")
     assert got == {1: mit, 2: mit, 3: mit, 4: ("GPL-3.0-or-later", "gpl-free,gpl3-terms"),
-                   5: ("Apache-2.0", "apache-header,apache-comply"), 6: ("", ""), 7: ("", "mit-title,mit-notice"),
+                   5: ("Apache-2.0", "apache-header,apache-comply"), 6: ("", "mit-title-long"), 7: ("", "mit-title,mit-notice"),
                    8: ("MIT", "mit-ref"), 9: ("", ""),
                    10: ("LicenseRef-All-Rights-Reserved,MIT", "all-rights,mit-ref"), 11: ("", "")}
 
@@ -103,3 +103,29 @@ def test_numbered_clauses(spark, make_docs):
     got = {r.doc_id: r.license_sequence.removeprefix("LicenseRef-All-Rights-Reserved,")
            for r in lr.report(make_docs(rows)).collect()}
     assert got == {1: "BSD-3-Clause", 2: "BSD-3-Clause", 4: "BSD-2-Clause", 5: "BSD-2-Clause"}
+
+
+def test_wordings(spark, make_docs):
+    lgpl = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+    mpl = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+    want = {"This work is licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under the MIT License.": "MIT",
+            "Licensed under the GNU General Public License, version 3.": "GPL-3.0-only",
+            "This file is\n# distributed under the terms of the\n# GNU GPL v2 or later.": "GPL-2.0-or-later",
+            "Released under CC0 1.0 Universal": "CC0-1.0", lgpl: "LGPL-2.1-or-later", mpl: "MPL-2.0",
+            GPL.replace("General", "Affero General"): "AGPL-3.0-or-later",
+            GPL.replace("This program is free software: you", "You").replace("version 3", "version 2"): "GPL-2.0-or-later",
+            "GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991": "GPL-2.0-only",
+            "// SPDX-License-Identifier: Apache-2.0\nx": "Apache-2.0", "/* SPDX-License-Identifier: GPL-2.0+ */": "GPL-2.0-or-later",
+            "# SPDX-License-Identifier: (MIT OR Apache-2.0)": "MIT OR Apache-2.0", "MIT": "", "SPDX-License-Identifier: Foo": "",
+            "Licensed under protest.": "", "Work done under the MIT License": "", "under the mit license": "",
+            "This work is licensed under the Eclipse Public License 2.0.": "EPL-2.0"}
+    rows = list(enumerate(want))
+    got = {rows[r.doc_id][1]: r.license_sequence for r in lr.report(make_docs(rows)).collect()}
+    assert got == want
+    every = lr._literals(lr.ALL_SENTENCES)
+    assert len({s for s, _ in every}) == len(every) and all(" ".join(s.split()) == s == s.lower() for s, _ in every)
