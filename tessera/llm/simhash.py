@@ -170,14 +170,30 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, **options) -> DataFrame:
-    """One row of each class: that of the smallest doc_id, or any one if all its ids are null."""
+    """One row of each class: that of the smallest doc_id (the smallest fingerprint in the class, if it
+    has several), or any one if all its ids are null."""
     found = cut(classes(docs.select("doc_id", "text"), shingle, **options), "simhash-classes")
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
     kept = docs.join(first, docs.doc_id == F.col("__first"), "left_semi").dropDuplicates(["doc_id"])
+    keep = [(c, F.col(f"`{c}`")) for c in docs.columns]
+
+    def rows_of(some):  # with fp; columns c0, c1, ...
+        return with_fingerprint(some, [(f"c{i}", c) for i, (_, c) in enumerate(keep)], shingle)
+
+    def named(rows):
+        return rows.select(*[F.col(f"c{i}").alias(n) for i, (n, _) in enumerate(keep)])
+
+    several = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(
+        F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("__id")
+    if several.limit(1).count():  # an id with texts of its own in two classes
+        chosen = found.where("doc_id = component_id").groupBy("component", F.col("doc_id").alias("__c")).agg(
+            F.min("fp").alias("fp")).join(several, F.col("__c") == F.col("__id"), "left_semi")
+        same = rows_of(docs.join(several, docs.doc_id == F.col("__id"), "left_semi")).withColumnRenamed("fp", "__fp")
+        same = same.join(chosen, (F.col(f"c{docs.columns.index('doc_id')}") == F.col("__c")) & (F.col("__fp") == F.col("fp")))
+        kept = kept.join(several, kept.doc_id == F.col("__id"), "left_anti").unionByName(
+            named(same.dropDuplicates(["component"])))
     nameless = found.where("component_id is null").select("fp", "component").distinct()
     if nameless.limit(1).count() == 0:
         return kept
-    keep = [(c, F.col(f"`{c}`")) for c in docs.columns]
-    others = with_fingerprint(docs.where("doc_id is null"), [(f"c{i}", c) for i, (_, c) in enumerate(keep)], shingle)
-    others = others.join(nameless, "fp").dropDuplicates(["component"])
-    return kept.unionByName(others.select(*[F.col(f"c{i}").alias(n) for i, (n, _) in enumerate(keep)]))
+    others = rows_of(docs.where("doc_id is null")).join(nameless, "fp").dropDuplicates(["component"])
+    return kept.unionByName(named(others))

@@ -69,3 +69,10 @@ def test_small_cases(spark, make_docs):
     assert sorted((r.doc_id or 0, r.text[:5]) for r in kept.collect()) == [
         (0, "lonel"), (1, "one T"), (2, "word "), (4, ""), (5, "a")]
     assert sh.report(make_docs([])).count() == 0
+
+
+def test_repeated_id_in_two_classes(spark, make_docs):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (3, b), (0, c), (1, c), (4, a)]
+    kept = sh.keep_one(make_docs(rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(0, c), (1, a), (1, b)]
