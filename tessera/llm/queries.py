@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tessera.llm import (
-    decontaminate, langid, license_rules, line_dedup, mixing, quality_rules, simhash, token_rollup, toxicity, warc_zstd,
+    decontaminate, langid, license_rules, line_dedup, merkle, mixing, quality_rules, simhash, token_rollup, toxicity,
+    warc_zstd,
 )
 from tessera.llm.common import shared_path, table
 
@@ -53,12 +54,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 _QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_toxicity, op3_warc, op4_decontaminate, op5_simhash, op6_token_rollup, op7_mixing, op8_langid,
-    op9_licenses, op10_line_dedup)} | {"pipeline": corpus_pipeline.run}
+    op9_licenses, op10_line_dedup, op13_merkle)} | {"pipeline": corpus_pipeline.run}
 
 _ORACLES = {"op1_quality_rules": quality_rules.oracle(), "op4_decontaminate": decontaminate.oracle(),
-            "op9_licenses": license_rules.oracle()}
+            "op9_licenses": license_rules.oracle(), "op13_merkle": merkle.oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
