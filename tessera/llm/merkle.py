@@ -181,31 +181,31 @@ def oracle(levels: int = 8) -> str:
     lower = f"translate(text, '{_UPPER}', '{_LOWER}')"
     enc_low = enc | {"text": f"coalesce(strlen({lower})::varchar || ':' || {lower}, '-')"}
     crc = ("xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), "
-           "ch -> ascii(ch)::bigint)), (crc, byte) -> list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], "
-           "(r, z) -> xor(r >> 1, 3988292384 * (r & 1)))))")
+           "lambda ch: ascii(ch)::bigint)), lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], "
+           "lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))))")
     ctes = [f"""d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, sha256({' || '.join(enc[f] for f in FIELDS)}) AS leaf,
         CASE WHEN {crc} % 3 = 0 THEN sha256({' || '.join(enc_low[f] for f in FIELDS)}) END AS found FROM documents)""",
-            """a0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at,
+            """a0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
         '' AS proof, coalesce(found, leaf) AS fold FROM d)""",
-            "t0 AS (SELECT g, at, leaf AS digest, count(*) OVER (PARTITION BY g) AS n FROM a0)"]
+            "t0 AS (SELECT g, pos, leaf AS digest, count(*) OVER (PARTITION BY g) AS n FROM a0)"]
 
     def climb(k: int, a: str, t: str) -> None:
-        ctes.append(f"""r{t}{k} AS (SELECT g, at // {WIDTH} AS at, any_value(n) AS n, list(digest ORDER BY at) AS run
-            FROM {t}{k} GROUP BY g, at // {WIDTH})""")
-        ctes.append(f"""{t}{k + 1} AS (SELECT g, at, CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS digest,
+        ctes.append(f"""r{t}{k} AS (SELECT g, pos // {WIDTH} AS pos, any_value(n) AS n, list(digest ORDER BY pos) AS run
+            FROM {t}{k} GROUP BY g, pos // {WIDTH})""")
+        ctes.append(f"""{t}{k + 1} AS (SELECT g, pos, CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS digest,
             (n + {WIDTH - 1}) // {WIDTH} AS n FROM r{t}{k})""")
-        ctes.append(f"""{a}{k + 1} AS (SELECT {a}{k}.* REPLACE ({a}{k}.at // {WIDTH} AS at,
-            CASE WHEN n > 1 THEN proof || array_to_string(run[:{a}{k}.at % {WIDTH}], '') || array_to_string(run[{a}{k}.at % {WIDTH} + 2:], '')
+        ctes.append(f"""{a}{k + 1} AS (SELECT {a}{k}.* REPLACE ({a}{k}.pos // {WIDTH} AS pos,
+            CASE WHEN n > 1 THEN proof || array_to_string(run[:{a}{k}.pos % {WIDTH}], '') || array_to_string(run[{a}{k}.pos % {WIDTH} + 2:], '')
                 ELSE proof END AS proof,
-            CASE WHEN n > 1 THEN sha256(array_to_string(run[:{a}{k}.at % {WIDTH}], '') || fold
-                || array_to_string(run[{a}{k}.at % {WIDTH} + 2:], '')) ELSE fold END AS fold)
-            FROM {a}{k} JOIN r{t}{k} ON {a}{k}.g = r{t}{k}.g AND {a}{k}.at // {WIDTH} = r{t}{k}.at)""")
+            CASE WHEN n > 1 THEN sha256(array_to_string(run[:{a}{k}.pos % {WIDTH}], '') || fold
+                || array_to_string(run[{a}{k}.pos % {WIDTH} + 2:], '')) ELSE fold END AS fold)
+            FROM {a}{k} JOIN r{t}{k} ON {a}{k}.g = r{t}{k}.g AND {a}{k}.pos // {WIDTH} = r{t}{k}.pos)""")
 
     for k in range(levels):
         climb(k, "a", "t")
-    ctes.append(f"""s AS (SELECT g AS of, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS at FROM t{levels})""")
-    ctes.append("u0 AS (SELECT '' AS g, at, subroot AS digest, count(*) OVER () AS n FROM s)")
-    ctes.append(f"b0 AS (SELECT '' AS g, s.at, doc_id, leaf, subroot, proof, fold FROM a{levels} JOIN s ON s.of = a{levels}.g)")
+    ctes.append(f"""s AS (SELECT g AS of, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos FROM t{levels})""")
+    ctes.append("u0 AS (SELECT '' AS g, pos, subroot AS digest, count(*) OVER () AS n FROM s)")
+    ctes.append(f"b0 AS (SELECT '' AS g, s.pos, doc_id, leaf, subroot, proof, fold FROM a{levels} JOIN s ON s.of = a{levels}.g)")
     for k in range(levels):
         climb(k, "b", "u")
     return f"""WITH {', '.join(ctes)}
