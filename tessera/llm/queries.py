@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tessera.llm import (
-    decontaminate, langid, license_rules, line_dedup, merkle, mixing, quality_rules, simhash, token_rollup, toxicity,
+    context_mixing, decontaminate, langid, license_rules, line_dedup, merkle, mixing, quality_rules, simhash, token_rollup, toxicity,
     warc_zstd, whitening,
 )
 from tessera.llm.common import shared_path, table
@@ -54,6 +54,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(table(spark, sf_dir, "embeddings"))
 
@@ -64,7 +68,8 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_toxicity, op3_warc, op4_decontaminate, op5_simhash, op6_token_rollup, op7_mixing, op8_langid,
-    op9_licenses, op10_line_dedup, op12_whitening, op13_merkle)} | {"pipeline": corpus_pipeline.run}
+    op9_licenses, op10_line_dedup, op11_context_mixing,
+    op12_whitening, op13_merkle)} | {"pipeline": corpus_pipeline.run}
 
 _ORACLES = {"op1_quality_rules": quality_rules.oracle(), "op4_decontaminate": decontaminate.oracle(),
             "op9_licenses": license_rules.oracle(), "op13_merkle": merkle.oracle()}
