@@ -25,18 +25,35 @@ def key_or(m: Column, key: str, fallback: str) -> Column:
     return F.when(F.map_contains_key(m, F.lit(key)), m[key]).otherwise(m[fallback])
 
 
+def key_or_default(m: Column, key: str, default: str = "") -> Column:
+    """m[key] when the key exists (a present null stays null), else the default."""
+    return F.when(F.map_contains_key(m, F.lit(key)), m[key]).otherwise(F.lit(default))
+
+
 def _season(c: Column) -> Column:
     """Season label; a missing/None/empty label is NULL (never the string 'None')."""
     return F.when((c.isNotNull()) & (c != "") & (c != "None"), c)
 
 
+# The fields of a match record that are kept, with their types.
+HISTORY_COLUMNS = {
+    "round": "bigint", "kickoff_time": "timestamp", "was_home": "boolean", "opponent_team": "bigint", "total_points": "double",
+    "minutes": "double", "goals_scored": "double", "assists": "double", "clean_sheets": "double", "goals_conceded": "double",
+    "bonus": "double", "bps": "double", "influence": "double", "creativity": "double", "threat": "double", "ict_index": "double",
+    "value": "double", "selected": "double", "transfers_in": "double", "transfers_out": "double", "yellow_cards": "double",
+    "red_cards": "double", "saves": "double", "expected_goals": "double", "expected_assists": "double",
+    "expected_goal_involvements": "double", "expected_goals_conceded": "double",
+}
+
+
 def flatten_history(docs: DataFrame, doc_key: str, array_col: str, columns: dict[str, str],
-                    key_field: str | None = None, rename: dict[str, str] | None = None) -> DataFrame:
+                    key_field: str | None = None, rename: dict[str, str] | None = None, doc_col: str | None = None) -> DataFrame:
     """posexplode a history array into one typed row per element.
 
     ``columns`` maps allow-listed field -> Spark type; fields missing in an
     element become NULL of that type.  Empty arrays produce no rows.  The
-    element's ``key_field`` wins over the document key when present.
+    element's ``key_field`` wins over the document key when present; ``doc_col``
+    names a column for the document key itself.
     """
     rename = rename or {}
     exploded = docs.select(F.col(doc_key).alias("__doc"), F.posexplode(array_col).alias("pos", "h"))
@@ -57,7 +74,8 @@ def flatten_history(docs: DataFrame, doc_key: str, array_col: str, columns: dict
     key_col = F.col("__doc")
     if key_field:
         key_col = F.coalesce(to_double(F.col("h")[key_field]).try_cast("bigint"), F.col("__doc"))
-    return exploded.select(key_col.alias("doc_key"), "pos", *cols)
+    doc = [F.col("__doc").alias(doc_col)] if doc_col else []
+    return exploded.select(key_col.alias("doc_key"), *doc, "pos", *cols)
 
 
 def keys_without_rows(docs: DataFrame, doc_key: str, array_col: str) -> DataFrame:
@@ -81,14 +99,18 @@ def _match_columns(m: Column) -> list[Column]:
         to_int_or_zero(m["yellow"]).alias("yellow_cards"),
         to_int_or_zero(m["red"]).alias("red_cards"),
         to_int_or_zero(m["time"]).alias("minutes"),
-        F.coalesce(m["h_team"], F.lit("")).alias("h_team"),
-        F.coalesce(m["a_team"], F.lit("")).alias("a_team"),
+        key_or_default(m, "h_team").alias("h_team"),
+        key_or_default(m, "a_team").alias("a_team"),
         to_int_or_zero(m["h_goals"]).alias("h_goals"),
         to_int_or_zero(m["a_goals"]).alias("a_goals"),
-        F.coalesce(m["position"], F.lit("")).alias("position"),
+        key_or_default(m, "position").alias("position"),
     ]
 
 
+def _shot_type(s: Column) -> Column:
+    return F.when(F.map_contains_key(s, F.lit("shotType")), s["shotType"]).otherwise(key_or_default(s, "type"))
+
+
 def _shot_columns(s: Column, season: Column) -> list[Column]:
     return [
         to_double(s["match_id"]).try_cast("bigint").alias("match_id"),
@@ -98,28 +120,34 @@ def _shot_columns(s: Column, season: Column) -> list[Column]:
         to_double(s["X"]).alias("X"),
         to_double(s["Y"]).alias("Y"),
         to_double(s["xG"]).alias("xG"),
-        F.coalesce(s["result"], F.lit("")).alias("result"),
-        F.coalesce(key_or(s, "shotType", "type"), F.lit("")).alias("shot_type"),
-        F.coalesce(s["situation"], F.lit("")).alias("situation"),
+        key_or_default(s, "result").alias("result"),
+        _shot_type(s).alias("shot_type"),
+        key_or_default(s, "situation").alias("situation"),
         s["player_assisted"].alias("player_assisted"),
-        F.coalesce(s["lastAction"], F.lit("")).alias("last_action"),
+        key_or_default(s, "lastAction").alias("last_action"),
     ]
 
 
-def _shots_with_season(shots_col: str, matches_col: str) -> Column:
-    """Array of (s, season): the season is the shot's own, or else that of the match with its
-    id in the same document (the last one if an id repeats).
+def _season_of_match(matches_col: str) -> Column:
+    """Match id -> season of a document's matches; the last one where an id repeats, '' for a missing id.
 
-    The lookup is inside the array, before anything is exploded, so no exploded row carries
-    the document's matches.
+    Built once per document: its entries are sorted by (id, position) and the last of each id is kept.
     """
-    matches = F.coalesce(F.col(matches_col), F.array())
+    entries = F.array_sort(F.transform(F.coalesce(F.col(matches_col), F.array()), lambda m, i: F.struct(
+        F.coalesce(m["id"], F.lit("")).alias("id"), i.alias("pos"), _season(m["season"]).alias("season"))))
+    last = F.filter(entries, lambda e, i: ~e["id"].eqNullSafe(F.try_element_at(entries, i + 2)["id"]))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["id"], e["season"])))
+
+
+def _with_seasons(docs: DataFrame, matches_col: str) -> DataFrame:
+    """``docs`` with the map of ``_season_of_match`` as ``__seasons``: a generator in between keeps the optimizer
+    from copying the map's expression into every lookup."""
+    return docs.select("*", F.explode(F.array(_season_of_match(matches_col))).alias("__seasons"))
 
-    def season(s):
-        same = F.filter(matches, lambda m: F.coalesce(m["id"], F.lit("")) == F.coalesce(s["match_id"], F.lit("")))
-        return F.coalesce(_season(s["season"]), _season(F.try_element_at(same, F.lit(-1))["season"]))
 
-    return F.transform(F.col(shots_col), lambda s: F.struct(s.alias("s"), season(s).alias("season")))
+def _shot_season(s: Column, seasons: Column) -> Column:
+    """The shot's own season, or else that of the match with its id in the same document."""
+    return F.coalesce(_season(s["season"]), seasons[F.coalesce(s["match_id"], F.lit(""))])
 
 
 def flatten_matches(docs: DataFrame, id_col: str = "understat_id", array_col: str = "matchesData",
@@ -134,7 +162,8 @@ def flatten_matches(docs: DataFrame, id_col: str = "understat_id", array_col: st
 def flatten_shots(docs: DataFrame, id_col: str = "understat_id", shots_col: str = "shotsData",
                   matches_col: str = "matchesData", seasons: Sequence[str] | None = None) -> DataFrame:
     """Shots with season fallback to their match's season inside the same document (no join, no shuffle)."""
-    out = docs.select(F.col(id_col).alias("understat_id"), F.explode(_shots_with_season(shots_col, matches_col)).alias("x"))
+    out = _with_seasons(docs, matches_col).select(F.col(id_col).alias("understat_id"), F.explode(F.transform(
+        F.col(shots_col), lambda s: F.struct(s.alias("s"), _shot_season(s, F.col("__seasons")).alias("season")))).alias("x"))
     out = out.select("understat_id", *_shot_columns(F.col("x.s"), F.col("x.season")))
     if seasons:
         out = out.filter(F.col("season").isin(list(seasons)))
@@ -149,42 +178,43 @@ def matches_with_shots(docs: DataFrame, id_col: str = "understat_id", matches_co
     brings them together; a group holds the shots' partial sums and the match's row (rows of a
     repeated match stay apart, matches without an id are groups of their own).
     """
-    kind = docs.schema[matches_col].dataType.elementType
-    none = F.lit(None)
-    matches = F.transform(F.coalesce(F.col(matches_col), F.array().cast(docs.schema[matches_col].dataType)), lambda m, i: F.struct(
-        i.alias("pos"), m.alias("m"), none.cast(kind).alias("s"), none.cast("string").alias("season")))
-    shots = F.transform(F.coalesce(_shots_with_season(shots_col, matches_col), F.array()), lambda x: F.struct(
-        none.cast("int").alias("pos"), none.cast(kind).alias("m"), x["s"].alias("s"), x["season"].alias("season")))
-    rows = docs.select(F.col(id_col).alias("understat_id"), F.explode(F.concat(matches, shots)).alias("r"))
-    rows = rows.select("understat_id", "r.pos", F.when(F.col("r.m").isNotNull(), F.struct(*_match_columns(F.col("r.m")))).alias("match"),
-                       F.when(F.col("r.s").isNotNull(), F.struct(*_shot_columns(F.col("r.s"), F.col("r.season")))).alias("shot"))
+    def shot(s):
+        season = _shot_season(s, F.col("__seasons"))
+        flags = _flags(to_double(s["X"]), to_double(s["Y"]), to_double(s["xG"]), _shot_type(s), key_or_default(s, "situation"))
+        return F.struct(to_double(s["match_id"]).try_cast("bigint").alias("match_id"), season.alias("season"),
+                        to_double(s["xG"]).alias("xG"), *flags)
+
+    # both sides are parsed inside the document, so only narrow rows are exploded and shuffled
+    matches = F.transform(F.coalesce(F.col(matches_col), F.array()), lambda m, i: F.struct(i.alias("pos"), *_match_columns(m)))
+    shots = F.transform(F.coalesce(F.col(shots_col), F.array()), shot)
+    both = _with_seasons(docs, matches_col).select(F.col(id_col).alias("understat_id"), matches.alias("m"), shots.alias("s"))
+    kinds = {c: both.schema[c].dataType.elementType for c in ("m", "s")}
+    rows = both.select("understat_id", F.explode(F.concat(
+        F.transform("m", lambda m: F.struct(m.alias("m"), F.lit(None).cast(kinds["s"]).alias("s"))),
+        F.transform("s", lambda s: F.struct(F.lit(None).cast(kinds["m"]).alias("m"), s.alias("s"))))).alias("r"))
+    rows = rows.select("understat_id", F.col("r.m").alias("match"), F.col("r.s").alias("shot"),
+                       F.coalesce("r.m.match_id", "r.s.match_id").alias("match_id"))
     if seasons:
-        rows = rows.filter(F.coalesce(F.col("match.season"), F.col("shot.season")).isin(list(seasons)))
-    is_shot = F.col("shot").isNotNull()
-    flags = shot_flags(rows.select("understat_id", "pos", "match", is_shot.alias("is_shot"), *[
-        F.col(f"shot.{c}").alias(c) for c in ("X", "Y", "xG", "shot_type", "situation")],
-        F.coalesce(F.col("match.match_id"), F.col("shot.match_id")).alias("match_id")))
-    lone = F.when(F.col("match_id").isNull() | F.col("understat_id").isNull(), F.xxhash64("pos", "match", "X", "Y", "xG"))
-    of_shots = lambda c: F.sum(F.when(F.col("is_shot"), F.col(c)))
-    grouped = flags.groupBy("understat_id", "match_id", lone.alias("lone")).agg(
-        F.collect_list("match").alias("matches"), F.coalesce(of_shots("xG"), F.lit(0.0)).alias("total"),
-        F.count("xG").alias("n"), *[of_shots(f"is_{c}").alias(c) for c in ("danger_zone", "header", "open_play", "big_chance")])
+        rows = rows.filter(F.coalesce("match.season", "shot.season").isin(list(seasons)))
+    lone = F.when(F.col("match_id").isNull() | F.col("understat_id").isNull(), F.xxhash64("match", "shot"))
+    grouped = rows.groupBy("understat_id", "match_id", lone.alias("lone")).agg(
+        F.collect_list("match").alias("matches"), F.coalesce(F.sum("shot.xG"), F.lit(0.0)).alias("total"),
+        F.count("shot.xG").alias("n"), *[F.sum(f"shot.is_{c}").alias(c) for c in ("danger_zone", "header", "open_play", "big_chance")])
     paired = F.col("lone").isNull()
     out = grouped.select("understat_id", F.explode("matches").alias("m"), *[F.when(paired, c).alias(n) for n, c in (
         ("xG_per_shot", safe_div("total", "n")), ("danger_zone_pct", safe_div("danger_zone", "n")),
         ("header_pct", safe_div("header", "n")), ("open_play_pct", safe_div("open_play", "n")), ("big_chances", F.col("big_chance")))])
-    return out.select("understat_id", "m.*", *SHOT_FEATURES).withColumn("xG_overperformance", F.col("goals") - F.col("xG"))
+    return out.select("understat_id", "m.*", *SHOT_FEATURES).drop("pos").withColumn("xG_overperformance", F.col("goals") - F.col("xG"))
+
+
+def _flags(x: Column, y: Column, xg: Column, shot_type: Column, situation: Column) -> list[Column]:
+    return [flag((x > DANGER_X) & (y > DANGER_Y_LOW) & (y < DANGER_Y_HIGH)).alias("is_danger_zone"),
+            flag(F.lower(shot_type) == "head").alias("is_header"), flag(F.lower(situation) == "openplay").alias("is_open_play"),
+            flag(xg >= BIG_CHANCE_XG).alias("is_big_chance")]
 
 
 def shot_flags(shots: DataFrame) -> DataFrame:
-    return shots.select(
-        "*",
-        flag((F.col("X") > DANGER_X) & (F.col("Y") > DANGER_Y_LOW) & (F.col("Y") < DANGER_Y_HIGH))
-        .alias("is_danger_zone"),
-        flag(F.lower("shot_type") == "head").alias("is_header"),
-        flag(F.lower("situation") == "openplay").alias("is_open_play"),
-        flag(F.col("xG") >= BIG_CHANCE_XG).alias("is_big_chance"),
-    )
+    return shots.select("*", *_flags(*[F.col(c) for c in ("X", "Y", "xG", "shot_type", "situation")]))
 
 
 SHOT_FEATURES = ("xG_per_shot", "danger_zone_pct", "header_pct", "open_play_pct", "big_chances")
