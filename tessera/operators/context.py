@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 # The six team strength ratings of the reference.
@@ -48,19 +48,21 @@ def fixture_context(sides: DataFrame) -> DataFrame:
     )
 
 
-def join_fixture_context(history: DataFrame, ctx: DataFrame, bounded: bool = True) -> DataFrame:
+def join_fixture_context(history: DataFrame, ctx: DataFrame, bounded: bool = True,
+                         counts: Observation | None = None) -> DataFrame:
     """Left join on (team_id, gw); the context side is unique on its keys.
 
     The context has at most |teams| x |periods| rows (a few thousand), a bound
     that does not grow with the history, so it is broadcast when ``bounded``.
+    ``counts`` gets n_rows and n_unmatched (rows whose team has no fixture in the period) from the
+    joining pass.
     """
     right = ctx.select("team_id", "gw", *CONTEXT_COLS)
     right = F.broadcast(right) if bounded else right
-    return history.join(right, ["team_id", "gw"], "left")
-
-
-def context_unmatched(joined: DataFrame) -> DataFrame:
-    return joined.agg(F.count_if(F.col("fixture_difficulty").isNull()).alias("n_unmatched"))
+    joined = history.join(right, ["team_id", "gw"], "left")
+    if counts is not None:
+        joined = joined.observe(counts, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("n_fixtures").isNull()).alias("n_unmatched"))
+    return joined
 
 
 def join_team_strength(df: DataFrame, teams: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.operators import context as ctxop
@@ -73,17 +73,18 @@ def prediction_features_next_row(history: DataFrame, fixture_ctx: DataFrame, tea
 
 def feature_build(history: DataFrame, fixtures: DataFrame, teams: DataFrame,
                   measures: Sequence[str], key=("player_id",), order=DEFAULT_ORDER,
-                  enrichment: DataFrame | None = None,
-                  extra_ids: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+                  enrichment: DataFrame | None = None, extra_ids: Sequence[str] = (),
+                  counts: Observation | None = None) -> tuple[DataFrame, list[str]]:
     """History (with team_id, position_id, value) -> feature matrix.
 
     One lazy plan: the window layer shuffles once on the key, the fixture
     context is pre-aggregated to (team, gw) before it is broadcast, dummies and
-    strengths are projections / a broadcast dimension join.
+    strengths are projections / a broadcast dimension join.  ``enrichment`` has
+    (player_id, gw) and the columns to add; ``counts`` observes the context join.
     """
     h = add_history_features(history, measures, key, order)
     ctx = ctxop.fixture_context(ctxop.fixture_sides(fixtures))
-    h = ctxop.join_fixture_context(h, ctx)
+    h = ctxop.join_fixture_context(h, ctx, counts=counts)
     h = ctxop.one_hot(h, "position_id", POSITIONS, "pos")
     h = ctxop.join_team_strength(h, teams)
     if "value" in h.columns and "cost" not in h.columns:
@@ -113,7 +114,7 @@ def second_source_matches(docs: DataFrame, seasons=None) -> DataFrame:
 
 
 def enrichment_features(docs: DataFrame, periods: DataFrame, mapping: DataFrame, seasons=None,
-                        windows=win.ROLL_WINDOWS, spans=win.EWM_SPANS) -> DataFrame:
+                        windows=win.ROLL_WINDOWS, spans=win.EWM_SPANS, counts: Observation | None = None) -> DataFrame:
     """Per (fpl_id, gw) the lagged second-source features of the player's last match.
 
     Windows run over *all* seasons before the period alignment (history of
@@ -121,23 +122,27 @@ def enrichment_features(docs: DataFrame, periods: DataFrame, mapping: DataFrame,
     while flattening, exactly where the reference applies it.  Shuffles: the
     (id, match) shot aggregate, the id-keyed window, and the (fpl_id, gw)
     aggregate that keeps the last match (partial aggregation, skew-safe).
+    ``counts`` observes the matches and those before the first deadline.
     """
     from tessera.operators.asof import asof_backward
     m = second_source_matches(docs, seasons)
     m = win.lagged_features(m, ["understat_id"], ["date", "match_id"], US_ROLL_COLS,
                             windows, spans, prefix="us_")
-    m = asof_backward(m, "date", period_dim(periods) if "id" in periods.columns else periods)
+    m = asof_backward(m, "date", period_dim(periods) if "id" in periods.columns else periods, counts=counts)
     m = m.join(mapping.select("fpl_id", "understat_id"), "understat_id", "inner")
     us_cols = [c for c in m.columns if c.startswith("us_")]
     out = m.select("fpl_id", "understat_id", "gw", "season", "date", "match_id", *us_cols)
     return win.keep_last(out, ["fpl_id", "gw"], ["date", "match_id"])
 
 
+def enrichment_columns(features: DataFrame) -> DataFrame:
+    """(player_id, gw) and the us_* columns; nothing else comes along."""
+    return features.select(F.col("fpl_id").alias("player_id"), "gw", *[c for c in features.columns if c.startswith("us_")])
+
+
 def merge_enrichment(history: DataFrame, features: DataFrame) -> DataFrame:
-    """History left join the us_* columns on (player_id, gw); nothing else comes along."""
-    us = features.select(F.col("fpl_id").alias("player_id"), "gw",
-                         *[c for c in features.columns if c.startswith("us_")])
-    return history.join(us, ["player_id", "gw"], "left")
+    """History left join the us_* columns on (player_id, gw)."""
+    return history.join(enrichment_columns(features), ["player_id", "gw"], "left")
 
 
 def enrichment_coverage(merged: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Job-level compositions: landing run (S4) and training run.
+"""Job-level compositions: landing run (S4), dataset build (C1) and training run.
 
 Drivers orchestrate; every step is a distributed plan.  Only scalar metrics,
 split sizes and the bounded importance table are looked at on the driver.
@@ -14,12 +14,18 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.scalars import full_name
 from tessera.operators import evaluate as ev
+from tessera.operators import flatten as fl
+from tessera.operators import matrix as mx
 from tessera.operators import model as ml
+from tessera.operators.context import STRENGTH_COLS
+from tessera.plans.builds import ROLL_TARGETS, enrichment_columns, enrichment_features, feature_build, period_dim
 from tessera.session import shared_dir
+from tessera.sources import documents as dc
 from tessera.sources import landing as ld
 from tessera.sources import snapshots as sn
-from tessera.sources.splits import load_splits
+from tessera.sources.splits import load_splits, write_dataset
 
 
 def landing_job(spark: SparkSession, landing_path: str, schema: T.StructType, bronze: str,
@@ -44,6 +50,71 @@ def landing_job(spark: SparkSession, landing_path: str, schema: T.StructType, br
     return {"snapshot_ts": snapshot, **{side: o.get["n"] for side, o in counted.items()}}
 
 
+#: Fields of the landed player, team and period records that the build uses.
+ELEMENT_COLUMNS = {"id": "bigint", "first_name": "string", "second_name": "string", "element_type": "bigint", "team": "bigint"}
+TEAM_COLUMNS = {"id": "bigint", "name": "string", **{c: "bigint" for c in STRENGTH_COLS}}
+EVENT_COLUMNS = {"id": "bigint", "deadline_time": "string"}
+FIXTURE_COLUMNS = {"id": "bigint", "event": "bigint", "team_h": "bigint", "team_a": "bigint", "team_h_difficulty": "bigint",
+                   "team_a_difficulty": "bigint", "finished": "boolean"}
+
+
+def _newest(spark: SparkSession, path: str, schema, entity: str, counts: Observation | None = None) -> DataFrame:
+    return dc.newest(dc.read_documents(spark, path, schema, entity, counts)[0])
+
+
+def dataset_job(spark: SparkSession, raw: str, out: str, version: str, val_start: int, second_source: str | None = None,
+                mapping: str | None = None, seasons: Sequence[str] | None = None,
+                measures: Sequence[str] = ROLL_TARGETS) -> dict:
+    """Train and validation rows from landed documents; the counts of the run.
+
+    Reads the newest good document of every entity below ``raw`` (``player``, ``bootstrap``,
+    ``fixtures``), flattens the histories, joins players, fixture context, team strengths and, with
+    ``second_source`` documents and a ``mapping`` file, the us_* features, and writes both sides in
+    one pass.  All counts are observed in that pass.  A run without a history row, or
+    with an empty side, is an error; nothing is written then beside an empty or one-sided dataset.
+    """
+    seen = {k: Observation(k) for k in ("documents", "keys", "history", "context", "matches", "sides")}
+    boot = _newest(spark, raw, dc.BOOTSTRAP, "bootstrap")
+    players = dc.records(boot, "elements", ELEMENT_COLUMNS)
+    players = players.select(F.col("id").alias("doc_id"), full_name("first_name", "second_name").alias("player_name"),
+                             F.col("team").alias("team_id"), F.col("element_type").alias("position_id"))
+    fixtures = dc.records(_newest(spark, raw, dc.RECORDS, "fixtures"), "records", FIXTURE_COLUMNS)
+    docs = _newest(spark, raw, dc.PLAYER, "player", seen["documents"]).select("entity_id", "history")
+    docs = docs.observe(seen["keys"], F.count(F.lit(1)).alias("players"), F.count_if(
+        F.coalesce(F.size("history"), F.lit(-1)) <= 0).alias("without_rows"))
+    history = fl.flatten_history(docs, "entity_id", "history", fl.HISTORY_COLUMNS, key_field="element",
+                                 rename={"round": "gw"}, doc_col="doc_id").withColumnRenamed("doc_key", "player_id")
+    history = history.observe(seen["history"], F.count(F.lit(1)).alias("rows"))
+    history = history.join(players, "doc_id", "left").drop("doc_id")
+    us = None
+    if second_source and mapping:
+        matches = _newest(spark, second_source, dc.SECOND_SOURCE, "understat").withColumnRenamed("entity_id", "understat_id")
+        periods = period_dim(dc.records(boot, "events", EVENT_COLUMNS))
+        us = enrichment_columns(enrichment_features(matches, periods, ld.load_mapping(spark, mapping), seasons, counts=seen["matches"]))
+    matrix, features = feature_build(history, fixtures, dc.records(boot, "teams", TEAM_COLUMNS), measures,
+                                     order=("gw", "kickoff_time", "pos"), enrichment=us, counts=seen["context"])
+    labelled = mx.temporal_split(matrix.filter(F.col("gw").isNotNull()), val_start)
+    first_us = next((c for c in features if c.startswith("us_")), None)
+    labelled = labelled.observe(seen["sides"], *[F.count_if(F.col("split") == s).alias(s) for s in ("train", "val")],
+                                (F.count(first_us) if first_us else F.lit(0)).alias("enriched"))
+    path = write_dataset(labelled, out, version)
+    got = {k: o.get for k, o in seen.items() if us is not None or k != "matches"}
+    if not got["history"]["rows"]:
+        raise ValueError("no history rows in the landed documents")
+    if us is not None and not got["matches"]["n_rows"]:
+        raise ValueError("no matches in the second source's documents")
+    for side in ("train", "val"):
+        if not got["sides"][side]:
+            raise ValueError(f"temporal split produced an empty {side} set")
+    total = got["sides"]["train"] + got["sides"]["val"]
+    return {"path": path, "features": features, "n_documents": got["documents"]["documents"],
+            "n_quarantined": got["documents"]["quarantined"], "n_players": got["keys"]["players"],
+            "n_without_rows": got["keys"]["without_rows"], "n_history": got["history"]["rows"],
+            "n_unmatched_context": got["context"]["n_unmatched"], "n_unaligned": got.get("matches", {}).get("n_unaligned"),
+            "n_train": got["sides"]["train"], "n_val": got["sides"]["val"],
+            "coverage": got["sides"]["enriched"] / total if us is not None else None}
+
+
 def train_job(spark: SparkSession, splits_base: str, version: str, model_path: str, experiments: str,
               params: dict | None = None, quantiles: Sequence[float] = ml.QUANTILES, qrf_trees: int = 20,
               calibrate_first_half: bool = False, top_n: int = 20) -> DataFrame:

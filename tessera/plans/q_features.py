@@ -233,7 +233,9 @@ def q_one_hot(spark, d):
 
 
 # ---------------------------------------------------------------- flagship
-def feature_build_sql() -> str:
+def feature_build_sql(history: str = an.HISTORY_PLAYERS_SQL, fixtures: str = CTX_SQL, more: tuple = (), enrichment: str = "",
+                      us: tuple = ()) -> str:
+    """SQL of the flagship; ``more`` are further columns of ``history`` in the matrix, ``us`` those of ``enrichment``."""
     rolls = ", ".join(f"{roll_sql(m, w)} AS {m}_roll{w}" for m in MEASURES for w in (3, 5))
     ewms = ", ".join(f"{ewm_sql(m, s)} AS {m}_ewm{s}" for m in MEASURES for s in (3, 5))
     rel = (f"{roll_sql('started', 3)} AS started_roll3, {roll_sql('started', 5)} AS started_roll5, "
@@ -242,7 +244,7 @@ def feature_build_sql() -> str:
            f" / least(5, rn + 1) END AS sub_risk")
     base = f"""SELECT *, row_number() OVER ({W_SQL}) - 1 AS rn,
   CAST(coalesce(minutes >= 45, false) AS DOUBLE) AS started, minutes / 90.0 AS minutes_pct
-FROM ({an.HISTORY_PLAYERS_SQL}) AS hp"""
+FROM ({history}) AS hp"""
     feats = f"SELECT *, {rolls}, {ewms}, {rel} FROM ({base}) AS b"
     pos = ", ".join(f"CAST(coalesce(position_id = {p}, false) AS DOUBLE) AS pos_{p}" for p in (1, 2, 3, 4))
     roll_names = [f"{m}_roll{w}" for m in MEASURES for w in (3, 5)]
@@ -254,18 +256,19 @@ FROM ({an.HISTORY_PLAYERS_SQL}) AS hp"""
     disc = [c for m in MEASURES for c in ([f"{m}_roll{w}" for w in (3, 5)] + [f"{m}_ewm{s}" for s in (3, 5)])]
     disc += ["started_roll3", "started_roll5", "minutes_pct_roll3", "minutes_pct_roll5"]
     names = list(dict.fromkeys(["player_id", "gw", "player_name", "team_id", "position_id", "kickoff_time"]
-                               + base_feats + disc + ["total_points"]))
+                               + base_feats + [*more] + disc + [*us] + ["total_points"]))
     inner = f"""SELECT {', '.join(names)} FROM (
   SELECT f.*, f.value / 10 AS cost, c.fixture_difficulty, c.opponent_difficulty, c.is_double_gw, c.n_fixtures,
     {pos}, t.strength_overall_home, t.strength_overall_away, t.strength_attack_home,
-    t.strength_attack_away, t.strength_defence_home, t.strength_defence_away
+    t.strength_attack_away, t.strength_defence_home, t.strength_defence_away{''.join(f", e.{c}" for c in us)}
   FROM ({feats}) f
-  LEFT JOIN ({CTX_SQL}) c ON c.team_id = f.team_id AND c.gw = f.gw
-  LEFT JOIN ({an.TEAMS_SQL}) t ON t.id = f.team_id) AS x
+  LEFT JOIN ({fixtures}) c ON c.team_id = f.team_id AND c.gw = f.gw
+  LEFT JOIN ({an.TEAMS_SQL}) t ON t.id = f.team_id
+  {f"LEFT JOIN ({enrichment}) e ON e.fpl_id = f.player_id AND e.gw = f.gw" if us else ""}) AS x
 WHERE total_points IS NOT NULL"""
     doubles = ["cost", "fixture_difficulty", "opponent_difficulty", "pos_1", "pos_2", "pos_3", "pos_4",
                "started_roll3", "started_roll5", "minutes_pct_roll3", "minutes_pct_roll5", "sub_risk",
-               "total_points", *roll_names, *ewm_names]
+               "total_points", *roll_names, *ewm_names, *more, *us]
     return sql_out(inner, doubles=doubles, timestamps=["kickoff_time"])
 
 

@@ -69,12 +69,6 @@ def q_snapshot_latest(spark, d):
     return latest.select("entity_id", "snapshot_ts", "n_events", "total_value")
 
 
-@query("list_entity_ids", "SELECT DISTINCT user_id AS entity_id FROM events")
-def q_list_entity_ids(spark, d):
-    """Ids of all landed entities."""
-    return _bronze(spark, d).select("entity_id").distinct()
-
-
 def _landed(spark, d):
     e = read_table(spark, d, "events")
     js = F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
