@@ -62,35 +62,34 @@ def _newest(spark: SparkSession, path: str, schema, entity: str, counts: Observa
     return dc.newest(dc.read_documents(spark, path, schema, entity, counts)[0])
 
 
-def dataset_job(spark: SparkSession, raw: str, out: str, version: str, val_start: int, second_source: str | None = None,
+def dataset_job(spark: SparkSession, raw: str, out: str, version: str, val_start: int, second_source: DataFrame | None = None,
                 mapping: str | None = None, seasons: Sequence[str] | None = None,
                 measures: Sequence[str] = ROLL_TARGETS) -> dict:
     """Train and validation rows from landed documents; the counts of the run.
 
     Reads the newest good document of every entity below ``raw`` (``player``, ``bootstrap``,
     ``fixtures``), flattens the histories, joins players, fixture context, team strengths and, with
-    ``second_source`` documents and a ``mapping`` file, the us_* features, and writes both sides in
-    one pass.  All counts are observed in that pass.  A run without a history row, or
+    ``second_source`` documents (understat_id, matchesData, shotsData) and a ``mapping`` file, the us_*
+    features, and writes both sides in one pass.  A record's player is its ``element``, or else its document's id.  All counts are observed in that pass.  A run without a history row, or
     with an empty side, is an error; nothing is written then beside an empty or one-sided dataset.
     """
     seen = {k: Observation(k) for k in ("documents", "keys", "history", "context", "matches", "sides")}
     boot = _newest(spark, raw, dc.BOOTSTRAP, "bootstrap")
     players = dc.records(boot, "elements", ELEMENT_COLUMNS)
-    players = players.select(F.col("id").alias("doc_id"), full_name("first_name", "second_name").alias("player_name"),
+    players = players.select(F.col("id").alias("player_id"), full_name("first_name", "second_name").alias("player_name"),
                              F.col("team").alias("team_id"), F.col("element_type").alias("position_id"))
     fixtures = dc.records(_newest(spark, raw, dc.RECORDS, "fixtures"), "records", FIXTURE_COLUMNS)
     docs = _newest(spark, raw, dc.PLAYER, "player", seen["documents"]).select("entity_id", "history")
     docs = docs.observe(seen["keys"], F.count(F.lit(1)).alias("players"), F.count_if(
         F.coalesce(F.size("history"), F.lit(-1)) <= 0).alias("without_rows"))
     history = fl.flatten_history(docs, "entity_id", "history", fl.HISTORY_COLUMNS, key_field="element",
-                                 rename={"round": "gw"}, doc_col="doc_id").withColumnRenamed("doc_key", "player_id")
+                                 rename={"round": "gw"}).withColumnRenamed("doc_key", "player_id")
     history = history.observe(seen["history"], F.count(F.lit(1)).alias("rows"))
-    history = history.join(players, "doc_id", "left").drop("doc_id")
+    history = history.join(players, "player_id", "left")
     us = None
-    if second_source and mapping:
-        matches = _newest(spark, second_source, dc.SECOND_SOURCE, "understat").withColumnRenamed("entity_id", "understat_id")
+    if second_source is not None and mapping:
         periods = period_dim(dc.records(boot, "events", EVENT_COLUMNS))
-        us = enrichment_columns(enrichment_features(matches, periods, ld.load_mapping(spark, mapping), seasons, counts=seen["matches"]))
+        us = enrichment_columns(enrichment_features(second_source, periods, ld.load_mapping(spark, mapping), seasons, counts=seen["matches"]))
     matrix, features = feature_build(history, fixtures, dc.records(boot, "teams", TEAM_COLUMNS), measures,
                                      order=("gw", "kickoff_time", "pos"), enrichment=us, counts=seen["context"])
     labelled = mx.temporal_split(matrix.filter(F.col("gw").isNotNull()), val_start)
