@@ -228,7 +228,7 @@ class Model:
         return step >> 1, step & 1, n
 
 
-def _contexts(symbols: np.ndarray, before: np.ndarray, before2: np.ndarray) -> list[np.ndarray]:
+def _contexts(before: np.ndarray, before2: np.ndarray) -> list[np.ndarray]:
     """Hashes of the previous symbol and of the previous two."""
     one = before.astype(np.uint32) * np.uint32(0x9E3779B1) + np.uint32(0x7F4A7C15)
     two = before2.astype(np.uint32) * np.uint32(0x85EBCA6B) ^ one * np.uint32(0xC2B2AE35)
@@ -236,8 +236,10 @@ def _contexts(symbols: np.ndarray, before: np.ndarray, before2: np.ndarray) -> l
 
 
 def _slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    shift = np.uint32(32 - (SLOTS.bit_length() - 1))
-    return (context ^ node) * np.uint32(0x165667B1) >> shift
+    x = context ^ node
+    x *= np.uint32(0x165667B1)
+    x >>= np.uint32(32 - (SLOTS.bit_length() - 1))
+    return x
 
 
 def _previous(symbols: np.ndarray, firsts: np.ndarray, begin: int, last: tuple[int, int] | None = None):
@@ -283,9 +285,10 @@ def _byte_counts(words: DataFrame, below: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(256, np.int64)
         for batch in batches:
-            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[list(w)] += c
-                total[32] += c
+            words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            if words:
+                text = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+                total += np.bincount(text, np.repeat(c, [len(w) + 1 for w in words]), 256).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total)], names=["b", "n"])
 
     few = words.where((F.floor(F.log2("c") * 32) < below) & (F.octet_length("word") <= _LONG))
@@ -331,12 +334,14 @@ def _context_counts(docs: DataFrame, held) -> list[np.ndarray]:
                 firsts = np.concatenate(([0], np.cumsum(took)[ends[:-1] - 1]))
                 one, two = _previous(symbols, firsts, model.begin, None if fresh else last)
                 last = (int(symbols[-1]), int(symbols[-2]) if len(symbols) > 1 else int(one[-1]))
-                for at in range(0, len(symbols), 1 << 16):
-                    part = slice(at, at + (1 << 16))
+                for at in range(0, len(symbols), 1 << 18):
+                    part = slice(at, at + (1 << 18))
                     node, bit, n = model.bits(symbols[part])
                     hashed = node.astype(np.uint32) * np.uint32(0x27D4EB2F)
-                    for table, context in zip(counts, _contexts(symbols[part], one[part], two[part]), strict=True):
-                        slot = _slots(np.repeat(context, n), hashed).astype(np.int64) * 2 + bit
+                    for table, context in zip(counts, _contexts(one[part], two[part]), strict=True):
+                        slot = _slots(np.repeat(context, n), hashed).astype(np.int64)
+                        slot <<= 1
+                        slot |= bit
                         table += np.bincount(slot, minlength=2 * SLOTS)
         for k, table in enumerate(counts):
             for b, block in enumerate(np.minimum(table, 2 ** 32 - 1).astype(np.uint32).reshape(-1, 2 * _BLOCK)):
@@ -434,7 +439,9 @@ class Mixer:
         np.clip(odds, -12, 12, out=odds)
         sign = (1 - 2 * bit).astype(np.float32)
         right = 1 / (1 + np.exp(odds * sign))  # the probability of the bit
-        self.cost[:live] -= np.bincount(owner, np.log(right), live)
+        ends = np.cumsum(n)[np.flatnonzero(np.diff(text, append=live))]  # a text's symbols are neighbours
+        self.cost[text[np.flatnonzero(np.diff(text, append=live))]] -= np.add.reduceat(
+            np.log(right), np.concatenate(([0], ends[:-1])), dtype=np.float64)
         error = sign * (right - 1)
         for w, pace, x in zip(self.weights, self.pace, inputs, strict=True):
             self._learn(w[:live * _GATES], pace[:live * _GATES], np.bincount(gate, error * x, live * _GATES))
@@ -458,7 +465,7 @@ def _code(mixer: Mixer, symbols: np.ndarray, lengths: np.ndarray, last: tuple[in
     bounds = np.searchsorted(step[order], np.arange(int(step.max(initial=-1)) + 2))
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         part = order[a:b]
-        mixer.step(symbols[part], text[part], _contexts(symbols[part], one[part], two[part]))
+        mixer.step(symbols[part], text[part], _contexts(one[part], two[part]))
     return int(symbols[-1]), int(symbols[-2]) if len(symbols) > 1 else int(one[-1])
 
 
