@@ -135,7 +135,7 @@ def train_job(spark: SparkSession, splits_base: str, version: str, model_path: s
     imp = model.feature_importance(spark, top_n)
     model.save(model_path)
     ranges = {side: list(df.agg(F.min("gw"), F.max("gw")).first()) for side, df in (("train", train), ("val", val))}
-    config = {**model.params, "quantiles": list(model.quantiles), "qrf_trees": qrf_trees,
+    config = {**model.params, "quantiles": list(model.quantiles), "qrf_trees": qrf_trees, "rounds": model.rounds,
               "elapsed_sec": round(time.time() - t0, 3), "n_features": len(cols)}
     rec = ml.experiment_record(spark, f"{version}-{int(t0)}", config, ranges, metrics, per, imp)
     rec.write.mode("append").json(experiments)

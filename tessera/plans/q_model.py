@@ -24,9 +24,9 @@ from tessera.session import scratch_path, shared_dir
   CAST(minutes IS NULL AS DOUBLE) AS minutes_missing
 FROM ({an.HISTORY_SQL}) AS h""", doubles=["minutes_imputed", "minutes_missing"]))
 def q_impute_flags(spark, d):
-    """M2: median imputation + missing flag (exact median here; 1e-3 sketch by default)."""
+    """M2: median imputation + missing flag (exact median by rank selection; training takes a 1e-3 sketch)."""
     h = an.history(spark, d).select("player_id", "fixture_id", "minutes")
-    return ml.impute_flags(h, ["minutes"], relative_error=0.0).select(
+    return ml.impute_flags(h, ["minutes"], exact=True).select(
         "player_id", "fixture_id", "minutes_imputed", "minutes_missing")
 
 
@@ -72,7 +72,7 @@ def q_isotonic_calibrate(spark, d):
 
 @query("quantile_predict")
 def q_quantile_predict(spark, d):
-    """M5: P10/P50/P90 from leaf label quantiles of a random forest."""
+    """M5: P10/P50/P90 of the pooled leaf label distributions of a random forest."""
     model, _, val, _ = fitted(spark, d, ("quantiles",))
     return model.predict_quantiles(val.select("fixture_id", *model.feature_cols), ["fixture_id"])
 
@@ -106,7 +106,7 @@ def _record(spark, d):
     metrics = ev.eval_overall(scored, "prediction")
     per = ev.eval_by_period(scored, "prediction")
     imp = model.feature_importance(spark, 20)
-    config = {**model.params, "quantiles": list(model.quantiles)}
+    config = {**model.params, "quantiles": list(model.quantiles), "rounds": model.rounds}
     ranges = {side: list(df.agg(F.min("gw"), F.max("gw")).first()) for side, df in (("train", train), ("val", val))}
     return ml.experiment_record(spark, "run", config, ranges, metrics, per, imp)
 
