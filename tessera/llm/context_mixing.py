@@ -222,9 +222,9 @@ class Model:
         """(node, bit, owner): the bits of the symbols and the symbol each belongs to."""
         n = self.length[symbols]
         ends = np.cumsum(n)
-        at = np.repeat((self.start[symbols] - (ends - n)).astype(np.int32), n)
-        at += np.arange(len(at), dtype=np.int32)
-        step = self.steps[at]
+        at = np.repeat(self.start[symbols] - (ends - n), n)
+        at += np.arange(len(at))
+        step = self.steps.take(at)
         return step >> 1, step & 1, n
 
 
@@ -378,17 +378,17 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     total = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"),
                       F.max(F.when(F.col("word") == F.lit(_END), F.col("c"))).alias("ends")).first()
     below = _frequent(words)
-    top = words.where(F.floor(F.log2("c") * 32) >= below).toPandas()
-    top = sorted(zip((-top.c).tolist(), map(bytes, top.word), strict=True))
-    top = [(c, w) for c, w in top if w[:1] != _END]  # neither the end nor digests of long words
-    counts = np.array([-c for c, _ in top] + [total.ends or 0], float)
+    top = words.where((F.floor(F.log2("c") * 32) >= below) & (F.substring("word", 1, 1) != F.lit(_END)))  # words of _LONG bytes at most
+    got = top.orderBy(F.desc("c"), "word").toArrow()
+    vocabulary = got.column("word").to_pylist()
+    counts = np.append(got.column("c").to_numpy(), total.ends or 0).astype(float)
     tokens = int(total.n or 0)
     spelled = np.append(np.maximum(1, counts), max(1, tokens - counts.sum()))
     codes = [huffman(spelled), huffman(_byte_counts(words, below))]
     nodes = len(spelled) - 1  # of the word tree
     steps = np.concatenate([codes[0][2], codes[1][2] + 2 * nodes])
     odds = np.concatenate([codes[0][3], codes[1][3]])
-    model = [[w for _, w in top], counts, tokens, int(total.v or 0),
+    model = [vocabulary, counts, tokens, int(total.v or 0),
              np.concatenate([codes[0][0], codes[1][0] + len(codes[0][2])]), np.concatenate([codes[0][1], codes[1][1]]),
              steps, _log_odds(odds[:, 0], odds[:, 1]), []]
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -423,25 +423,25 @@ class Mixer:
         node, bit, n = model.bits(symbols)
         hashed = node.astype(np.uint32) * np.uint32(0x27D4EB2F)
         scale = np.float32(1 / 64)  # the two bits of how often a context was seen are below a sixteenth
-        owner = np.repeat(text, n)
-        inputs, gate = [model.plain[node].astype(np.float32) * scale], owner * np.int32(_GATES)
-        gate += (node > model.end) * np.int32(16)
+        owner = np.repeat(text.astype(np.int64), n)
+        inputs, gate = [model.plain.take(node).astype(np.float32) * scale], owner * _GATES
+        gate += (node > model.end) * np.int8(16)
         for k, (context, table) in enumerate(zip(contexts, model.tables, strict=True)):
-            found = table[_slots(np.repeat(context, n), hashed)]
+            found = table.take(_slots(np.repeat(context, n), hashed).astype(np.int64))
             inputs.append(found.astype(np.float32) * scale)
             gate += (found & np.int16(3)) << np.int16(2 * k)
-        odds = self.weights[0][gate] * inputs[0]
+        odds = self.weights[0].take(gate) * inputs[0]
         for w, x in zip(self.weights[1:], inputs[1:], strict=True):
-            odds += w[gate] * x
-        place = (np.clip(odds, -7.9, 7.9) * np.float32(_MAP / 16) + np.float32(_MAP / 2)).astype(np.int32)
-        place += owner * np.int32(_MAP)
-        odds += self.fix[place]
+            odds += w.take(gate) * x
+        place = (np.clip(odds, -7.9, 7.9) * np.float32(_MAP / 16) + np.float32(_MAP / 2)).astype(np.int64)
+        place += owner * _MAP
+        odds += self.fix.take(place)
         np.clip(odds, -12, 12, out=odds)
         sign = (1 - 2 * bit).astype(np.float32)
         right = 1 / (1 + np.exp(odds * sign))  # the probability of the bit
-        ends = np.cumsum(n)[np.flatnonzero(np.diff(text, append=live))]  # a text's symbols are neighbours
-        self.cost[text[np.flatnonzero(np.diff(text, append=live))]] -= np.add.reduceat(
-            np.log(right), np.concatenate(([0], ends[:-1])), dtype=np.float64)
+        last = np.flatnonzero(np.diff(text, append=live))  # a text's symbols are neighbours
+        bounds = np.concatenate(([0], np.cumsum(n)[last[:-1]]))
+        self.cost[text[last]] -= np.add.reduceat(np.log(right), bounds, dtype=np.float64)
         error = sign * (right - 1)
         for w, pace, x in zip(self.weights, self.pace, inputs, strict=True):
             self._learn(w[:live * _GATES], pace[:live * _GATES], np.bincount(gate, error * x, live * _GATES))
