@@ -211,6 +211,13 @@ def _flags(x: Column, y: Column, xg: Column, shot_type: Column, situation: Colum
             flag(xg >= BIG_CHANCE_XG).alias("is_big_chance")]
 
 
+def document_counts(docs: DataFrame, id_col: str = "understat_id", matches_col: str = "matchesData",
+                    shots_col: str = "shotsData") -> DataFrame:
+    """Matches and shots per id; a missing list counts as empty."""
+    size = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0))
+    return docs.groupBy(id_col).agg(size(matches_col).alias("n_matches"), size(shots_col).alias("n_shots"))
+
+
 def shot_flags(shots: DataFrame) -> DataFrame:
     return shots.select("*", *_flags(*[F.col(c) for c in ("X", "Y", "xG", "shot_type", "situation")]))
 

@@ -7,12 +7,20 @@ The LCS length comes from built-in functions: a bit-parallel recurrence over
 one 64-bit number per row of the table (Hyyro, 2004) where one side has at most
 62 characters, else the plain dynamic program.
 
-A score of at least t bounds the lengths, 2 min(l1, l2) / (l1 + l2) >= t, and
-the common characters, 2 |A n B| / (l1 + l2) >= t as multisets.  Distinct left
-keys are dealt to the lengths their partners may have and joined by length (and
-a salt that splits crowded lengths); the character bound and the score are
-evaluated where a pair meets, and a partial maximum per left key is all that is
-shuffled: pairs are never written out.
+Pairs are found in three steps, each for the left keys that the one before has not settled:
+
+1. equal keys (score 100);
+2. keys at most two insertions or deletions apart: both sides emit their letters (as a multiset) without
+   none, one or two of them, and meet on equal remainders with at most two letters gone in all and no
+   letter gone on both sides, so a pair meets once.  Every other right key is three or more steps away,
+   which bounds its score by 2 l / (2 l + 3) for a left key of l characters: a better partner is final;
+3. the rest by letter counts: distinct multisets meet by compatible length (and a salt that splits crowded
+   lengths), and only those whose common letters allow a score of at least the cut-off, or of what step 2
+   has found, are opened into keys.
+
+A score of at least t bounds the lengths, 2 min(l1, l2) / (l1 + l2) >= t, and the common characters,
+2 |A n B| / (l1 + l2) >= t as multisets.  Scores are evaluated where a pair meets, and a partial maximum
+per left key is all that is shuffled: pairs are never written out.
 """
 
 from __future__ import annotations
@@ -20,16 +28,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import shared_dir
+
 # Fixed values of the reference matching rules.
 SCORE_CUTOFF = 70.0
 AUTO_VERIFY = 95.0
 
+# White space of a Unicode split, which is more than the ASCII class.
+_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 _BITS = 62  # characters of a side whose table row fits a 64-bit number
 
 
 def token_sort_key(c) -> Column:
     col = F.col(c) if isinstance(c, str) else c
-    toks = F.filter(F.split(F.coalesce(col, F.lit("")), r"\s+"), lambda x: x != "")
+    toks = F.filter(F.split(F.coalesce(col, F.lit("")), _SPACE), lambda x: x != "")
     return F.array_join(F.array_sort(toks), " ")
 
 
@@ -103,6 +115,66 @@ def _common(masks: Column, key: Column) -> Column:
     return F.aggregate(F.map_entries(masks), F.lit(0), lambda n, e: n + F.least(F.bit_count(e["value"]), count(e["key"])))
 
 
+def _remainders(key: Column, most: int) -> Column:
+    """(n, rest, gone): the letters of a key without any n <= ``most`` (0 to 2) of them; ``rest`` is hashed."""
+    def of(letters):
+        n = F.size(letters)
+        first = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & (
+            (i == 0) | (F.get(letters, i) != F.get(letters, i - 1))))
+
+        def without(i, j):
+            rest = F.filter(letters, lambda c, p: (p != i) & (p != j))
+            gone = F.array_compact(F.array(F.when(i >= 0, F.get(letters, i)), F.when((j >= 0) & (j != i), F.get(letters, j))))
+            return F.struct(F.size(gone).alias("n"), F.xxhash64(F.array_join(rest, "")).alias("rest"), gone.alias("gone"))
+        out = [F.array(without(F.lit(-1), F.lit(-1)))]
+        if most >= 1:
+            out.append(F.transform(first, lambda i: without(i, i)))
+        if most >= 2:  # a second letter after the first one, or the next copy of the same
+            out.append(F.flatten(F.transform(first, lambda i: F.transform(F.filter(
+                F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda j: (j > i) & (j < n) & (
+                    F.array_contains(first, j) | ((j == i + 1) & (F.get(letters, i) == F.get(letters, j))))),
+                lambda j: without(i, j)))))
+        return F.concat(*out)
+    return _bound(F.array_sort(_chars(key)), of)
+
+
+NEAR = 2  # insertions and deletions that step 2 covers
+
+
+def near_pairs(names: DataFrame, partners: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs of keys whose letters are at most ``NEAR`` insertions and deletions apart."""
+    left = names.select("__k", *by, F.explode(_remainders(F.col("__k"), NEAR)).alias("__v"))
+    left = left.select("__k", *by, F.col("__v.gone").alias("__lg"), F.col("__v.rest").alias("__rest"),
+                       F.explode(F.sequence(F.lit(0), NEAR - F.col("__v.n"))).alias("__n"))
+    right = partners.select("__rk", "__r", *by, F.explode(_remainders(F.col("__rk"), NEAR)).alias("__v"))
+    right = right.select("__rk", "__r", *by, F.col("__v.gone").alias("__rg"), F.col("__v.rest").alias("__rest"), F.col("__v.n").alias("__n"))
+    met = left.join(right, ["__rest", "__n", *by])
+    return met.filter(~F.arrays_overlap("__lg", "__rg") | (F.size("__lg") == 0) | (F.size("__rg") == 0))
+
+
+def far_pairs(names: DataFrame, partners: DataFrame, by: list[str], t: float, salts: int) -> DataFrame:
+    """Pairs of keys whose lengths and common letters allow a score of ``__floor`` (a share, at least ``t``)."""
+    letters = lambda c: F.array_join(F.array_sort(_chars(F.col(c))), "")
+    left, right = names.withColumn("__lv", letters("__k")), partners.withColumn("__rv", letters("__rk"))
+    size = F.length("__lv")
+    lengths = F.sequence(F.ceil(size * (t / (2 - t)) - 1e-9).cast("int"), F.floor(size * ((2 - t) / t) + 1e-9).cast("int"))
+    lv = left.groupBy("__lv", *by).agg(F.min("__floor").alias("__low")).select(
+        "*", F.explode(lengths).alias("__len")).select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    rv = right.select("__rv", *by).distinct().select(
+        "__rv", *by, _masks(_chars(F.col("__rv"))).alias("__m"), F.length("__rv").alias("__len"),
+        F.pmod(F.hash("__rv"), F.lit(salts)).alias("__salt"))
+    enough = F.col("__m").isNull() | (2 * _common(F.col("__m"), F.col("__lv")) >= F.col("__low") * (size + F.col("__len")) - 1e-9)
+    alike = lv.join(rv, ["__len", "__salt", *by]).filter(enough).select("__lv", "__rv", *by)
+    return alike.join(left, ["__lv", *by]).join(right, ["__rv", *by])
+
+
+def _best(pairs: DataFrame, by: list[str], right_id: str, cutoff: float) -> DataFrame:
+    """Per left key the best partner (ties: the smaller right id) with at least the cut-off."""
+    scored = pairs.select("__k", *by, "__r", key_ratio(F.col("__k"), F.col("__rk")).alias("__score"))
+    return scored.filter(F.col("__score") >= cutoff).groupBy("__k", *by).agg(F.max_by(
+        F.struct("__r", "__score"), F.struct(F.col("__score"), -F.col(f"__r.{right_id}"))).alias("__b"))
+
+
 def fuzzy_best_match(left: DataFrame, right: DataFrame, left_id: str = "fpl_id", left_name: str = "fpl_name",
                      right_id: str = "understat_id", right_name: str = "understat_name",
                      cutoff: float = SCORE_CUTOFF, right_cols: tuple = (), block: str | None = None,
@@ -111,30 +183,25 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, left_id: str = "fpl_id",
 
     Unmatched left rows are kept with NULL right columns, score 0 and note NO_MATCH; blank
     names match blank names.  ``block`` names a column of both sides that must be equal (a team,
-    a season), which thins the pairs; without it every length-compatible pair is considered.
+    a season).
     """
-    t = cutoff / 100.0
+    shared_dir(left.sparkSession)
     by = [block] if block else []
     names = left.select(token_sort_key(left_name).alias("__k"), *by).distinct()
     partners = (right.select(token_sort_key(right_name).alias("__rk"), *by, F.struct(
         F.col(right_id), F.col(right_name), *[F.col(c) for c in right_cols]).alias("__r"))
         .groupBy("__rk", *by).agg(F.min_by("__r", f"__r.{right_id}").alias("__r")))
-    size = F.length("__k")
-    lengths = F.sequence(F.ceil(size * (t / (2 - t)) - 1e-9).cast("int"), F.floor(size * ((2 - t) / t) + 1e-9).cast("int"))
-    l = (names.select("*", F.explode(lengths).alias("__len"))
-         .select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt")))
-    chars = _chars(F.col("__rk"))
-    r = partners.select("__rk", "__r", *by, _masks(chars).alias("__m"), F.length("__rk").alias("__len"),
-                        F.pmod(F.hash("__rk"), F.lit(salts)).alias("__salt"))
-    pairs = l.join(r, ["__len", "__salt", *by])
-    enough = F.col("__m").isNull() | (2 * _common(F.col("__m"), F.col("__k")) >= t * (size + F.col("__len")) - 1e-9)
-    score = (F.when(size + F.col("__len") == 0, 100.0)
-             .when(F.col("__m").isNotNull(), 200.0 * _lcs_bits(F.col("__m"), F.col("__len"), _chars(F.col("__k")))
-                   / (size + F.col("__len")))
-             .otherwise(key_ratio(F.col("__k"), F.col("__rk"))))
-    scored = pairs.filter(enough).select("__k", *by, "__r", score.alias("__score")).filter(F.col("__score") >= cutoff)
-    best = scored.groupBy("__k", *by).agg(F.max_by(F.struct("__r", "__score"), F.struct(
-        F.col("__score"), -F.col(f"__r.{right_id}"))).alias("__b"))
+    same = names.join(partners.withColumnRenamed("__rk", "__k"), ["__k", *by]).select(
+        "__k", *by, F.struct("__r", F.lit(100.0).alias("__score")).alias("__b"))
+    open_ = names.join(same.select("__k", *by), ["__k", *by], "left_anti")
+    # one row a left key, in the shared folder: the pairs behind it are met once
+    near = _best(near_pairs(open_, partners, by), by, right_id, cutoff).checkpoint(eager=True)
+    size, points = F.length("__k"), F.col("__b.__score")
+    settled = near.filter(points > 200.0 * size / (2 * size + NEAR + 1) + 1e-9)
+    rest = open_.join(settled.select("__k", *by), ["__k", *by], "left_anti").join(near, ["__k", *by], "left").select(
+        "__k", *by, (F.greatest(points, F.lit(cutoff)) / 100).alias("__floor"))
+    far = _best(far_pairs(rest, partners, by, cutoff / 100.0, salts), by, right_id, cutoff)
+    best = same.unionByName(settled).unionByName(far)
     best = best.select(F.col("__k").alias("__bk"), *[F.col(c).alias(f"__b_{c}") for c in by], "__b")
     on = token_sort_key(left_name) == F.col("__bk")
     for c in by:

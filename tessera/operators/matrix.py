@@ -74,12 +74,6 @@ def fill_missing_features(df: DataFrame, feature_cols: Sequence[str]) -> DataFra
     return df.select("*", *extra)
 
 
-def require_columns(df: DataFrame, cols: Sequence[str]) -> None:
-    missing = [c for c in cols if c not in df.columns]
-    if missing:
-        raise KeyError(f"missing feature columns: {missing}")
-
-
 def prediction_features(history: DataFrame, fixture_ctx: DataFrame, teams: DataFrame | None,
                         target_gw: int, key: Sequence[str] = ("player_id",),
                         order: Sequence = ("gw", "kickoff_time", "fixture_id"),

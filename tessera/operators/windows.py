@@ -205,14 +205,7 @@ def keep_last(df: DataFrame, key: Sequence[str], order: Sequence) -> DataFrame:
     return picked.select(*key, *[F.col("__row")[c].alias(c) for c in others])
 
 
-def keep_first(df: DataFrame, key: Sequence[str], order: Sequence) -> DataFrame:
-    others = [c for c in df.columns if c not in key]
-    ord_struct = _order_struct(order)
-    picked = df.groupBy(*key).agg(F.min_by(F.struct(*others), ord_struct).alias("__row"))
-    return picked.select(*key, *[F.col("__row")[c].alias(c) for c in others])
-
 
-# ---------------------------------------------------------------- hot keys
 def lagged_features_segmented(df: DataFrame, key: Sequence[str], order: Sequence[str],
                               measures: Iterable[str], windows: Sequence[int] = ROLL_WINDOWS,
                               spans: Sequence[float] = EWM_SPANS, prefix: str = "",

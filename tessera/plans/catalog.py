@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import q_dataset, q_enrichment, q_eval, q_features, q_model, q_sources  # noqa: F401
+from tessera.plans import q_dataset, q_enrichment, q_eval, q_features, q_mapping, q_model, q_sources  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 

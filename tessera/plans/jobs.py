@@ -10,6 +10,7 @@ import os
 import time
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from tessera.functions.scalars import full_name
 from tessera.operators import evaluate as ev
 from tessera.operators import flatten as fl
+from tessera.operators import matching as mt
 from tessera.operators import matrix as mx
 from tessera.operators import model as ml
 from tessera.operators.context import STRENGTH_COLS
@@ -58,6 +60,14 @@ FIXTURE_COLUMNS = {"id": "bigint", "event": "bigint", "team_h": "bigint", "team_
                    "team_a_difficulty": "bigint", "finished": "boolean"}
 
 
+def _observed(counts: Observation, *names: str) -> dict:
+    """The counts; zeros where the rows behind them turned out empty and their part of the plan was dropped."""
+    try:
+        return counts.get
+    except Py4JJavaError:
+        return dict.fromkeys(names, 0)
+
+
 def _newest(spark: SparkSession, path: str, schema, entity: str, counts: Observation | None = None) -> DataFrame:
     return dc.newest(dc.read_documents(spark, path, schema, entity, counts)[0])
 
@@ -97,7 +107,11 @@ def dataset_job(spark: SparkSession, raw: str, out: str, version: str, val_start
     labelled = labelled.observe(seen["sides"], *[F.count_if(F.col("split") == s).alias(s) for s in ("train", "val")],
                                 (F.count(first_us) if first_us else F.lit(0)).alias("enriched"))
     path = write_dataset(labelled, out, version)
-    got = {k: o.get for k, o in seen.items() if us is not None or k != "matches"}
+    got = {k: _observed(seen[k], *names) for k, names in (
+        ("documents", ("documents", "quarantined")), ("keys", ("players", "without_rows")), ("history", ("rows",)),
+        ("context", ("n_rows", "n_unmatched")), ("sides", ("train", "val", "enriched")))}
+    if us is not None:
+        got["matches"] = _observed(seen["matches"], "n_rows", "n_unaligned")
     if not got["history"]["rows"]:
         raise ValueError("no history rows in the landed documents")
     if us is not None and not got["matches"]["n_rows"]:
@@ -114,6 +128,53 @@ def dataset_job(spark: SparkSession, raw: str, out: str, version: str, val_start
             "coverage": got["sides"]["enriched"] / total if us is not None else None}
 
 
+LEAGUE_COLUMNS = {"id": "bigint", "player_name": "string", "team_title": "string"}
+
+
+def league_players(spark: SparkSession, raw: str, seasons: Sequence[str] | None = None) -> DataFrame:
+    """(understat_id, understat_name, understat_team, season) of all ``league_<season>`` lists below
+    ``raw``, read at once, from the newest season of each id (in it the first record)."""
+    docs = dc.newest(dc.read_documents(spark, raw, dc.RECORDS, "league")[0])
+    rows = docs.select(F.col("entity_id").alias("season"), F.posexplode("records").alias("pos", "r"))
+    if seasons:
+        rows = rows.filter(F.col("season").isin([int(x) for x in seasons]))
+    typed = rows.select(F.col("r")["id"].try_cast("double").try_cast("bigint").alias("understat_id"), "season", "pos",
+                        fl.key_or_default(F.col("r"), "player_name").alias("understat_name"),
+                        fl.key_or_default(F.col("r"), "team_title").alias("understat_team")).filter(F.col("understat_id").isNotNull())
+    picked = typed.groupBy("understat_id").agg(F.max_by(F.struct("understat_name", "understat_team", "season"),
+                                                        F.struct("season", -F.col("pos"))).alias("r"))
+    return picked.select("understat_id", "r.*")
+
+
+def mapping_players(spark: SparkSession, raw: str) -> DataFrame:
+    """(fpl_id, fpl_name, fpl_team) of the newest landed player lists."""
+    boot = _newest(spark, raw, dc.BOOTSTRAP, "bootstrap")
+    teams = dc.records(boot, "teams", {"id": "bigint", "name": "string"}).select(F.col("id").alias("team"), "name")
+    players = dc.records(boot, "elements", ELEMENT_COLUMNS)
+    return players.join(teams, "team", "left").select(
+        F.col("id").alias("fpl_id"), full_name("first_name", "second_name").alias("fpl_name"), F.coalesce("name", F.lit("Unknown")).alias("fpl_team"))
+
+
+def mapping_job(spark: SparkSession, raw: str, out: str, seasons: Sequence[str] | None = None,
+                cutoff: float = mt.SCORE_CUTOFF) -> dict:
+    """C4: the mapping file from landed player and league lists, best score first, and A9's score report.
+
+    The report is observed while the file is written.
+    """
+    found = mt.fuzzy_best_match(mapping_players(spark, raw), league_players(spark, raw, seasons), cutoff=cutoff,
+                                right_cols=("understat_team",))
+    rows = found.select(*[F.col(c).cast("string").alias(c) for c in ld.MAPPING_SCHEMA.names if c not in ("match_score", "verified")],
+                        "match_score", "verified")
+    report = Observation("mapping")
+    none = F.col("match_score") == 0
+    rows = rows.orderBy(F.desc("match_score"), F.col("fpl_id").cast("bigint")).select(*ld.MAPPING_SCHEMA.names)
+    # above the sort, whose sampling reads what is below it twice
+    rows = rows.observe(report, F.count_if("verified").alias("auto_verified"), F.count_if(~F.col("verified") & ~none).alias("needs_review"),
+                        F.count_if(none).alias("no_match"))
+    ld.write_mapping(rows, out)
+    return _observed(report, "auto_verified", "needs_review", "no_match")
+
+
 def train_job(spark: SparkSession, splits_base: str, version: str, model_path: str, experiments: str,
               params: dict | None = None, quantiles: Sequence[float] = ml.QUANTILES, qrf_trees: int = 20,
               calibrate_first_half: bool = False, top_n: int = 20) -> DataFrame:

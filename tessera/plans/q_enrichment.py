@@ -61,6 +61,14 @@ FROM ({SHOTS_FLAGGED_SQL}) AS s GROUP BY understat_id, match_id"""
 SHOT_AGG_DOUBLES = ["xG_per_shot", "danger_zone_pct", "header_pct", "open_play_pct", "big_chances"]
 
 
+@query("second_source_counts", f"""SELECT o_custkey + {an.US_ID_OFFSET} AS understat_id, CAST(count(DISTINCT o_orderkey) AS BIGINT) AS n_matches,
+  CAST(count(l_orderkey) AS BIGINT) AS n_shots
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey""")
+def q_second_source_counts(spark, d):
+    """Matches and shots per player of the second source, from the documents' lists alone."""
+    return fl.document_counts(an.second_source_docs(spark, d))
+
+
 @query("shot_match_agg", sql_out(SHOT_AGG_SQL, doubles=SHOT_AGG_DOUBLES))
 def q_shot_match_agg(spark, d):
     """A2/A3: per (id, match) shot quality with safe ratios."""

@@ -148,6 +148,16 @@ def q_page_quarantine(spark, d):
     return ld.quarantine_pages(pages.withColumn("html", bare), "page_id", ["pageData", "metaData"])
 
 
+@query("page_variables", "SELECT page_id, url AS page_url, CAST(length(url) AS BIGINT) AS n_chars, CAST(0 AS BIGINT) AS n_other FROM pages")
+def q_page_variables(spark, d):
+    """One column per known variable of a page, parsed; an absent list is empty."""
+    ex = ld.extract_embedded_json(_pages_with_vars(spark, d), "page_id")
+    wide = ld.pivot_variables(ex, "page_id", ["pageData", "metaData", "otherData"], {
+        "pageData": "struct<page_id:bigint,url:string>", "metaData": "struct<n_chars:bigint>", "otherData": "array<string>"})
+    return wide.select("page_id", F.col("pageData.url").alias("page_url"), F.col("metaData.n_chars").alias("n_chars"),
+                       F.size("otherData").alias("n_other"))
+
+
 def _players_with_status(spark, d):
     c = read_table(spark, d, "customer")
     status = F.when(F.col("c_mktsegment") == "BUILDING", "u").when(F.col("c_mktsegment") == "MACHINERY", None) \
