@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -37,7 +38,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tessera-llm-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -52,6 +53,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it a name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def _sources(df: DataFrame, keep: Sequence[tuple[str, Column]], inputs: Sequence[Column]) -> DataFrame:
     return df.select(*[c.alias(f"k{i}") for i, (_, c) in enumerate(keep)],
                      *[c.alias(f"i{i}") for i, c in enumerate(inputs)])
