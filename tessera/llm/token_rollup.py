@@ -116,15 +116,18 @@ class Rollup:
             rows = None
         return self.spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("long")) if rows is None else rows
 
-    def committed(self) -> list[int]:
-        """Ids of the committed batches: a list as long as the batches since the start."""
+    def _commits(self) -> DataFrame:
+        """(n, batch): the committed batches, numbered in the order of their commits."""
         try:
-            marks = self.spark.read.schema("n long, batch long").parquet(f"{self.path}/commits")
+            return self.spark.read.schema("n long, batch long").parquet(f"{self.path}/commits")
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return []
-        return [r.batch for r in marks.select("batch").distinct().orderBy("batch").collect()]
+            return self.spark.createDataFrame([], "n long, batch long")
+
+    def committed(self) -> list[int]:
+        """Ids of the committed batches in the order of their commits: a list as long as the batches since the start."""
+        return [r.batch for r in self._commits().orderBy("n").collect()]
 
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens over all committed batches, without empty groups."""
@@ -137,13 +140,18 @@ class Rollup:
         return self._latest().where("live").drop("live")
 
     def _latest(self) -> DataFrame:
-        rows = self._read("ledger", _LEDGER).groupBy("doc_id", "version").agg(
-            F.max_by(F.struct("source", "lang", "n_tokens", "live"), "batch").alias("s"))
+        # the newest is the one committed last, whatever its batch number: deltas are taken against it
+        rows = self._read("ledger", _LEDGER).join(self._commits(), "batch").groupBy("doc_id", "version").agg(
+            F.max_by(F.struct("source", "lang", "n_tokens", "live"), "n").alias("s"))
         return rows.select("doc_id", "version", "s.*")
 
     def apply(self, batch: int, changes: DataFrame) -> bool:
-        """Commit a batch of ``CHANGES``; False if it was committed before."""
-        if batch in self.committed():
+        """Commit a batch of ``CHANGES`` on top of all committed ones; False if it was committed before.
+
+        Batches may come in any order of their numbers; one writer commits at a time.
+        """
+        before = self.committed()
+        if batch in before:
             return False
         rows = changes.select("doc_id", "version", "source", "lang", "op",
                               F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "seq")
@@ -169,8 +177,8 @@ class Rollup:
         ).unionByName(rows.where("doc_id is null and op = 'insert'").select(*group(""), one.alias("n_docs"), "n_tokens"))
         deltas = signed.groupBy("source", "lang", "version").agg(
             F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
-        deltas.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
-        self.spark.range(1).select(F.col("id").alias("n")).coalesce(1).write.mode("overwrite").parquet(
+        deltas.write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
+        self.spark.range(1).select(F.lit(len(before)).cast("long").alias("n")).coalesce(1).write.mode("overwrite").parquet(
             f"{self.path}/commits/batch={batch}")
         return True
 

@@ -77,3 +77,40 @@ def test_empty_table(spark, make_docs):
     assert tr.report(make_docs([]), shared_path(spark, "rollup-test")).count() == 0
     got = tr.report(make_docs([(1, None), (None, "a b"), (2, ""), (2, "")]), shared_path(spark, "rollup-test")).collect()
     assert {(r.version, r.n_docs, r.n_tokens) for r in got} == {(v, 3, 2) for v in tr.VOCABULARIES}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_any_order_of_batches_replays_and_failures(spark, seed, monkeypatch):
+    """After every commit the totals are the sums of the ledger, and both are a plain recount in commit order."""
+    rng = random.Random(seed)
+    rollup, live, done = tr.Rollup(spark, shared_path(spark, "rollup-order")), {}, set()
+    for _ in range(6):
+        batch = rng.randrange(9)
+        rows = {(rng.randrange(4), "v"): (rng.choice("ab"), "en", rng.choice(["insert", "revise", "delete"]), rng.randrange(1, 9)) for _ in range(3)}
+        changes = spark.createDataFrame([(d, v, s, g, op, n, 0) for (d, v), (s, g, op, n) in rows.items()], tr.CHANGES)
+        if rng.random() < 0.3 and batch not in done:  # a run that dies before its commit
+            with monkeypatch.context() as m, pytest.raises(RuntimeError):
+                m.setattr(type(spark), "range", lambda *a, **k: (_ for _ in ()).throw(RuntimeError()))
+                rollup.apply(batch, changes)
+        assert rollup.apply(batch, changes) == (batch not in done)
+        if batch not in done:
+            done.add(batch)
+            for k, (s, g, op, n) in rows.items():
+                if op == "delete":
+                    live.pop(k, None)
+                else:
+                    live[k] = (s, g, n)
+        want = defaultdict(lambda: [0, 0])
+        for (_, v), (s, g, n) in live.items():
+            want[s, g, v][0] += 1
+            want[s, g, v][1] += n
+        assert {(r.source, r.lang, r.version): [r.n_docs, r.n_tokens] for r in rollup.totals().collect()} == want
+        assert {(r.doc_id, r.version): (r.source, r.lang, r.n_tokens) for r in rollup.ledger().collect()} == live
+
+
+def test_a_smaller_batch_number_after_a_larger_one(spark):
+    rollup = tr.Rollup(spark, shared_path(spark, "rollup-late"))
+    for batch, op, n, want in ((3, "insert", 10, (1, 10)), (2, "revise", 7, (1, 7)), (4, "delete", 0, None)):
+        assert rollup.apply(batch, spark.createDataFrame([(1, "v", "a", "en", op, n, 0)], tr.CHANGES))
+        assert [(r.n_docs, r.n_tokens) for r in rollup.totals().collect()] == ([want] if want else [])
+    assert rollup.committed() == [3, 2, 4] and rollup.ledger().isEmpty()
