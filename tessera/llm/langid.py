@@ -6,7 +6,8 @@ Training sums these counts over all labelled training rows (one partial sum a
 task, added up by Spark), so the model's size is languages x buckets whatever
 the corpus size.  The smoothed log-probability matrix is broadcast; a batch of
 texts is scored in numpy by gathering the matrix rows of the n-grams that occur
-and summing them per text.
+and summing them per text, a chunk of a text at a time (a large chunk is counted
+first), so a task holds one chunk's n-grams, whatever the texts.
 
 Cases: rows with a null text or lang don't train; a null text, and a text
 without a letter, is ``und`` with score 0; with no training rows at all every
@@ -110,20 +111,26 @@ def train(rows: DataFrame, buckets: int = 1 << 15, max_n: int = 3, alpha: float
     return Model(langs, log_prob.astype(np.float32), prior, buckets, max_n)
 
 
+def _summed(h: np.ndarray, model: Model) -> np.ndarray:
+    """Log-probabilities of some n-grams, summed: for many of them their counts times the matrix."""
+    if len(h) < model.buckets:
+        return model.log_prob[h].sum(axis=0, dtype=np.float64)
+    return np.bincount(h, minlength=model.buckets).astype(np.float64) @ model.log_prob
+
+
 def score(texts: list, model: Model, letters: np.ndarray) -> tuple[list[str], list[float]]:
     """Best language and its posterior for every text of a batch."""
-    codes, owner = [], []
+    langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+    if not model.langs:
+        return langs, scores
+    total, seen = np.zeros((len(texts), len(model.langs))), []
     for i, text in enumerate(texts):
         for h in grams(text, letters, model.buckets, model.max_n) if text else ():
-            codes.append(h)
-            owner.append(i)
-    langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-    if not codes or not model.langs:
+            total[i] += _summed(h, model)  # a chunk's codes are gone once they are summed
+            if not seen or seen[-1] != i:
+                seen.append(i)
+    if not seen:
         return langs, scores
-    total = np.zeros((len(texts), len(model.langs)))
-    for i, h in zip(owner, codes, strict=True):
-        total[i] += model.log_prob[h].sum(axis=0, dtype=np.float64)
-    seen = sorted(set(owner))
     logits = total[seen] + model.prior
     p = np.exp(logits - logits.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)

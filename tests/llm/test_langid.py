@@ -39,6 +39,21 @@ def test_chunks_cover_long_texts(monkeypatch):
     assert (np.sort(np.concatenate(list(langid.grams(text, letters, 1 << 12, 3)))) == whole).all()
 
 
+def test_chunks_are_summed_one_by_one(spark, monkeypatch):
+    model = langid.train(spark.createDataFrame([("the cat sat", "en"), ("der hund und", "de")], "text string, lang string"), buckets=1 << 10)
+    letters, texts = langid.letter_table(), ["the hund sat " * 500, None, "12", "und der", ""]
+    langs, scores = langid.score(texts, model, letters)
+    want = [sum((model.log_prob[h].sum(axis=0, dtype=float) for h in langid.grams(t, letters, 1 << 10, 3)), model.prior) for t in (texts[0], texts[3])]
+    assert langs == [model.langs[want[0].argmax()], "und", "und", "de", "und"] and scores[1] == scores[2] == scores[4] == 0
+    monkeypatch.setattr(langid, "_CHUNK", 50)
+    again = langid.score(texts, model, letters)
+    assert again[0] == langs and np.allclose(again[1], scores)
+    held = []
+    monkeypatch.setattr(langid, "_summed", lambda h, m, f=langid._summed: held.append(len(h)) or f(h, m))
+    langid.score(texts, model, letters)
+    assert max(held) <= 50
+
+
 def test_small_cases(spark):
     rows = [(1, "the cat sat on the mat", "en"), (2, "der hund und die katze", "de"), (4, None, "en"), (5, "", None),
             (6, "123 ??", "de"), (7, "the dog " * 30000, None), (None, "und die katze", "de"), (8, "the cat", "en")]
