@@ -9,7 +9,8 @@ text is covered by windows that overlap by half; its score is the calibrated
 sigmoid of its largest window logit.
 
 Training (driver, numpy): a sample of labelled documents with a documented
-bound (``max_docs``, each of at most ``max_chars`` characters).  Labels hold for documents, not
+bound (``max_docs``; of documents of more than ``max_words`` words, windows spread over the whole
+text).  Labels hold for documents, not
 windows, so each pass first scores all windows and then learns from the highest
 ones of each document.  The embeddings' first element starts from the smoothed
 log-odds of the word or n-gram.  The last step fits the logistic calibration of document maxima.
@@ -20,8 +21,9 @@ each distinct word of a slice of documents once and run blocks of windows.
 Cases: null and wordless texts score 0; documents with a null label don't
 train; repeated labels of a document count as toxic if one is; with one class
 only, or no labels, every score is the share of toxic labels (0 without any);
-repeated rows score alike; very long texts are scored whole, in blocks; other
-columns are ignored.
+equally high windows give the same score, whichever is taken; repeated rows score
+alike; an empty table of documents gives no rows; very long texts are scored
+whole, in blocks; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -302,20 +304,38 @@ def _calibrate(high: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 # -- Spark ----------------------------------------------------------------------------------
 
-def sample(docs: DataFrame, labels: DataFrame, max_docs: int, max_chars: int):
-    """A bounded set of labelled texts: up to half toxic, in the order of a hash of the id."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def sample(docs: DataFrame, labels: DataFrame, max_docs: int):
+    """A bounded set of labelled texts: up to a third toxic, in the order of a hash of the id.
+
+    Only labels whose document is there and has text count, so none takes another's place.
+    """
+    there = docs.where("doc_id is not null and length(text) > 0").select("doc_id").distinct()
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic")).join(there, "doc_id", "left_semi")
     ids = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
            for y, n in ((1, max_docs // 3), (0, max_docs - max_docs // 3))]
     few = F.broadcast(ids[0].unionByName(ids[1]))
-    rows = docs.select("doc_id", "text").join(few, "doc_id").where(F.length("text") <= max_chars).groupBy("doc_id").agg(
-        F.max("toxic").alias("toxic"), F.min("text").alias("text")).collect()
-    return sorted((r.doc_id, r.text, int(r.toxic)) for r in rows)
+    rows = docs.where("length(text) > 0").select("doc_id", "text").join(few, "doc_id").groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    return sorted((r.doc_id, r.text, int(r.toxic)) for r in rows.toLocalIterator())
+
+
+def spread(words: list[bytes], most: int, block: int = 8 * STRIDE) -> list[bytes]:
+    """All words of a text, or for a longer one blocks of them, evenly spaced from its start to its end."""
+    if len(words) <= most:
+        return words
+    n = max(1, most // block)
+    starts = np.linspace(0, len(words) - block, n).astype(int)
+    return [w for s in starts for w in words[s:s + block]]
+
 
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_words: int = 6000, **options):
+    """A scorer from ``labels`` (doc_id, toxic): what ``score`` takes.
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_chars: int = 8000, **options):
-    """A scorer from ``labels`` (doc_id, toxic): what ``score`` takes."""
-    rows = [(w, y) for _, text, y in sample(docs, labels, max_docs, max_chars) if (w := words_of(text.encode()))]
+    It learns from at most ``max_docs`` documents, and of documents of more than ``max_words`` words
+    from windows spread over the whole text.
+    """
+    rows = [(spread(w, max_words), y) for _, text, y in sample(docs, labels, max_docs) if (w := words_of(text.encode()))]
     share = sum(y for _, y in rows) / len(rows) if rows else 0.0
     if share in (0, 1):
         return share

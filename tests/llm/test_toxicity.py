@@ -82,3 +82,23 @@ def test_small_cases(spark, make_docs):
     assert {r.score for r in one_class} == {1.0}
     assert {r.score for r in tx.report(make_docs(rows), labels.limit(0)).collect()} == {0.0}
     assert tx.report(make_docs([]), labels).count() == 0
+
+
+def test_a_class_of_long_texts_is_learned(spark, make_docs):
+    """Toxic texts of about 11,000 characters, clean ones short; labels without a document take no place."""
+    rng, calm = random.Random(5), [f"calm{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(calm, k=40))) for i in range(60)]
+    for i in range(60, 90):
+        w = rng.choices(calm, k=1700)
+        w[rng.randrange(1700):0] = ["you", "awful", "zorgon"] * 4
+        rows.append((i, " ".join(w)))
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(90)] + [(i, 1) for i in range(1000, 1400)], "doc_id long, toxic int")
+    assert len(tx.sample(make_docs(rows), labels, 90)) == 90
+    got = {r.doc_id: r.predicted for r in tx.report(make_docs(rows), labels, max_docs=300).collect()}
+    assert sum(got[i] for i in range(60, 90)) >= 27 and sum(got[i] for i in range(60)) <= 3
+
+
+def test_spread_reaches_from_start_to_end():
+    words = [str(i).encode() for i in range(10_000)]
+    some = tx.spread(words, 1000)
+    assert len(some) <= 1000 and some[0] == words[0] and some[-1] == words[-1] and tx.spread(words, 10_000) is words
