@@ -20,7 +20,8 @@ with a null or unknown domain doesn't train; a document with several labels
 trains with the smallest; domains without training rows get posterior 0, so
 their totals stay 0; with no training rows at all posteriors are uniform; if
 the targets can't be met with rates of 0 or more, the rates approach the
-nearest fit as far as ``passes`` go; repeated rows count and are rated once each; very long texts are taken
+nearest fit as far as ``passes`` go; documents with equally likely domains are in
+the first by name; an empty table gives no rows; repeated rows count and are rated once each; very long texts are taken
 whole, in blocks; clashing extra columns (``posterior``, ``rate``, ``domain``,
 ``n_tokens``) are replaced.
 """
@@ -69,23 +70,30 @@ def _softmax(z):
     return z / z.sum(axis=-1, keepdims=True)
 
 
-def train(docs: DataFrame, labels: DataFrame, domains: list[str], max_docs: int = 3000, max_chars: int = 20_000):
+def train(docs: DataFrame, labels: DataFrame, domains: list[str], max_docs: int = 3000):
     """(weights, offsets, average) from a sample of labelled documents, in the order of a hash of the
-    id and of at most ``max_docs`` / len(domains) a domain."""
+    id and of at most ``max_docs`` / len(domains) a domain.
+
+    Only labels whose document is there and has text count.  The driver gets the sample's features,
+    not its texts: max_docs x BUCKETS numbers, however long the texts.
+    """
+    there = docs.where("doc_id is not null and length(text) > 0").select("doc_id").distinct()
     known = labels.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).groupBy("doc_id").agg(
-        F.min("domain").alias("domain"))
+        F.min("domain").alias("domain")).join(there, "doc_id", "left_semi")
     few = None
     for d in domains:
         part = known.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // len(domains))
         few = part if few is None else few.unionByName(part)
     shares = {r.domain: r["count"] for r in known.groupBy("domain").count().collect()}
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").where(F.length("text") <= max_chars).groupBy(
-        "doc_id").agg(F.min("domain").alias("domain"), F.min("text").alias("text")).collect()
-    rows = sorted((r.doc_id, r.domain, r.text) for r in rows)
+    texts = docs.where("length(text) > 0").select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(
+        F.min("domain").alias("domain"), F.min("text").alias("text"))
+    found = per_row(texts, [(c, F.col(c)) for c in ("doc_id", "domain")], [binary(F.col("text"))], "x binary",
+                    lambda: lambda text: (features(text).tobytes(),))
+    rows = sorted((r.doc_id, r.domain, bytes(r.x)) for r in found.collect())
     if not rows:
         return None, None, np.full(len(domains), 1 / len(domains))
     y = np.array([domains.index(d) for _, d, _ in rows])
-    w, b = fit_classifier(np.stack([features(t.encode()) for *_, t in rows]), y, len(domains))
+    w, b = fit_classifier(np.stack([np.frombuffer(x, np.float32) for *_, x in rows]), y, len(domains))
     took = np.bincount(y, minlength=len(domains))
     share = np.array([shares.get(d, 0) for d in domains], float)
     with np.errstate(divide="ignore"):  # the sample is even over domains; the labels are not

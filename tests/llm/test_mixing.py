@@ -60,3 +60,11 @@ def test_small_cases(spark, make_docs):
     uniform = mx.mix(docs, labels.limit(0), {"a": 0.5, "x": 0.5}).collect()
     assert all(r.posterior == [0.5, 0.5] and abs(r.rate - 1) < 1e-9 for r in uniform)
     assert mx.mix(make_docs([]), labels, {"a": 1.0}).count() == 0
+
+
+def test_a_domain_of_long_texts_is_learned(spark, make_docs):
+    rows = [(i, "aaa bbb aaa " * 5) for i in range(30)] + [(i, "xyz zyx xyz " * 3000) for i in range(30, 50)]
+    labels = spark.createDataFrame([(i, "a" if i < 30 else "x") for i in range(50)] + [(i, "x") for i in range(1000, 5000)],
+                                   "doc_id long, domain string")
+    got = {r.doc_id: r.domain for r in mx.mix(make_docs(rows), labels, {"a": 0.5, "x": 0.5}, max_docs=100).collect()}
+    assert all(got[i] == ("a" if i < 30 else "x") for i in range(50))
