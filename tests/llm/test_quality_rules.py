@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -10,17 +11,25 @@ from tessera.llm.common import table
 SF = "/root/testdata/sf0.01"
 
 
-def slow(rows, min_docs=10, min_share=0.05, max_removed=0.5):
+def slow(rows, min_docs=10, min_share=0.05, max_removed=0.5, settings_many=25, long_words=20, long_many=10, own=0.6):
     """rows (doc_id, text, host) -> the report's tuples, by plain loops."""
     def norm(line):
         return " ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
 
-    holds, hosts = defaultdict(set), defaultdict(set)
+    holds, hosts, ends = defaultdict(set), defaultdict(set), defaultdict(lambda: (set(), set()))
     for _, text, host in rows:
         hosts[host].add(text or "")
-        for line in (text or "").split("\n"):
-            if norm(line):
-                holds[host, norm(line)].add(text)
+        lines = sorted({norm(x) for x in (text or "").split("\n") if norm(x)}, key=lambda x: hashlib.md5(x.encode()).digest())
+        for line in lines:
+            holds[host, line].add(text)
+            others = [x for x in lines if x != line] or [None]
+            ends[host, line][0].add(others[0])
+            ends[host, line][1].add(others[-1])
+
+    def above(host, line):
+        n, settings = len(holds[host, line]), min(map(len, ends[host, line]))
+        many_ = long_many if len(line.split(" ")) >= long_words else settings_many
+        return n >= min_docs and (n >= min_share * len(hosts[host]) or settings >= max(many_, own * n))
     out = []
     for doc_id, text, host in rows:
         text = text or ""
@@ -29,7 +38,7 @@ def slow(rows, min_docs=10, min_share=0.05, max_removed=0.5):
         many = Counter(grams)
         hit = {i + o for i, g in enumerate(grams) if many[g] > 1 for o in range(5)}
         lines = [x for x in text.split("\n") if norm(x)]
-        gone = [x for x in lines if len(holds[host, norm(x)]) >= max(min_docs, min_share * len(hosts[host]))]
+        gone = [x for x in lines if above(host, norm(x))]
         n_gone = sum(len(norm(x).split(" ")) for x in gone)
         failed = len(words) < 10 or 100 * len(hit) > 20 * len(words)
         out.append((doc_id, len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text),
@@ -60,7 +69,10 @@ def test_small_cases(spark, make_docs):
              (23, " \n\t", None), (24, f"{body} q\nmenu home about us", "other"), (24, f"{body} q\nmenu home about us", "other"),
              (None, "a b c d e " * 5, "h"), (25, "été # * ünder <b> | " + body, None), (26, "w " * 30000, "h"),
              (27, "menu home about us\n\n" + body, "h")]
-    docs = make_docs(rows).withColumnRenamed("fp", "rules")
+    docs = make_docs(rows).withColumnRenamed("fp", "rules").selectExpr("*", "'mine' AS bad", "7 AS doc")
+    for options in ({}, {"broadcast_lines": 0}):
+        assert {(r.rules, r.bad, r.doc) for r in qr.clean(docs, **options).collect()} == {("x", "mine", 7)}
+        assert qr.clean(docs, **options).columns == docs.columns
     want = slow(rows)
     for options in ({}, {"broadcast_lines": 0}):
         got = [tuple(r) for r in qr.report(docs, **options).collect()]
@@ -83,3 +95,22 @@ def test_long_texts_count_alike(monkeypatch):
     short = [qr._repeated(t) for t in texts]
     monkeypatch.setattr(qr, "_LONG", 4)
     assert [qr._repeated(t) for t in texts] == short and any(short)
+
+
+def test_limits_hold_at_every_host_size(spark, make_docs):
+    """A newsletter line in 40 and a passage in 12 of 1,000 documents go; a short line in 12 and near copies stay."""
+    words = lambda i, n=14: " ".join(f"w{i}x{j}" for j in range(n))
+    passage = " ".join(f"p{j}" for j in range(55))
+    rows = []
+    for i in range(1000):
+        lines = [words(i), words(i + 5000)]
+        lines[1:1] = (["subscribe to our newsletter"] if i % 25 == 0 else []) + ([passage] if i % 83 == 0 else []) + (
+            ["short line"] if i % 83 == 1 else [])
+        rows.append((i, "\n".join(lines), "big"))
+    rows += [(2000 + i, f"{words(9000)}\n{words(9001)}\n{words(9002)} {i}", "big") for i in range(45)]
+    got = {r.doc_id: r for r in qr.report(make_docs(rows)).collect()}
+    removed = {d: r.n_removed_lines for d, r in got.items() if r.n_removed_lines}
+    assert set(removed) == {i for i in range(1000) if i % 25 == 0 or i % 83 == 0}
+    assert got[0].n_removed_words == 4 + 55 and not got[83].kept and got[25].kept and all(got[d].kept for d in got if d >= 2000)
+    want = {r[0]: r[6] for r in slow(rows)}
+    assert {d: r.n_removed_lines for d, r in got.items()} == want
