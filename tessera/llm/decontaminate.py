@@ -180,7 +180,8 @@ def passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: i
         F.sum("new").alias("n_hit"))
     items = hits.select("digest", "window").distinct().join(owned.select("window", "item"), "window").groupBy("digest").agg(
         F.sort_array(F.collect_set("item")).alias("items"))
-    return rows.drop("runs"), n_hit.join(items, "digest")
+    # written, so that rows meet it in a join of their own, where copies of one text can be split
+    return rows.drop("runs"), cut(n_hit.join(items, "digest"), "benchmark-found")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
