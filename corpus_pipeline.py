@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir), with ``docs`` what the stage before it
 kept, and works on all of it.  All but the last return the columns of
 ``documents``; the last adds each document's tokens, domain posterior, domain
 and rate.
+
+Cases: null and empty texts go with the first stage, which wants ten words; null
+ids, sources and languages stay; repeated rows are near duplicates of each other,
+so one stays; different texts under one id stay apart; very long texts are taken
+whole; other columns, whatever their names, come through the first four stages (of
+those that the last stage adds, its own are returned); an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -56,5 +56,24 @@ def test_run_applies_all_stages(spark):
 
 def test_registered():
     names = set(entry.queries())
-    assert "pipeline" in names and all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11))
-    assert {x for x in entry.oracle_sql() if x.startswith("op")} == {"op1_quality_rules", "op4_decontaminate", "op9_licenses"}
+    assert "pipeline" in names and all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 14))
+    assert {x for x in entry.oracle_sql() if x.startswith("op")} == {"op1_quality_rules", "op4_decontaminate", "op9_licenses", "op13_merkle"}
+
+
+def test_stages_carry_any_table(spark, make_docs):
+    """Nulls, empty texts, repeated rows, clashing names and an empty table pass through all stages."""
+    body = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, f"{body} a\nfirst line here"), (1, f"{body} a\nfirst line here"), (None, f"{body} some other words entirely to keep {body[::-1]}"), (3, None),
+            (4, ""), (5, "x " * 3), (6, " ".join(f"unique{i}" for i in range(30000))), (6, " ".join(f"again{i}" for i in range(40)))]
+    names = ["rules", "found", "digest", "fp", "component", "line", "host", "doc", "bad", "rate", "n_words"]
+    docs = make_docs(rows).select("doc_id", "text", "lang", "source", "n_chars").selectExpr("*", *[f"'{n}' AS {n}" for n in names])
+    for table_ in (docs, docs.limit(0)):
+        now = table_
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = cut(stage(spark, now, SF), name)
+            assert now.dtypes == docs.dtypes, name
+        kept = now.collect()
+        assert all(r[n] == n for r in kept for n in names)
+        assert sorted(str(r.doc_id) for r in kept) == (["1", "6", "6", "None"] if table_ is docs else [])
+        last = corpus_pipeline.STAGES[-1][1](spark, now, SF)
+        assert last.count() == len(kept) and "rate" in last.columns
