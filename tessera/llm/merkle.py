@@ -131,7 +131,8 @@ def proofs(rows: DataFrame, group: str, order: str, digest: str) -> DataFrame:
     """``rows`` with subroot, root and proof: (l, r) pairs of joined sibling digests, from the leaf to the root."""
     slim = rows.withColumnRenamed(digest, "digest").withColumn(
         "g", F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")))  # null first, then bytewise
-    leaves = numbered(slim, "g", [order, "digest"], "merkle-leaves")
+    # written first: the range shuffle samples its input, which would read and hash all texts a second time
+    leaves = numbered(cut(slim, "merkle-slim"), "g", [order, "digest"], "merkle-leaves")
 
     def top_tree(last: DataFrame) -> DataFrame:
         """The groups' subroots as the leaves of one more tree."""
