@@ -77,6 +77,28 @@ def q_quantile_predict(spark, d):
     return model.predict_quantiles(val.select("fixture_id", *model.feature_cols), ["fixture_id"])
 
 
+_VAL_SQL = f"""SELECT fixture_id, total_points FROM ({an.HISTORY_SQL}) h WHERE gw >= {VAL_START} AND total_points IS NOT NULL"""
+
+
+@query("quantile_bands", sql_out(f"""SELECT fixture_id, true AS ordered, true AS inside
+FROM ({_VAL_SQL}) v"""))
+def q_quantile_bands(spark, d):
+    """M5: what every band promises: one row for each row, p10 <= p50 <= p90, all among the labels' range."""
+    model, train, val, _ = fitted(spark, d, ("quantiles",))
+    q = model.predict_quantiles(val.select("fixture_id", *model.feature_cols), ["fixture_id"])
+    lo, hi = (train.agg(f("total_points")).scalar() for f in (F.min, F.max))
+    return q.select("fixture_id", ((F.col("p10") <= F.col("p50")) & (F.col("p50") <= F.col("p90"))).alias("ordered"),
+                    ((F.col("p10") >= lo) & (F.col("p90") <= hi)).alias("inside"))
+
+
+@query("calibrated_rows", sql_out(f"""SELECT fixture_id, total_points, true AS inside FROM ({_VAL_SQL}) v""", doubles=["total_points"]))
+def q_calibrated_rows(spark, d):
+    """M3/M4: every validation row is scored once, and its calibrated value is in the range of the labels it was fitted to."""
+    model, _, val, _ = fitted(spark, d, ("gbt", "calibrator"))
+    low, high = (val.agg(f("total_points")).scalar() for f in (F.min, F.max))
+    return model.predict(val).select("fixture_id", "total_points", F.col("prediction").between(low, high).alias("inside"))
+
+
 @query("feature_importance")
 def q_feature_importance(spark, d):
     """Top-30 importances of the boosted model."""
