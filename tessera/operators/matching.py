@@ -10,10 +10,10 @@ one 64-bit number per row of the table (Hyyro, 2004) where one side has at most
 Pairs are found in three steps, each for the left keys that the one before has not settled:
 
 1. equal keys (score 100);
-2. keys at most two insertions or deletions apart: both sides emit their letters (as a multiset) without
-   none, one or two of them, and meet on equal remainders with at most two letters gone in all and no
-   letter gone on both sides, so a pair meets once.  Every other right key is three or more steps away,
-   which bounds its score by 2 l / (2 l + 3) for a left key of l characters: a better partner is final;
+2. keys one, then two insertions or deletions apart: both sides emit what is left of them, in order, without
+   some letters, and meet on equal remainders, so only pairs that are this close meet, not all keys with the
+   same digits.  Every other right key is s = 2 (then 3) or more steps away, which bounds its score by
+   2 l / (2 l + s) for a left key of l characters: a better partner is final and leaves the open keys;
 3. the rest by letter counts: distinct multisets meet by compatible length (and a salt that splits crowded
    lengths), and only those whose common letters allow a score of at least the cut-off, or of what step 2
    has found, are opened into keys.
@@ -138,11 +138,10 @@ def _remainders(key: Column, most: int) -> Column:
     return _bound(F.array_sort(_chars(key)), of)
 
 
-NEAR = 2  # insertions and deletions that step 2 covers
-
-
 def near_pairs(names: DataFrame, partners: DataFrame, by: list[str]) -> DataFrame:
-    """Pairs of keys whose letters are at most ``NEAR`` insertions and deletions apart."""
+    """Pairs of keys whose letters, in any order, are at most ``NEAR`` insertions and deletions apart.
+
+    Keys with the same digits all meet, so the matching takes ``step_pairs``."""
     left = names.select("__k", *by, F.explode(_remainders(F.col("__k"), NEAR)).alias("__v"))
     left = left.select("__k", *by, F.col("__v.gone").alias("__lg"), F.col("__v.rest").alias("__rest"),
                        F.explode(F.sequence(F.lit(0), NEAR - F.col("__v.n"))).alias("__n"))
@@ -152,6 +151,43 @@ def near_pairs(names: DataFrame, partners: DataFrame, by: list[str]) -> DataFram
     return met.filter(~F.arrays_overlap("__lg", "__rg") | (F.size("__lg") == 0) | (F.size("__rg") == 0))
 
 
+def _without(key: Column, n: int) -> Column:
+    """Hashes of what is left of a key, in its order, without any ``n`` (0 to 2) of its letters."""
+    size = F.length(key)
+    cut = lambda text, i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))
+    places = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    if n == 0:
+        out = F.array(F.xxhash64(key))
+    elif n == 1:
+        out = F.transform(places(F.lit(1), size), lambda i: F.xxhash64(cut(key, i)))
+    else:  # the later letter goes first, so the place of the other one stays
+        out = F.flatten(F.transform(places(F.lit(2), size), lambda j: F.transform(
+            places(F.lit(1), j - 1), lambda i: F.xxhash64(cut(cut(key, j), i)))))
+    return F.array_distinct(out)
+
+
+NEAR = 2  # insertions and deletions that step 2 covers
+
+
+def step_pairs(names: DataFrame, partners: DataFrame, by: list[str], steps: int) -> DataFrame:
+    """Pairs of unequal keys that are ``steps`` insertions and deletions apart (or fewer by an even number).
+
+    Keys are that close exactly if n letters of the one and ``steps`` - n of the other can go so that the same is
+    left.  Partners of a length that no key can reach are left out before their letters are.
+    """
+    reach = names.select(F.explode(F.sequence(F.length("__k") - steps, F.length("__k") + steps)).alias("__len")).distinct()
+    partners = partners.withColumn("__len", F.length("__rk")).join(reach, "__len", "left_semi").drop("__len")
+
+    def rests(df, key, order):
+        each = F.flatten(F.array(*[F.transform(_without(F.col(key), n), lambda h: F.struct(
+            F.lit(order(n)).alias("n"), h.alias("rest"))) for n in range(steps + 1)]))  # noqa: B023
+        return df.select("*", F.explode(each).alias("__v")).select(
+            *df.columns, F.col("__v.n").alias("__n"), F.col("__v.rest").alias("__rest"))
+    left = rests(names.select("__k", *by), "__k", lambda n: n)
+    right = rests(partners.select("__rk", "__r", *by), "__rk", lambda n: steps - n)
+    return left.join(right, ["__rest", "__n", *by])
+
+
 def far_pairs(names: DataFrame, partners: DataFrame, by: list[str], t: float, salts: int) -> DataFrame:
     """Pairs of keys whose lengths and common letters allow a score of ``__floor`` (a share, at least ``t``)."""
     letters = lambda c: F.array_join(F.array_sort(_chars(F.col(c))), "")
@@ -190,18 +226,26 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, left_id: str = "fpl_id",
     names = left.select(token_sort_key(left_name).alias("__k"), *by).distinct()
     partners = (right.select(token_sort_key(right_name).alias("__rk"), *by, F.struct(
         F.col(right_id), F.col(right_name), *[F.col(c) for c in right_cols]).alias("__r"))
-        .groupBy("__rk", *by).agg(F.min_by("__r", f"__r.{right_id}").alias("__r")))
+        .groupBy("__rk", *by).agg(F.min_by("__r", f"__r.{right_id}").alias("__r"))).checkpoint(eager=True)
     same = names.join(partners.withColumnRenamed("__rk", "__k"), ["__k", *by]).select(
         "__k", *by, F.struct("__r", F.lit(100.0).alias("__score")).alias("__b"))
-    open_ = names.join(same.select("__k", *by), ["__k", *by], "left_anti")
-    # one row a left key, in the shared folder: the pairs behind it are met once
-    near = _best(near_pairs(open_, partners, by), by, right_id, cutoff).checkpoint(eager=True)
+    open_ = names.join(same.select("__k", *by), ["__k", *by], "left_anti").checkpoint(eager=True)
     size, points = F.length("__k"), F.col("__b.__score")
-    settled = near.filter(points > 200.0 * size / (2 * size + NEAR + 1) + 1e-9)
-    rest = open_.join(settled.select("__k", *by), ["__k", *by], "left_anti").join(near, ["__k", *by], "left").select(
-        "__k", *by, (F.greatest(points, F.lit(cutoff)) / 100).alias("__floor"))
+    settled, rest = [], open_.select("*", F.lit(None).cast(same.schema["__b"].dataType).alias("__b"))
+    for steps in range(1, NEAR + 1):
+        # one row a left key, in the shared folder: the pairs behind it are met once
+        near = _best(step_pairs(rest, partners, by, steps), by, right_id, cutoff).withColumnRenamed("__b", "__now")
+        near = rest.join(near, ["__k", *by], "left").select("__k", *by, F.when(
+            F.coalesce(F.col("__now.__score"), F.lit(-1.0)) > F.coalesce(points, F.lit(-1.0)), F.col("__now"))
+            .otherwise(F.col("__b")).alias("__b")).checkpoint(eager=True)
+        final = F.coalesce(points > 200.0 * size / (2 * size + steps + 1) + 1e-9, F.lit(False))
+        settled.append(near.filter(final))
+        rest = near.filter(~final)
+    rest = rest.select("__k", *by, "__b", (F.greatest(points, F.lit(cutoff)) / 100).alias("__floor"))
     far = _best(far_pairs(rest, partners, by, cutoff / 100.0, salts), by, right_id, cutoff)
-    best = same.unionByName(settled).unionByName(far)
+    best = same.unionByName(far)
+    for part in settled:
+        best = best.unionByName(part)
     best = best.select(F.col("__k").alias("__bk"), *[F.col(c).alias(f"__b_{c}") for c in by], "__b")
     on = token_sort_key(left_name) == F.col("__bk")
     for c in by:

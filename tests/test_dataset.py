@@ -178,6 +178,17 @@ def test_near_pairs_meet_once_and_only_when_near(spark):
     assert got == sorted((a, b) for a in names for b in names if apart(a, b) <= 2)
 
 
+def test_names_with_the_same_digits_meet_only_when_near(spark):
+    rnd = random.Random(4)
+    names = sorted({"".join(rnd.choice("01") for _ in range(12)) for _ in range(300)})
+    left = spark.createDataFrame([(n,) for n in names], "__k string")
+    right = spark.createDataFrame([(n, i) for i, n in enumerate(names)] + [("0" * 20, 999)], "__rk string, __r int")
+    for steps in (1, 2):
+        got = {(r[0], r[1]) for r in mt.step_pairs(left, right, [], steps).select("__k", "__rk").collect()}
+        apart = lambda a, b: round((len(a) + len(b)) * (1 - mt.ratio(a, b) / 100))
+        assert got == {(a, b) for a in names for b in names if apart(a, b) <= steps and (apart(a, b) - steps) % 2 == 0}
+
+
 def test_unicode_spaces_part_tokens(spark):
     df = spark.createDataFrame([("b a c\x1cd",)], "n string")
     assert df.select(mt.token_sort_key("n")).first()[0] == "a b c d"
