@@ -44,13 +44,13 @@ def _landed(spark, d) -> str:
     teams = an.teams(spark, d).agg(F.collect_list(F.struct("id", "name")).alias("x")).scalar()  # a dimension
     boot = players.select(F.concat(F.lit("bootstrap_"), F.col("part"), F.lit(f"_{SECOND}.json")).alias("file"), F.to_json(F.struct(
         "elements", F.when(F.col("part") == 0, teams).alias("teams")), {"pretty": "true"}).alias("value"))
-    # a season's league list is one document, as it is one page at the source
+    # a season's league list is one document, as it is one page at the source, in parts
     years = c.select("*", F.explode(F.array(*[F.lit(y) for y in YEARS])).alias("year")).filter((F.col("c_custkey") + F.col("year")) % 3 != 0)
-    league = years.groupBy("year").agg(F.collect_list(F.struct((F.col("c_custkey") + an.US_ID_OFFSET).cast("string").alias("id"), F.when(
+    league = years.groupBy("year", F.coalesce(F.floor(F.col("c_custkey") / 20_000), F.lit(0)).alias("part")).agg(F.collect_list(F.struct((F.col("c_custkey") + an.US_ID_OFFSET).cast("string").alias("id"), F.when(
         F.col("year") == F.greatest(*[F.when((F.col("c_custkey") + y) % 3 != 0, F.lit(y)) for y in YEARS]), F.col("spelled"))
         .otherwise(F.lit("Old Name")).alias("player_name"), F.concat(F.lit("T"), F.col("year")).alias("team_title"))).alias("x"))
     dc.write_documents(boot, path)
-    dc.write_documents(league.select(F.concat(F.lit("league_"), F.col("year"), F.lit(".json")).alias("file"),
+    dc.write_documents(league.select(F.concat(F.lit("league_"), F.col("year"), F.lit(".json")).alias("file"), "part",
                                      F.to_json("x", {"pretty": "true"}).alias("value")), path)
     return path
 

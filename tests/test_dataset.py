@@ -6,6 +6,7 @@ import random
 import string
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tessera.operators import asof
@@ -14,11 +15,14 @@ from tessera.operators import evaluate as ev
 from tessera.operators import flatten as fl
 from tessera.operators import matching as mt
 from tessera.plans import jobs
+from tessera.plans import q_dataset as qd
 from tessera.session import scratch_path
 from tessera.sources import documents as dc
 from tessera.sources import landing as ld
 from tessera.sources.splits import load_dataset
 
+SF = "/root/testdata/sf0.001"
+
 A, B = "20240101T000000Z", "20240201T000000Z"
 
 
@@ -178,6 +182,37 @@ def test_near_pairs_meet_once_and_only_when_near(spark):
     assert got == sorted((a, b) for a in names for b in names if apart(a, b) <= 2)
 
 
+def test_documents_in_parts(spark):
+    doc = lambda *ids: json.dumps({"history": [{"element": str(i)} for i in ids]})
+    a, b = "20240101T000000Z", "20240201T000000Z"
+    rows = [(f"player_1_{a}.json", 0, doc(1)), (f"player_1_{b}.json", 0, doc(2, 3)), (f"player_1_{b}.json", 1, doc(4)),
+            (f"player_2_{a}.json", 0, doc(5)), (f"player_2_{a}.json", 1, doc(6)),
+            (f"player_2_{b}.json", 0, doc(7)), (f"player_2_{b}.json", 1, doc(8)[:-3]), (f"player_3_{a}.json", 0, doc())]
+    path = scratch_path(spark, "parts")
+    dc.write_documents(spark.createDataFrame(rows, "file string, part long, value string"), path)
+    assert dc.list_files(spark, path, "player").count() == 5
+    counts = Observation("parts")
+    good, bad = dc.read_documents(spark, path, dc.PLAYER, "player", counts)
+    assert counts.get == {"documents": 4, "quarantined": 1}
+    assert [(r.entity_id, r.snapshot_ts) for r in bad.collect()] == [(2, b)]  # its good part doesn't stay
+    got = sorted((r.entity_id, r.snapshot_ts, r.part, r.first, r.n_records, [m["element"] for m in r.history]) for r in dc.newest(good).collect())
+    assert got == [(1, b, 0, True, 3, ["2", "3"]), (1, b, 1, False, 3, ["4"]), (2, a, 0, True, 2, ["5"]), (2, a, 1, False, 2, ["6"]),
+                   (3, a, 0, True, 0, [])]
+
+
+def test_squads_documents_are_bounded_and_lose_no_order(spark, monkeypatch):
+    whole = {r.file: json.loads(r.value)["history"] for r in qd.player_documents(spark, SF).collect()
+             if int(r.file.split("_")[1]) % 29 != 5}  # the others may be cut off
+    monkeypatch.setattr(qd, "PART", 7)
+    parts = {}
+    for r in sorted(qd.player_documents(spark, SF).collect(), key=lambda r: (r.file, r.part)):
+        parts.setdefault(r.file, []).append(r.value)
+    assert max(len(v) for v in parts.values()) > 1
+    for file, history in whole.items():
+        lists = [json.loads(v)["history"] for v in parts[file]]
+        assert all(len(x) <= 7 for x in lists) and [m for x in lists for m in x] == history
+
+
 def test_names_with_the_same_digits_meet_only_when_near(spark):
     rnd = random.Random(4)
     names = sorted({"".join(rnd.choice("01") for _ in range(12)) for _ in range(300)})
