@@ -124,3 +124,11 @@ def test_asof_max_age_drops_rows_long_after_last_deadline(spark):
     m = spark.createDataFrame(pd.DataFrame({"mid": [1, 2], "date": pd.to_datetime(["2024-09-20", "2024-12-01"])}))
     out = {r.mid: r.gw for r in asof_backward(m, "date", _periods(spark), max_age="14 days").collect()}
     assert out == {1: 4}
+
+
+def test_deadlines_are_made_of_months_not_of_orders(spark):
+    from tessera.plans import analogue as an
+    from tessera.plans import builds
+    plan = builds.period_dim(an.periods(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate"):]
+    assert "make_date" not in below and "make_date" in plan
