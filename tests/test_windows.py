@@ -214,3 +214,22 @@ def test_last_state_puts_missing_order_last(spark):
     df = spark.createDataFrame([(1, 5, 1.0), (1, None, 2.0), (1, 9, None)], "k long, t long, x double")
     assert win.last_state(df, ["k"], ["t"], ["x"]).first().x == 2.0
     assert win.keep_last(df, ["k"], ["t"]).first().x == 2.0
+
+
+def test_previous_segment_is_one_value_to_carry(spark):
+    """Many measures: one value carries the sums of the previous segment, and rows are sorted before they are widened."""
+    df = spark.createDataFrame([(1, 1, 2.0, 3.0)], "k long, t long, x double, y double")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = win.lagged_features(df, ["k"], ["t"], ["x", "y"])._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("last(") == 1 + 2 * 2
+
+
+def test_last_state_numbered(spark):
+    rows = [(k, None if i % 4 == 3 else i // 2, i, None if i % 3 == 0 else float(i)) for k in (1, 2, None) for i in range(9)]
+    df = spark.createDataFrame(rows, "k long, g long, i long, x double")
+    plain, numbered = ({r.k: (r.x, r.i) for r in win.last_state(df, ["k"], ["g", "i"], ["x", "i"], numbered=n).collect()}
+                       for n in (False, True))
+    assert plain == numbered and set(plain) == {1, 2, None}
