@@ -56,3 +56,27 @@ def test_shared_folder_is_required_off_local_masters():
     context = SimpleNamespace(getCheckpointDir=lambda: None, master="local-cluster[2,1,1024]")
     with pytest.raises(ValueError):
         shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
+
+
+def test_history_is_dealt_out_in_bounded_parts(spark, monkeypatch):
+    from tessera.plans import analogue as an
+    rows = an.history(spark, SF).count()
+    whole = an.history_with_players(spark, SF)
+    monkeypatch.setattr(an, "PART_ROWS", 100)
+    parts = an.history_with_players(spark, SF)
+    sizes = parts.rdd.glom().map(len).collect()
+    assert len(sizes) == -(-rows // 100) and max(sizes) < 300
+    assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_no_maps_are_shuffled(spark):
+    """The documents' maps of strings are built after the shuffle of the lines they hold."""
+    from tessera.plans import analogue as an
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = an.second_source_docs(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    above, below = plan.split("Aggregate [", 1)
+    assert "map_from_arrays" in above.lower() or "map(" in above.lower()
+    assert "map_from_arrays" not in below.lower() and "map(" not in below.lower()
