@@ -200,6 +200,18 @@ def test_documents_in_parts(spark):
                    (3, a, 0, True, 0, [])]
 
 
+def test_written_documents_take_a_fraction_of_their_text(spark):
+    rows = [{"element": str(i), "round": str(i % 38), "influence": "12.5", "expected_goals": "0.3"} for i in range(5000)]
+    path = scratch_path(spark, "small-files").removeprefix("file:")
+    dc.write_documents(spark.createDataFrame([(f"player_1_{A}.json", json.dumps({"history": rows}, indent=2))], "file string, value string"), path)
+    text = len(json.dumps({"history": rows}, indent=2))
+    stored = sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(path) for f in files)
+    assert stored < text / 4
+    assert dc.list_files(spark, path, "player").first().n_bytes < text / 4
+    good, bad = dc.read_documents(spark, path, dc.PLAYER, "player")
+    assert good.first().history == rows and bad.isEmpty()
+
+
 def test_squads_documents_are_bounded_and_lose_no_order(spark, monkeypatch):
     whole = {r.file: json.loads(r.value)["history"] for r in qd.player_documents(spark, SF).collect()
              if int(r.file.split("_")[1]) % 29 != 5}  # the others may be cut off
